@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafloom.llm import entry_matching, format_duplicates
+from leafloom.llm import entry_matching, format_duplicates, lookalikes
 
-_MODULES = [format_duplicates, entry_matching]
+_MODULES = [format_duplicates, lookalikes, entry_matching]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

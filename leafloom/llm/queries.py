@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafloom.llm import entry_matching, format_duplicates, lookalikes, mixing, packing
+from leafloom.llm import entry_matching, format_duplicates, languages, lookalikes, mixing, packing
 
-_MODULES = [format_duplicates, lookalikes, entry_matching, packing, mixing]
+_MODULES = [format_duplicates, lookalikes, entry_matching, packing, mixing, languages]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

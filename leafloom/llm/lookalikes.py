@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, parallel, table
+from leafloom.common import cut, table
 
 #: Lower-case letters that look alike in the Latin, Cyrillic and Greek alphabets.
 LOOK_ALIKES = ("aаα", "bьЬ", "cсϲ", "dԁ", "eеε", "gɡ", "hһ", "iіι", "jјϳ", "kкκ", "lӏ", "mм", "nпη", "oоοσ", "pрρ", "qԛ", "sѕ", "tтτ", "uυ", "vνѵ", "wѡԝ", "xхχ", "yуγ", "rг", "ïї", "ëё", "öӧ", "äӓ", "ăӑ")
@@ -80,8 +80,8 @@ SAME = _class_of()
 _SPECIAL = "".join(sorted(c for c in PLAIN if len(c) == 1))
 
 
-def _escaped(chars: str) -> str:
-    """A character class as ranges, readable by Java and Python."""
+def _ranges(chars: str) -> list[tuple[int, int]]:
+    """First and last code points of the runs in sorted ``chars``."""
     codes, parts, i = [ord(c) for c in chars], [], 0
     while i < len(codes):
         j = i
@@ -92,24 +92,24 @@ def _escaped(chars: str) -> str:
     return parts
 
 
-_RANGES = _escaped(_SPECIAL)
+_RANGES = _ranges(_SPECIAL)
 _LATIN, _CYRILLIC, _GREEK = "A-Za-zÀ-ÖØ-öø-ɏ", "Ѐ-ԯ", "Ͱ-ͳͶ-ͽΆ-Ͽ"
 _MARK = "̀-ͯ"
 
 
-def _class(java: bool) -> str:
-    one = (lambda n: f"\\x{{{n:x}}}") if java else (lambda n: re.escape(chr(n)))
+def _class() -> str:
+    one = lambda n: re.escape(chr(n))
     return "".join(one(a) if a == b else f"{one(a)}-{one(b)}" for a, b in _RANGES)
 
 
-def _suspicion(java: bool) -> str:
+def _suspicion() -> str:
     pairs = "|".join(f"[{a}][{_MARK}]*[{b}]" for a in (_LATIN, _CYRILLIC, _GREEK) for b in (_LATIN, _CYRILLIC, _GREEK) if a != b)
-    return f"[{_MARK}{_class(java)}]|{pairs}"
+    return f"[{_MARK}{_class()}]|{pairs}"
 
 
-#: Finds a suspicious place, in built-in expressions and in Python.
-SUSPICIOUS_JAVA = _suspicion(True)
-_SUSPICIOUS = re.compile(_suspicion(False))
+#: Finds a suspicious place.
+_SUSPICIOUS = re.compile(_suspicion())
+_SPECIAL_SIGN = re.compile(f"[{_MARK}{_class()}]")
 _TOKEN = re.compile(r"[^ \t\r\n]+")
 _WORD = re.compile(rf"[^\W\d_]+(?:[{_MARK}]+[^\W\d_]*)*")
 _CLEAN_WORD = re.compile(r"[^\W\d_]+")
@@ -204,28 +204,43 @@ def odd_words(token: str) -> list[str]:
     return [w for w in _WORD.findall(_simple(token))]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vocabulary counts of a partition, kept within bounded memory."""
-    counts: Counter[str] = Counter()
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over whole texts (table_name, row_id, text): their suspicious tokens, and the counts of clean words.
 
-    def out() -> pa.RecordBatch:
-        words = list(counts)
-        batch = pa.record_batch([pa.array(words, pa.string()), pa.array([coarse_key(w) for w in words], pa.string()), pa.array([counts[w] for w in words], pa.int64())], names=["word", "key", "n"])
+    A word is judged once a partition; a text is searched for tokens only if it holds a special sign or an odd word.
+    Counts and verdicts are handed on and forgotten when they grow beyond FLUSH.
+    """
+    counts: Counter[str] = Counter()
+    odd: set[str] = set()
+
+    def vocabulary() -> pa.RecordBatch:
+        words = [w for w in counts if w not in odd]
+        batch = pa.record_batch(
+            [pa.nulls(len(words), pa.string()), pa.nulls(len(words), pa.int64()), pa.array(words, pa.string()), pa.array([coarse_key(w) for w in words], pa.string()), pa.array([counts[w] for w in words], pa.int64())],
+            names=["table_name", "row_id", "word", "key", "n"],
+        )
         counts.clear()
+        odd.clear()
         return batch
 
     for b in batches:
-        for text in b.column(0).to_pylist():
-            counts.update(_CLEAN_WORD.findall(text))
+        found = []
+        for name, row, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            words = _CLEAN_WORD.findall(text)
+            for w in set(words).difference(counts):
+                if _SUSPICIOUS.search(w):
+                    odd.add(w)
+            counts.update(words)
+            if _SPECIAL_SIGN.search(text) or not odd.isdisjoint(words):
+                found += [(name, row, token) for token in dict.fromkeys(suspicious_tokens(text))]
+        if found:
+            yield pa.record_batch(
+                [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.string()), pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.int64())],
+                names=["table_name", "row_id", "word", "key", "n"],
+            )
         if len(counts) > FLUSH:
-            yield out()
-    yield out()
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [(t, r, token) for t, r, text in zip(*(b.column(i).to_pylist() for i in range(3))) for token in dict.fromkeys(suspicious_tokens(text))]
-        yield pa.record_batch([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.string())], names=["table_name", "row_id", "token"])
+            yield vocabulary()
+    yield vocabulary()
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,19 +258,13 @@ def _spell(key: tuple, odd: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"word": words, "spelling": [trie.best(w) or by_table(w) for w in words]})
 
 
-def _clean(word) -> F.Column:
-    return ~F.col(word).rlike(SUSPICIOUS_JAVA)
-
-
-def spellings(tokens: DataFrame, texts: DataFrame, buckets: int = 64) -> DataFrame:
-    """(word, spelling) of every word of the suspicious ``tokens``; the vocabulary is counted over all ``texts``.
+def spellings(tokens: DataFrame, words: DataFrame, buckets: int = 64) -> DataFrame:
+    """(word, spelling) of every word of the suspicious ``tokens``; ``words`` (key, word, n) are the counts of all texts.
 
     Only vocabulary whose key an odd word shares is kept, so a bucket's trie is no larger than its odd words' twins.
     """
-    odd = tokens.select("token").distinct().mapInArrow(_words, "word string, key string").distinct()
-    odd = cut(odd)
-    known = texts.select("text").mapInArrow(_count_words, "word string, key string, n bigint").filter(_clean("word"))
-    known = known.groupBy("key", "word").agg(F.sum("n").alias("n")).join(odd.select("key").distinct(), "key", "left_semi")
+    odd = cut(tokens.select("token").mapInArrow(_words, "word string, key string").distinct())
+    known = words.join(odd.select("key").distinct(), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
     return odd.select(bucket, "word").groupBy("bucket").cogroup(known.select(bucket, "word", "n").groupBy("bucket")).applyInPandas(_spell, "word string, spelling string")
 
@@ -271,10 +280,10 @@ def _token_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string())], names=["token", "word"])
 
 
-def consistent_tokens(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+def consistent_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(token, form) of the distinct suspicious tokens."""
     distinct = cut(tokens.select("token").distinct())
-    words = distinct.mapInArrow(_token_words, "token string, word string").join(spellings(distinct, texts), "word")
+    words = distinct.mapInArrow(_token_words, "token string, word string").join(spellings(distinct, words), "word")
     # one row a token: its words with their spellings are as few as the token is long
     pairs = words.groupBy("token").agg(F.map_from_entries(F.collect_set(F.struct("word", "spelling"))).alias("spelling"))
     return distinct.join(pairs, "token", "left").mapInArrow(_rewrite_batches, "token string, form string")
@@ -289,9 +298,9 @@ def _rewrite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def changed_tokens(texts: DataFrame) -> DataFrame:
     """(table_name, row_id, token, form) where the consistent form differs from what stands there."""
-    suspects = texts.filter(F.col("text").rlike(SUSPICIOUS_JAVA))
-    tokens = cut(suspects.mapInArrow(_tokens, "table_name string, row_id bigint, token string"))
-    forms = consistent_tokens(tokens, texts).filter("form <> token")
+    scanned = cut(texts.select("table_name", "row_id", "text").mapInArrow(_scan, "table_name string, row_id bigint, word string, key string, n bigint"))
+    tokens = scanned.filter("n IS NULL").select("table_name", "row_id", F.col("word").alias("token"))
+    forms = consistent_tokens(tokens, scanned.filter("n IS NOT NULL").select("key", "word", "n")).filter("form <> token")
     return tokens.join(forms, "token")
 
 

@@ -223,12 +223,17 @@ def parents_of(edges: DataFrame) -> DataFrame:
 def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes on a cycle or between cycles: what is left after peeling from both ends."""
     edges = cut(edges.select("src", "dst").distinct())
+    have = edges.count()
     while True:
-        inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        inner = cut(inner)
-        if inner.count() == edges.count():
-            return inner.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-        edges = inner
+        # two layers from each end a round: half the rounds, each of one plan
+        for _ in range(2):
+            inner = edges.join(edges.select(F.col("dst").alias("src")), "src", "left_semi").join(edges.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+            edges = inner
+        edges = cut(edges)
+        left = edges.count()
+        if left == have:
+            return edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+        have = left
 
 
 def simple_cycles(edges: DataFrame, most: int = 10) -> DataFrame:

@@ -52,6 +52,7 @@ def _block_pairs(least: float, k: int | None, symmetric: bool) -> Callable[[tupl
         empty = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "sim": pd.Series(dtype=float)})
         if not len(left) or not len(right):
             return empty
+        right = right.rename(columns={"other": "id", "other_vec": "vec"})
         x, y = (np.stack(d["vec"].to_numpy()).astype(np.float64) for d in (left, right))
         x, y = (m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12) for m in (x, y))
         sim = x @ y.T
@@ -80,8 +81,9 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, k: int
     right = left if symmetric else right
     kind = dict(left.dtypes)["id"]
     n_left, n_right = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
-    x = left.select(F.pmod(F.xxhash64("id"), F.lit(n_left)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("j"), "id", "vec")
-    y = right.select(F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).cast("bigint").alias("i"), F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int").alias("j"), "id", "vec")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    x = left.select(F.pmod(F.xxhash64("id"), F.lit(n_left)).alias("i"), every(n_right).alias("j"), "id", "vec")
+    y = right.select(every(n_left).alias("i"), F.pmod(F.xxhash64("id"), F.lit(n_right)).alias("j"), F.col("id").alias("other"), F.col("vec").alias("other_vec"))
     return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(_block_pairs(least, k, symmetric), f"a {kind}, b {kind}, sim double")
 
 

@@ -110,7 +110,7 @@ def scenario_loss(probabilities: DataFrame, targets: DataFrame, weighted: bool =
     per = probabilities.join(targets.withColumnRenamed("effect", "node"), ["scenario", "node"]).groupBy("scenario").agg(F.sum(F.pow(F.col("p") - F.col("target"), 2)).alias("se"))
     if weighted:
         per = per.join(sizes, "scenario").withColumn("w", 1 / F.sqrt("n_drugs"))
-        return per.agg((F.sum(F.col("w") * F.col("se")) / F.sum("w")).alias("loss"), F.count("*").alias("n_scenarios"))
+        return per.agg(F.try_divide(F.sum(F.col("w") * F.col("se")), F.sum("w")).alias("loss"), F.count("*").alias("n_scenarios"))
     return per.agg(F.sum("se").alias("loss"), F.count("*").alias("n_scenarios"))
 
 

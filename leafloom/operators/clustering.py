@@ -182,7 +182,7 @@ def davies_bouldin(clustered: DataFrame) -> DataFrame:
     a, b = (means.select(F.col("cluster").alias(c), "d", F.col("m").alias(m)) for c, m in (("a", "ma"), ("b", "mb")))
     apart = a.join(b, "d").filter("a <> b").groupBy("a", "b").agg(F.sqrt(F.sum(F.pow(F.col("ma") - F.col("mb"), 2))).alias("dist"))
     ratio = apart.join(spread.select(F.col("cluster").alias("a"), F.col("s").alias("sa")), "a").join(spread.select(F.col("cluster").alias("b"), F.col("s").alias("sb")), "b")
-    worst = ratio.groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / F.col("dist")).alias("r"))
+    worst = ratio.groupBy("a").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), F.col("dist"))).alias("r"))
     return worst.agg(F.avg("r").alias("davies_bouldin"), F.count("*").alias("n_clusters"))
 
 

@@ -247,7 +247,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     per = df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
     w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # one row a distinct score
     below = per.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return below.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return below.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def best_f1_threshold(df: DataFrame, label: str, score: str) -> DataFrame:

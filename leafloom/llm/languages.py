@@ -345,7 +345,7 @@ def detect(documents: DataFrame, field: Field, keep: list[str]) -> DataFrame:
 
 def _detected(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return detect(documents.withColumnRenamed("lang", "label"), train(training_sample(documents)), keep)
+    return detect(documents.select("doc_id", F.col("lang").alias("label"), "text"), train(training_sample(documents)), keep)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,7 +298,7 @@ def _rewrite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def changed_tokens(texts: DataFrame) -> DataFrame:
     """(table_name, row_id, token, form) where the consistent form differs from what stands there."""
-    scanned = cut(texts.select("table_name", "row_id", "text").mapInArrow(_scan, "table_name string, row_id bigint, word string, key string, n bigint"))
+    scanned = cut(texts.filter("text IS NOT NULL").select("table_name", "row_id", "text").mapInArrow(_scan, "table_name string, row_id bigint, word string, key string, n bigint"))
     tokens = scanned.filter("n IS NULL").select("table_name", "row_id", F.col("word").alias("token"))
     forms = consistent_tokens(tokens, scanned.filter("n IS NOT NULL").select("key", "word", "n")).filter("form <> token")
     return tokens.join(forms, "token")
@@ -307,7 +307,7 @@ def changed_tokens(texts: DataFrame) -> DataFrame:
 def consistent_texts(texts: DataFrame) -> DataFrame:
     """(table_name, row_id, text, changed): every text in its consistent form."""
     forms = changed_tokens(texts).groupBy("table_name", "row_id").agg(F.map_from_entries(F.collect_set(F.struct("token", "form"))).alias("forms"))
-    joined = texts.join(forms, ["table_name", "row_id"], "left")
+    joined = texts.select("table_name", "row_id", "text").join(forms, ["table_name", "row_id"], "left")
     gaps = F.split("text", "[^ \\t\\r\\n]+")
     words = F.transform(F.regexp_extract_all("text", F.lit("([^ \\t\\r\\n]+)")), lambda t: F.coalesce(F.element_at("forms", t), t))
     rebuilt = F.array_join(F.flatten(F.zip_with(gaps, words, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")

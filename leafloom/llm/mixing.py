@@ -75,7 +75,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     report = plan.join(got, "source", "left").na.fill(0, ["tokens", "n_texts", "most_copies"])
     report = report.select(
         "source", "target_share", "max_repeats", "tokens", "n_texts", "most_copies",
-        (F.col("tokens") / F.sum("tokens").over(everything)).alias("reached_share"),
+        F.coalesce(F.try_divide("tokens", F.sum("tokens").over(everything)), F.lit(0.0)).alias("reached_share"),
     )
     return mixture, report
 

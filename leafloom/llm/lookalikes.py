@@ -51,7 +51,7 @@ def _plain_forms() -> dict[str, str]:
             out[c] = ""
         elif how in ("<wide", "<narrow", "<noBreak", "<font"):
             out[c] = unicodedata.normalize("NFKC", c)
-    return out
+    return out | {"\u2011": "-"}
 
 
 PLAIN = _plain_forms()

@@ -129,8 +129,12 @@ def _rerank(k: int, least: float) -> Callable[[tuple, pd.DataFrame, pd.DataFrame
 
 
 def codebook(entries: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of both halves, fitted to at most SAMPLE vectors; as many as give cells of about CELL_ENTRIES."""
-    sample = entries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()
+    """Centroids of both halves, fitted to about SAMPLE vectors; as many as give cells of about CELL_ENTRIES."""
+    # drawn by a hash where the vectors lie: about SAMPLE of them reach the driver, however many partitions there are
+    share = int(min(1.0, SAMPLE / total) * (1 << 30))
+    sample = entries.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share).select("vec").toPandas()
+    if not len(sample):
+        sample = entries.limit(SAMPLE).select("vec").toPandas()
     m = np.stack(sample["vec"].to_numpy()).astype(np.float32)
     k = max(4, round((total / CELL_ENTRIES) ** 0.5))
     return k_means(m[:, :HALF], k), k_means(m[:, HALF:], k)

@@ -134,7 +134,7 @@ def resolve(links: DataFrame, local_limit: int = 20_000, paths: bool = False) ->
         known = live.repartition(1).mapInPandas(_finish, _INFO)
     else:
         known = live.filter("child = parent").select(F.col("child").alias("node"), F.coalesce(F.least("child", "mn"), "child").alias("root"), F.lit(-1).alias("depth"), F.array().cast("array<string>").alias("path"))
-    roots = single.select("parent").distinct().join(single.select(F.col("child").alias("parent")), "parent", "left_anti")
+    roots = links.select("parent").distinct().join(single.select(F.col("child").alias("parent")), "parent", "left_anti")
     roots = roots.select(F.col("parent").alias("node"), F.col("parent").alias("root"), F.lit(0).alias("depth"), F.array("parent").alias("path"))
     known = cut(known.unionByName(roots.join(known.select("node"), "node", "left_anti")) if records else known.unionByName(roots).dropDuplicates(["node"]))
     for state in reversed(records):

@@ -1,11 +1,12 @@
 """Problem 5: clusters of mutually similar records, by mergeable cluster-feature trees and Ward agglomeration.
 
-1. Each partition builds a cluster-feature tree over its unit vectors; its threshold rises until the tree has few
-   leaves. The leaf summaries (count, linear sum, square sum) are merged tree by tree, in rounds, into one; Ward
-   agglomeration of its leaves gives the regions of the space. Regions that hold too many records are divided again.
+1. Each part of the vectors builds a cluster-feature tree; its threshold rises until the tree has few leaves. The leaf
+   summaries (count, linear sum, square sum) are merged tree by tree, in rounds, into one; Ward agglomeration of its
+   leaves divides the space into regions. Regions that hold too many records are divided again, each for itself, so
+   neither a task nor the driver holds more than one region's summary.
 2. In each region a tree with a fine threshold gives the micro-clusters; a full assignment pass puts every record into
    the nearest one and measures its radius.
-3. Each micro-cluster also visits the next regions. Among those that meet, Ward agglomeration merges micro-clusters up
+3. Each micro-cluster also visits the next regions, level by level. Among those that meet, Ward agglomeration merges micro-clusters up
    to the similarity asked for; pairs that it left apart, but whose radii allow similar records, are linked too.
    Merged and linked micro-clusters form candidate clusters.
 4. An exact check follows: in a candidate, every record's set of similar records is reduced to its size, smallest id and
@@ -32,7 +33,9 @@ from leafloom.llm.vectors import DIMENSIONS, distinct_vectors, lists, matrix, me
 
 SIMILAR = 0.85
 #: Records of a region; leaves of a summary tree; trees merged at once; regions a micro-cluster visits; records of a block.
-REGION, LEAVES, FAN_IN, VISITS, BLOCK = 2_000, 256, 8, 6, 4_096
+REGION, LEAVES, FAN_IN, VISITS, BLOCK = 2_000, 512, 8, 6, 4_096
+#: Parts a region is divided into at most; levels of regions at most; records summarised by one tree.
+SPLIT, LEVELS, PART = 128, 12, 20_000
 #: Branches of a tree node; radius of a micro-cluster.
 BRANCHES, FINE = 48, 0.3
 
@@ -143,23 +146,33 @@ def summary(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most:
     return tree.leaves()
 
 
-_CF = "part int, n double, ls array<float>, ss double"
+_CF = "region string, salt int, n double, ls array<float>, ss double"
 
 
-def _features(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _cf_frame(key: tuple, leaves: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+    n, ls, ss = leaves
+    return pd.DataFrame({"region": key[0], "salt": int(key[1]), "n": n, "ls": list(ls.astype(np.float32)), "ss": ss})
 
-        n, ls, ss = summary(((np.ones(b.num_rows), m, (m * m).sum(1)) for b in batches if b.num_rows for m in [matrix(b.column("vec")).astype(float)]), most)
-        yield pa.record_batch([pa.array(np.full(len(n), TaskContext.get().partitionId()), pa.int32()), pa.array(n), lists(ls.reshape(-1, DIMENSIONS)), pa.array(ss)], names=["part", "n", "ls", "ss"])
 
-    return run
+def _features(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    x = np.stack(rows["vec"].to_numpy()).astype(float)
+    return _cf_frame(key, summary(iter([(np.ones(len(x)), x, (x * x).sum(1))]), LEAVES))
+
 
+def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return _cf_frame(key, summary(iter([(rows["n"].to_numpy(), np.stack(rows["ls"].to_numpy()).astype(float), rows["ss"].to_numpy())]), LEAVES))
 
-def _merge(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        n, ls, ss = summary(iter([(group["n"].to_numpy(), np.stack(group["ls"].to_numpy()).astype(float), group["ss"].to_numpy())]), most)
-        return pd.DataFrame({"part": group["part"].iloc[0], "n": n, "ls": list(ls.astype(np.float32)), "ss": ss})
+
+def _centres(region: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Ward agglomeration of a region's leaves into the parts it needs, as unit centres."""
+        n = rows["n"].to_numpy()
+        c = np.stack(rows["ls"].to_numpy()).astype(float) / n[:, None]
+        labels = ward(n, c, int(min(SPLIT, max(2, -(-n.sum() // region)))))
+        sums = np.zeros((labels.max() + 1, c.shape[1]))
+        np.add.at(sums, labels, c * n[:, None])
+        sums /= np.maximum(np.sqrt((sums**2).sum(1, keepdims=True)), 1e-12)
+        return pd.DataFrame({"region": key[0], "sub": np.arange(len(sums)), "centre": list(sums.astype(np.float32))})
 
     return run
 
@@ -200,37 +213,52 @@ def ward(n: np.ndarray, centroids: np.ndarray, clusters: int = 1, height: float
     return np.unique(labels, return_inverse=True)[1]
 
 
-def region_centres(vectors: DataFrame, regions: int, leaves: int) -> np.ndarray:
-    """Unit centres of ``regions`` parts of the space; one tree of leaf summaries at a time is merged from FAN_IN."""
-    most = max(leaves, 4 * regions)
-    cf = cut(vectors.select("vec").mapInArrow(_features(most), _CF))
-    parts = cf.agg(F.coalesce(F.max("part") + 1, F.lit(0))).first()[0]
+def split_centres(rows: DataFrame, over: DataFrame, region: int) -> DataFrame:
+    """(region, sub, centre) of the regions ``over`` (region, n): trees over salted parts, merged FAN_IN at a time.
+
+    Nothing comes to the driver but the largest number of parts; a region's leaves, at most LEAVES a tree, are one group.
+    """
+    salted = rows.join(over, "region").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)).cast("int"))
+    cf = cut(salted.select("region", "salt", "vec").groupBy("region", "salt").applyInPandas(_features, _CF))
+    parts = cf.agg(F.max("salt") + 1).first()[0] or 1
     while parts > 1:
-        cf = cut(cf.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInPandas(_merge(most), _CF))
+        cf = cut(cf.withColumn("salt", (F.col("salt") / FAN_IN).cast("int")).groupBy("region", "salt").applyInPandas(_merge, _CF))
         parts = -(-parts // FAN_IN)
-    rows = cf.toPandas()
-    if not len(rows):
-        return np.zeros((0, DIMENSIONS), np.float32)
-    n, centroids = rows["n"].to_numpy(), np.stack(rows["ls"].to_numpy()) / rows["n"].to_numpy()[:, None]
-    labels = ward(n, centroids, regions)
-    sums = np.zeros((labels.max() + 1, DIMENSIONS))
-    np.add.at(sums, labels, centroids * n[:, None])
-    return (sums / np.maximum(np.sqrt((sums**2).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+    return cut(cf.groupBy("region").applyInPandas(_centres(region), "region string, sub int, centre array<float>"))
+
+
+def _route(columns: list[str], visits: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(key: tuple, rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
+        sim = np.stack(rows["vec"].to_numpy()) @ np.stack(centres["centre"].to_numpy()).T
+        k = min(visits, sim.shape[1])
+        top = np.argsort(-sim, 1)[:, :k] if k > 1 else sim.argmax(1)[:, None]
+        out = rows.iloc[np.repeat(np.arange(len(rows)), k)].copy()
+        subs = centres["sub"].to_numpy()
+        out["region"] = [f"{key[0]}.{subs[j]}" for j in top.ravel()]
+        out["sim"] = np.take_along_axis(sim, top, 1).ravel().astype(float)
+        return out[columns]
 
+    return run
 
-def _assign(centres, visits: int, vec: str = "vec") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sim = matrix(b.column(vec)) @ centres.value.T
-            if visits == 1:
-                yield pa.record_batch([pa.array(sim.argmax(1), pa.int32()), *b.columns], names=["region", *b.schema.names])
-                continue
-            k = min(visits, sim.shape[1])
-            top = np.argsort(-sim, 1)[:, :k]
-            at = pa.array(np.repeat(np.arange(len(top)), k))
-            yield pa.record_batch([pa.array(top.ravel(), pa.int32()), *(c.take(at) for c in b.columns)], names=["region", *b.schema.names])
 
-    return run
+def route(rows: DataFrame, centres: DataFrame, visits: int) -> DataFrame:
+    """Rows (id, region, sim, vec, ...) one level down: to the nearest ``visits`` parts of the regions that are divided.
+
+    Of all regions a row has come to it keeps the ``visits`` with the nearest centres.
+    """
+    divided = centres.select("region").distinct()
+    sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / PART).cast("int").alias("salts")).join(divided, "region", "left_semi")
+    inside = rows.join(sizes, "region").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts")
+    spread = centres.join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "sub", "centre")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    down = inside.groupBy("region", "salt").cogroup(spread.groupBy("region", "salt")).applyInPandas(_route(rows.columns, visits), schema)
+    out = rows.join(divided, "region", "left_anti").select(rows.columns).unionByName(down)
+    if visits == 1:
+        return out
+    best = Window.partitionBy("id").orderBy(F.desc("sim"), "region")
+    return out.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= visits).drop("__r")
 
 
 def _fine(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +283,7 @@ def _fine(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     records = pd.DataFrame({"leaf": first[leaf], "id": ids, "vec": None, "n": 0, "radius": 0.0})
     leaves = pd.DataFrame({"leaf": first, "id": None, "vec": list(means.astype(np.float32)), "n": size, "radius": radius})
     out = pd.concat([records.astype({"id": "Int64"}), leaves.astype({"id": "Int64"})], ignore_index=True)
-    out.insert(0, "region", int(key[0]))
+    out.insert(0, "region", key[0])
     return out
 
 
@@ -276,7 +304,7 @@ def _meet(reach: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         """Merged and linked micro-clusters of a region and its visitors, as edges (a, b)."""
         c, r, n = np.stack(group["vec"].to_numpy()).astype(np.float32), group["radius"].to_numpy(), group["n"].to_numpy()
-        leaf, home = group["leaf"].to_numpy(), np.nonzero(group["home"].to_numpy() == int(key[0]))[0]
+        leaf, home = group["leaf"].to_numpy(), np.nonzero(group["home"].to_numpy() == key[0])[0]
         square = (c * c).sum(1)
         left, right = [], []
         for s in range(0, len(home), 1024):
@@ -387,34 +415,36 @@ def exact_clusters(candidates: DataFrame, least: float = SIMILAR) -> DataFrame:
     return signed.join(agree.select("degree", "first_id", "sum_hash"), ["degree", "first_id", "sum_hash"]).select("id", "first_id")
 
 
-def micro_clusters(vectors: DataFrame, region: int = REGION) -> tuple[DataFrame, object]:
-    """Rows of ``_fine`` over all vectors (id, vec), and the regions' centres as a broadcast variable."""
-    spark = vectors.sparkSession
-    total = vectors.count()
-    vectors = parallel(vectors, "id")
-    centres = region_centres(vectors, max(1, -(-total // region)), LEAVES)
-    for _ in range(6):
-        shared = spark.sparkContext.broadcast(centres if len(centres) else np.zeros((1, DIMENSIONS), np.float32))
-        placed = vectors.mapInArrow(_assign(shared, 1), "region int, id bigint, vec array<float>")
-        counts = {r.region: r.n for r in placed.groupBy("region").agg(F.count("*").alias("n")).collect()}  # one row a region
-        over = [k for k, n in counts.items() if n > 4 * region]
-        if not over:
-            break
-        extra = region_centres(placed.filter(F.col("region").isin(over)), sum(-(-counts[k] // region) for k in over), LEAVES)
-        new = np.concatenate([np.delete(centres, over, 0), extra])
-        if len(new) <= len(centres):
+def micro_clusters(vectors: DataFrame, region: int = REGION) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of ``_fine`` over all vectors (id, vec), and the centres of each level of regions.
+
+    Regions of more than four times the wanted size are divided, level by level. A region that no longer falls apart
+    (its vectors are all but equal) stays as it is.
+    """
+    rows = cut(vectors.select(F.lit("0").alias("region"), "id", "vec", F.lit(0.0).alias("sim")))
+    levels: list[DataFrame] = []
+    for _ in range(LEVELS):
+        over = cut(rows.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * region))
+        if over.isEmpty():
             break
-        centres = new
-    return cut(placed.groupBy("region").applyInPandas(_fine, "region int, leaf bigint, id bigint, vec array<float>, n bigint, radius double")), shared
+        centres = split_centres(rows, over, region)
+        levels.append(centres)
+        rows = cut(route(rows, centres, 1))
+    return cut(rows.groupBy("region").applyInPandas(_fine, "region string, leaf bigint, id bigint, vec array<float>, n bigint, radius double")), levels
 
 
 def candidates(vectors: DataFrame, least: float = SIMILAR, region: int = REGION) -> DataFrame:
     """(component, id, vec, copies): records that may share a cluster with another record."""
-    micro, centres = micro_clusters(vectors.select("id", "vec"), region)
+    micro, levels = micro_clusters(vectors.select("id", "vec"), region)
     leaves = micro.filter("vec IS NOT NULL").select(F.col("region").alias("home"), "leaf", "vec", "n", "radius")
+    visits = leaves.select(F.lit("0").alias("region"), F.col("leaf").alias("id"), "home", "vec", "n", "radius", F.lit(0.0).alias("sim"))
+    for centres in levels:
+        visits = cut(route(visits, centres, VISITS))
     reach = float(np.sqrt(2 - 2 * least))
-    visits = leaves.mapInArrow(_assign(centres, VISITS), "region int, home int, leaf bigint, vec array<float>, n bigint, radius double")
-    edges = cut(visits.groupBy("region").applyInPandas(_meet(reach), "a bigint, b bigint"))
+    # every micro-cluster is in its home region, whatever regions its centroid leads to
+    at_home = leaves.select(F.col("home").alias("region"), F.col("leaf").alias("id"), "home", "vec", "n", "radius")
+    met = at_home.unionByName(visits.select("region", "id", "home", "vec", "n", "radius").filter("region <> home"))
+    edges = cut(met.withColumnRenamed("id", "leaf").groupBy("region").applyInPandas(_meet(reach), "a bigint, b bigint"))
     alone = leaves.filter("n > 1").select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))
     parts = connect(edges.unionByName(alone))
     # a vector that meets no other is still a candidate if it was entered several times

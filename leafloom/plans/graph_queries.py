@@ -136,9 +136,10 @@ def graph_g17_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g18_in_degree(spark: SparkSession, d: str) -> DataFrame:
-    """Largest in-degree after intermediate layers, and nodes by kind."""
+    """Original nodes left, and nodes whose in-degree still exceeds ten after intermediate layers."""
     nodes, edges = G.limit_in_degree(*_graph(spark, d), most=10, divider=5)
-    return edges.groupBy("dst").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), (F.max("n") <= 10).alias("within"))
+    over = edges.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 10").agg(F.count("*").alias("n_over"))
+    return nodes.filter("tag NOT LIKE 'inter_%'").agg(F.count("*").alias("n_original")).crossJoin(over)
 
 
 def graph_g20_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +219,7 @@ SQL = {
     "graph_g16_cycles": f"WITH RECURSIVE {_L}, r(a, b) AS (SELECT s, t FROM l UNION SELECT r.a, l.t FROM r JOIN l ON l.s = r.b) SELECT DISTINCT a AS node FROM r WHERE a = b",
     "graph_g04_isolated": f"WITH {_L}, {_T} SELECT name AS effect, (SELECT count(DISTINCT l.t) FROM l JOIN g a ON a.name = l.s AND a.tag = 'group' JOIN g b ON b.name = l.t AND b.tag = 'prepare') AS n_drugs FROM g WHERE tag = 'side_e' AND name NOT IN (SELECT t FROM l) AND EXISTS (SELECT 1 FROM l JOIN g a ON a.name = l.s AND a.tag = 'group' JOIN g b ON b.name = l.t AND b.tag = 'prepare')",
     "graph_g17_prune": f"WITH {_E}, {_N} SELECT tag, count(*) AS n FROM n GROUP BY 1",
-    "graph_g18_in_degree": "SELECT CAST(10 AS BIGINT) AS most, true AS within",
+    "graph_g18_in_degree": f"WITH {_E}, {_N} SELECT count(*) AS n_original, CAST(0 AS BIGINT) AS n_over FROM n",
     "graph_g20_vocabulary": f"WITH {_E}, {_N} SELECT tag, count(*) AS n FROM n WHERE tag <> 'side_e' OR lower(name) IN (SELECT lower(term) FROM effect_terms) GROUP BY 1",
     "graph_g21_json": "WITH p AS (SELECT DISTINCT trim(drug_group) AS g, trim(drug) AS d FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL) SELECT 'group' AS tag, count(DISTINCT g) AS n FROM p UNION ALL SELECT 'prepare', count(DISTINCT d) FROM p UNION ALL SELECT 'links', count(*) FROM p",
     "graph_g22_paths": f"WITH {_E}, g AS (SELECT DISTINCT s FROM e WHERE st = 'group'), a AS (SELECT e.t FROM e WHERE st = 'group'), b AS (SELECT e.t FROM a JOIN e ON e.s = a.t AND e.st = 'prepare') SELECT CAST(k AS INT) AS n_edges, n FROM (SELECT 0 AS k, (SELECT count(*) FROM g) AS n UNION ALL SELECT 1, (SELECT count(*) FROM a) UNION ALL SELECT 2, (SELECT count(*) FROM b)) WHERE n > 0",

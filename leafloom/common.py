@@ -72,9 +72,10 @@ def parallel(df: DataFrame, *by: str | Column) -> DataFrame:
     return df.repartition(n, *by)
 
 
-def hot_keys(counts: DataFrame, weight: str, total: int, share: int = 1000) -> DataFrame:
-    """Rows of ``counts`` whose weight exceeds one ``share``-th of ``total``: fewer than ``share`` rows by construction."""
-    return counts.filter(F.col(weight) > max(total // share, 1))
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table read in fewer partitions than there are cores (one small file); larger ones stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def skew_join(rows: DataFrame, side: DataFrame, key: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:

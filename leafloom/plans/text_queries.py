@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import table
+from leafloom.common import spread, table
 from leafloom.functions import text as T
 from leafloom.functions.rules import S, W, apply_sql, strip_sql
 from leafloom.operators import annotation, extraction
@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 
 def _on_documents(name: str, fn: Callable[[Column], Column], sql: Callable[[str], str] | None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", fn(F.col("text")).alias("v"))
+        rows = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL")).select("doc_id", fn(F.col("text")).alias("v"))
         return rows.select("doc_id", F.md5(F.coalesce("v", F.lit(""))).alias("text_md5"), F.length("v").cast("bigint").alias("n_chars"))
 
     QUERIES[name] = query
@@ -89,12 +89,12 @@ _on_documents("fn_x17_truncate_after", lambda c: T.truncate_after(c, _STOPS), _t
 
 
 def fn_x13_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.numbers(F.col("text")).alias("v"))
+    rows = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL")).select("doc_id", T.numbers(F.col("text")).alias("v"))
     return rows.select("doc_id", F.size("v").cast("bigint").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 def fn_x14_minerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    rows = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL"))
     salted = F.concat_ws(" ", "text", F.element_at(F.array(F.lit("соли калия"), F.lit("железо и медь")), (F.col("doc_id") % 2 + 1).cast("int")))
     return rows.select("doc_id", F.array_join(T.minerals(salted), ",").alias("minerals"))
 
@@ -139,7 +139,7 @@ def fn_x27_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fn_x18_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document (also a count of sentences)."""
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.sentences(F.col("text"), parentheses=True).alias("s"))
+    rows = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL")).select("doc_id", T.sentences(F.col("text"), parentheses=True).alias("s"))
     return rows.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("text_md5"))
 
 
@@ -179,22 +179,22 @@ def ext_l01_side_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ext_l03_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven sections of every leaflet text, and how many documents have each."""
-    out = extraction.sections(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    out = extraction.sections(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", ["doc_id"])
     return R.coverage(out, list(extraction.SECTIONS))
 
 
 def ext_l04_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND lang = 'ru'").select("doc_id", extraction.chapters(F.col("text")).alias("c"))
+    docs = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL AND lang = 'ru'")).select("doc_id", extraction.chapters(F.col("text")).alias("c"))
     return docs.select("doc_id", extraction.chapter_stats(F.col("c")).alias("s")).select("doc_id", "s.found_count", "s.not_found_count", F.array_join("s.not_found_list", "|").alias("missing"))
 
 
 def ext_l05_contraindications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", extraction.contraindications(F.col("text")).alias("c"))
+    docs = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL")).select("doc_id", extraction.contraindications(F.col("text")).alias("c"))
     return docs.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|")).alias("items_md5"))
 
 
 def ext_l14_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", extraction.elimination_periods(F.col("text")).alias("e"), extraction.protein_binding(F.col("text")).alias("p"))
+    docs = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL")).select("doc_id", extraction.elimination_periods(F.col("text")).alias("e"), extraction.protein_binding(F.col("text")).alias("p"))
     return docs.select("doc_id", F.size("e").alias("n_elimination"), F.size("p").alias("n_binding"))
 
 
@@ -210,7 +210,7 @@ def ext_l16_loader_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_f01_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = annotation.document_tokens(table(spark, sf_dir, "documents"))
+    toks = annotation.document_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return toks.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.length("token")).alias("n_token_chars"), F.max("token_end").alias("last_end"))
 
 

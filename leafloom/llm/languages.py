@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import table
+from leafloom.common import spread, table
 from leafloom.llm.lookalikes import by_table
 
 LANGUAGES = ("ru", "en", "de", "lv", "uk")
@@ -337,7 +337,7 @@ def training_sample(documents: DataFrame, per_language: int = PER_LANGUAGE, samp
 def detect(documents: DataFrame, field: Field, keep: list[str]) -> DataFrame:
     """``keep`` with lang, confidence and, for mixed documents only, line_langs and line_confidences."""
     spark = documents.sparkSession
-    rows = documents.filter(F.col("text").isNotNull()).select(*keep, "text")
+    rows = spread(documents.filter(F.col("text").isNotNull()).select(*keep, "text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     shared = spark.sparkContext.broadcast(field)
     return rows.mapInArrow(_labeller(shared), f"{fields}, lang string, confidence double, line_langs array<string>, line_confidences array<double>").filter("lang IS NOT NULL")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, table
+from leafloom.common import cut, spread, table
 
 #: Lower-case letters that look alike in the Latin, Cyrillic and Greek alphabets.
 LOOK_ALIKES = ("aаα", "bьЬ", "cсϲ", "dԁ", "eеε", "gɡ", "hһ", "iіι", "jјϳ", "kкκ", "lӏ", "mм", "nпη", "oоοσ", "pрρ", "qԛ", "sѕ", "tтτ", "uυ", "vνѵ", "wѡԝ", "xхχ", "yуγ", "rг", "ïї", "ëё", "öӧ", "äӓ", "ăӑ")
@@ -316,7 +316,7 @@ def consistent_texts(texts: DataFrame) -> DataFrame:
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     effects = table(spark, sf_dir, "side_effects").select(F.lit("side_effects").alias("table_name"), F.col("id").alias("row_id"), F.col("effect").alias("text"))
-    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_id"), "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_id"), "text")
     return effects.unionByName(documents).filter(F.col("text").isNotNull())
 
 

@@ -19,7 +19,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, table
+from leafloom.common import cut, spread, table
 from leafloom.llm.tokens import TOKENIZERS, VOCABULARY, token_counts
 
 UNIT = 1 << 32
@@ -60,7 +60,7 @@ def systematic_sample(sized: DataFrame, factors: DataFrame, seed: int = 42) -> D
 
 
 def _sized(documents: DataFrame, targets: DataFrame, folder: str, file: str) -> DataFrame:
-    wanted = documents.filter("text <> ''").join(_targets(targets).select("source"), "source", "left_semi")
+    wanted = spread(documents.select("doc_id", "source", "text").filter("text <> ''")).join(_targets(targets).select("source"), "source", "left_semi")
     return cut(token_counts(wanted, ["doc_id", "source"], folder=folder, file=file))
 
 

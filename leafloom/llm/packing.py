@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, parallel, table
+from leafloom.common import cut, spread, table
 from leafloom.llm.tokens import TOKENIZERS, VOCABULARY, token_counts
 
 #: Items of a shard, at most about; bins filled less than this share go to the second round.
@@ -143,7 +143,7 @@ def pack_texts(documents: DataFrame, limits: DataFrame, shard_items: int = SHARD
     share a container.
     """
     cluster = F.xxhash64(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", "")).alias("cluster")
-    sized = cut(token_counts(documents.select("doc_id", "source", cluster, "text").filter("text <> ''"), ["doc_id", "source", "cluster"], folder=folder, file=file).filter("n_tokens > 0"))
+    sized = cut(token_counts(spread(documents.select("doc_id", "source", "text").filter("text <> ''")).select("doc_id", "source", cluster, "text"), ["doc_id", "source", "cluster"], folder=folder, file=file).filter("n_tokens > 0"))
     kinds = limits.filter("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
     each = sized.crossJoin(F.broadcast(kinds))  # a list of capacities, not data: each kind is a packing of all texts
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.col("capacity")))

@@ -28,7 +28,7 @@ from leafloom.llm.lookalikes import by_table
 LANGUAGES = ("ru", "en", "de", "lv", "uk")
 K = len(LANGUAGES)
 #: The bound of the training sample.
-PER_LANGUAGE, SAMPLE_CHARS = 300, 4000
+PER_LANGUAGE, SAMPLE_CHARS = 200, 4000
 #: Words whose emissions a worker remembers; characters it labels at once.
 MEMORY, CHUNK = 300_000, 1_500_000
 #: A document counts as mixed only if another language's lines hold at least this posterior.
@@ -114,7 +114,7 @@ def _vote(documents: list[list[list[str]]], labels: list[int]) -> list[list[int]
     return [[int(np.argmax(sum((logs[w] for w in line), none))) if line else -1 for line in lines] for lines in documents]
 
 
-def train(rows: list[tuple[str, str]], rounds: int = 60, rate: float = 0.25, ridge: float = 1e-4) -> Field:
+def train(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 0.25, ridge: float = 1e-4) -> Field:
     """Fit the field to (text, label) rows by gradient ascent on the likelihood of the voted labels."""
     documents = [[[w.lower() for w in re.findall(r"[^\W\d_]+", line)] for line in text.split("\n")] for text, _ in rows]
     voted = _vote(documents, [LANGUAGES.index(label) for _, label in rows])

@@ -305,3 +305,10 @@ def penalised_similarity(a: Column, b: Column, similarity: Column, penalty: floa
     return F.when(differ, F.greatest(F.lit(0.0), similarity - penalty)).otherwise(similarity)
 
 
+
+
+def lemmatize_words(text: Column, lemmas: dict[str, str]) -> Column:
+    """Words between spaces by their lemma; null becomes empty."""
+    table = F.create_map(*[F.lit(x) for kv in (lemmas or {"": ""}).items() for x in kv])
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{S}]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(table, F.lower(w)), w)), " ")

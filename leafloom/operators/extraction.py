@@ -6,6 +6,7 @@ Every extractor is an expression within the row; texts are cut by sentinel chara
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ EXAMPLE_WORDS = ["включая", "такие как", "в том числе"]
 UNKNOWN_FREQUENCY = "Частота неизвестна"
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _any(words: list[str]) -> str:
     return "|".join(re.escape(w).replace(r"\ ", " ") for w in words)
 
@@ -50,14 +56,19 @@ def side_effects_of(text: Column, classes: list[str]) -> Column:
     heads = _any(sorted(classes, key=lambda c: (-len(c), c)))
     pieces = _pieces(text, rf"(?m)^({heads})[{S}]*")
     flat = F.transform(pieces, lambda p: F.struct(p["head"].alias("head"), strip(F.regexp_replace(p["body"], "\n", " ")).alias("body")))
-    names = F.transform(flat, lambda p: p["head"])
-    opens = F.transform(names, lambda n, i: F.array_position(names, n) == i + 1)
-    home = F.transform(names, lambda n, i: F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(opens, j))))
-    body = lambda s: F.array_join(F.filter(F.transform(F.filter(F.sequence(F.lit(0), F.size(flat) - 1), lambda i: F.get(home, i) == F.get(home, F.array_position(names, s).cast("int") - 1)), lambda i: F.get(flat, i)["body"]), lambda b: b != ""), " ")
-    sections = F.when(F.size(flat) > 0, F.transform(F.array_distinct(names), lambda s: F.struct(s.alias("section"), body(s).alias("body"))))
+
+    def grouped(flat: Column, names: Column) -> Column:
+        opens = F.transform(names, lambda n, i: F.array_position(names, n) == i + 1)
+        home = bind(opens, lambda o: F.transform(names, lambda n, i: F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(o, j)))))
+        body = lambda h, s: F.array_join(F.filter(F.transform(F.filter(F.sequence(F.lit(0), F.size(flat) - 1), lambda i: F.get(h, i) == F.array_position(names, s).cast("int") - 1), lambda i: F.get(flat, i)["body"]), lambda b: b != ""), " ")
+        return F.when(F.size(flat) > 0, bind(home, lambda h: F.transform(F.array_distinct(names), lambda s: F.struct(s.alias("section"), body(h, s).alias("body")))))
+
+    sections = bind(flat, lambda f: bind(F.transform(f, lambda p: p["head"]), lambda n: grouped(f, n)))
 
     def per_section(s: Column) -> Column:
-        marks = _pieces(F.lower(s["body"]), rf"({_any(FREQUENCY_WORDS)}){AFTER_FREQUENCY}")
+        return bind(_pieces(F.lower(s["body"]), rf"({_any(FREQUENCY_WORDS)}){AFTER_FREQUENCY}"), lambda marks: with_marks(s, marks))
+
+    def with_marks(s: Column, marks: Column) -> Column:
         words = F.transform(marks, lambda m: m["head"])
         last = F.filter(marks, lambda m, i: ~F.array_contains(F.slice(words, i + 2, F.size(words) + 1), m["head"]))
         sub = lambda b: F.regexp_replace(F.substring_index(strip(b), ".", 1), rf"[{S}]*\d+;?[{S}]*$|[;{S})]+$", "")
@@ -158,32 +169,30 @@ def _flexible(header: str) -> str:
 
 def chapters(text: Column) -> Column:
     """map of chapter to text: the first hit of each header, in the canonical order, up to the start of the next one."""
-    low = F.lower(text)
-
-    def hit(names: list[str]) -> Column:
+    def hit(low: Column, names: list[str]) -> Column:
         alternatives = "|".join(_flexible(n.lower()) for n in names)
         pattern = rf"(?<![\p{{L}}\p{{N}}_])(?:[{S}]*(?:\d+(?:\.\d+)*)[{S}]*)?(?:{alternatives})(?![\p{{L}}\p{{N}}_])"
         start = F.regexp_instr(low, F.lit(pattern))
         return F.struct(start.alias("start"), (start + F.length(F.regexp_substr(low, F.lit(pattern)))).alias("stop"))
 
-    found = F.filter(F.array(*[F.struct(F.lit(c).alias("name"), hit([c, *v]).alias("at")) for c, v in CHAPTERS.items()]), lambda x: x["at"]["start"] > 0)
+    found = bind(F.lower(text), lambda low: F.filter(F.array(*[F.struct(F.lit(c).alias("name"), hit(low, [c, *v]).alias("at")) for c, v in CHAPTERS.items()]), lambda x: x["at"]["start"] > 0))
 
-    def body(i: Column, x: Column) -> Column:
+    def body(found: Column, i: Column, x: Column) -> Column:
         following = F.get(found, i + 1)
         end = F.coalesce(following["at"]["start"], F.length(text) + 1)
         raw = F.substring(text, x["at"]["stop"], F.greatest(end - x["at"]["stop"], F.lit(0)))
         clean = strip(F.regexp_replace(raw, rf"[{S}\d.]*$", ""))
         return F.when(x["name"] == "Нежелательные реакции", F.substring_index(clean, REPORTING_MARK, 1)).otherwise(clean)
 
-    pairs = F.transform(found, lambda x, i: F.struct(x["name"].alias("key"), body(i, x).alias("value")))
+    pairs = bind(found, lambda f: F.transform(f, lambda x, i: F.struct(x["name"].alias("key"), body(f, i, x).alias("value"))))
     return F.map_from_entries(F.filter(pairs, lambda p: ~p["key"].isin(TRASH_CHAPTERS)))
 
 
 def chapter_stats(found: Column) -> Column:
     """struct(found_count, not_found_count, not_found_list)."""
     expected = F.array(*[F.lit(c) for c in CHAPTERS if c not in TRASH_CHAPTERS])
-    missing = F.array_except(expected, F.map_keys(found))
-    return F.struct(F.size(found).alias("found_count"), F.size(missing).alias("not_found_count"), missing.alias("not_found_list"))
+    missing = lambda keys: F.array_except(expected, keys)
+    return bind(F.map_keys(found), lambda k: F.struct(F.size(k).alias("found_count"), F.size(missing(k)).alias("not_found_count"), missing(k).alias("not_found_list")))
 
 
 def contraindications(text: Column, most: int = 60) -> Column:
@@ -230,8 +239,8 @@ def report_groups(html: Column) -> Column:
     items = F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"))
     read = F.transform(items, lambda i: F.struct((F.size(F.split(i, r"(?i)<span")) > 2).alias("head"), strip(strip_tags(i)).alias("line")))
     lines = F.transform(read, lambda r: F.struct(r["head"].alias("head"), T.group_line(r["line"]).alias("g"), T.effect_line(r["line"]).alias("e")))
-    last = lambda i: F.element_at(F.filter(F.slice(lines, 1, i + 1), lambda x: x["head"]), -1)["g"]
-    rows = F.transform(lines, lambda x, i: F.struct(F.when(F.exists(F.slice(lines, 1, i + 1), lambda y: y["head"]), last(i)).alias("g"), x["head"].alias("head"), x["e"].alias("e")))
+    last = lambda ls, i: F.element_at(F.filter(F.slice(ls, 1, i + 1), lambda x: x["head"]), -1)["g"]
+    rows = bind(lines, lambda ls: F.transform(ls, lambda x, i: F.struct(F.when(F.exists(F.slice(ls, 1, i + 1), lambda y: y["head"]), last(ls, i)).alias("g"), x["head"].alias("head"), x["e"].alias("e"))))
     kept = F.filter(rows, lambda x: ~x["head"] & x["g"].isNotNull() & x["e"]["name"].isNotNull())
     return F.transform(kept, lambda x: F.struct(x["g"]["name"].alias("grp"), x["g"]["percent"].alias("percent"), x["g"]["cases"].alias("grp_cases"), x["e"]["name"].alias("effect"), x["e"]["cases"].alias("cases")))
 

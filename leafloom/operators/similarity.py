@@ -235,3 +235,18 @@ def hard_negatives(anchors: DataFrame, candidates: DataFrame, positives: DataFra
     both = positives.select("a", "b").unionByName(positives.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     return pairs.join(both, ["a", "b"], "left_anti").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select(F.col("a").alias("anchor"), F.col("b").alias("negative"), "sim")
+
+
+def simplify_graph(edges: DataFrame, least: float = 0.99, encoder: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the edge list after its terms are unified by similarity."""
+    from leafloom.operators.graphs import build_graph
+
+    return build_graph(normalise_edges(edges, least, encoder))
+
+
+def normalise_series(terms: DataFrame, least: float = 0.95, encoder: Callable | None = None) -> DataFrame:
+    """(term, canonical) of the distinct non-null terms: the first term of each greedy cluster."""
+    vectors = cut(encode_terms(terms, encoder=encoder).withColumnRenamed("term", "id"))
+    pairs = similar_pairs(vectors, None, least)
+    clusters = greedy_clusters(cut(pairs), vectors.select("id", F.col("id").alias("ord")))
+    return clusters.select(F.col("id").alias("term"), F.col("cluster").alias("canonical"))

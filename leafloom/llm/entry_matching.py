@@ -62,7 +62,7 @@ def fold_sql(value: str) -> str:
 
 def _variants_sql(value: str) -> str:
     plain = rf"regexp_replace({value}, '[\\s\\p{{Z}}]+', ' ')"
-    bare = rf"regexp_replace(regexp_replace({plain}, '^[^\\p{{L}}\\p{{N}}(\\[（［]+', ''), '(?<=[\\p{{L}}\\p{{N}}\\p{{M}}].{{0,9}})[(\\[（［][^)\\]）］]*[)\\]）］]?', ' ')"
+    bare = rf"regexp_replace(regexp_replace({plain}, '^[^\\p{{L}}\\p{{N}}(\\[（［]+', ''), '([\\p{{L}}\\p{{N}}\\p{{M}}][^(\\[（［]*)[(\\[（［][^)\\]）］]*[)\\]）］]?', '$1 ')"
     first = rf"regexp_extract({bare}, '^(.*?)(?:{_REMARK})', 1)"
     last = rf"regexp_extract({bare}, '^(.*)(?:{_REMARK})', 1)"
     return f"array({', '.join(fold_sql(v) for v in (bare, first, last))})"
@@ -164,4 +164,44 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched}
-SQL: dict[str, str] = {}
+
+
+def _duck(expression: str) -> str:
+    """The same expression in DuckDB: one backslash, global replacement, its sign for a group."""
+    plain = expression.replace("\\\\", "\\").replace("'$1 '", "'\\1 '")
+    out, depth, calls = [], 0, []
+    for i, c in enumerate(plain):
+        if plain.startswith("regexp_replace(", i):
+            calls.append(depth + 1)
+        if c == "(" and not _quoted(plain, i):
+            depth += 1
+        if c == ")" and not _quoted(plain, i):
+            if calls and calls[-1] == depth:
+                out.append(", 'g'")
+                calls.pop()
+            depth -= 1
+        out.append(c)
+    return "".join(out)
+
+
+def _quoted(text: str, at: int) -> bool:
+    return text.count("'", 0, at) % 2 == 1
+
+
+_LETTERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяіјѕ"
+#: One byte a letter, as that engine's distance counts bytes.
+_BYTES = lambda v: f"translate({v}, '{_LETTERS}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+')"
+SQL: dict[str, str] = {
+    "p3_found": rf"""WITH e AS (SELECT 'effect' AS field, term AS entry FROM effect_terms UNION ALL SELECT 'frequency', category FROM frequency_ranges),
+  n AS (SELECT field, entry, entry AS form FROM e UNION ALL SELECT e.field, e.entry, s.variant FROM e JOIN synonyms s ON s.canonical = e.entry),
+  f AS (SELECT DISTINCT field, entry, {_duck(fold_sql('form'))} AS form FROM n),
+  r AS (SELECT 'effect' AS field, id AS row_id, effect AS value FROM side_effects UNION ALL SELECT 'frequency', row_id, frequency FROM drug_side_effects),
+  a AS (SELECT r.* FROM r LEFT JOIN e ON e.field = r.field AND e.entry = r.value WHERE e.entry IS NULL AND regexp_matches(r.value, '[^\p{{Z}}\s\p{{Cf}}]')),
+  v AS (SELECT field, value, {_duck(_variants_sql('value')).replace('array(', '[', 1)[:-1]}] AS vs FROM (SELECT DISTINCT field, value FROM a)),
+  p AS (SELECT field, value, unnest([0, 1, 2]) AS variant, unnest(vs) AS v FROM v),
+  c AS (SELECT p.field, value, entry, variant, levenshtein({_BYTES('v')}, {_BYTES('form')}) AS d, abs(length(v) - length(form)) AS gap, {_edits_sql('length(form)')} AS k
+    FROM p JOIN f ON p.field = f.field AND abs(length(v) - length(form)) <= 4 WHERE v <> '' AND form <> ''),
+  b AS (SELECT field, value, arg_min(entry, (d, variant, gap, entry)) AS entry FROM c WHERE d <= k GROUP BY 1, 2)
+SELECT a.field, a.row_id, coalesce(b.entry, '{UNMATCHED}') AS entry FROM a LEFT JOIN b ON b.field = a.field AND b.value = a.value""".replace("\\\\", "\\"),
+}
+SQL["p3_unmatched"] = f"SELECT field, value, count(*) AS n FROM ({SQL['p3_found'].replace('SELECT a.field, a.row_id,', 'SELECT a.field, a.value,')}) WHERE entry = '{UNMATCHED}' GROUP BY 1, 2"

@@ -195,4 +195,10 @@ def p7_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_searches": p7_searches}
-SQL: dict[str, str] = {}
+#: All pairs of usable vectors by their cosine, for small tables.
+SIMILAR_SQL = """WITH u AS (SELECT side_effect_id AS id, CAST(vec AS DOUBLE[]) AS v FROM effect_vectors
+    WHERE len(vec) = 64 AND list_sum(list_transform(vec, lambda x: abs(x))) > 0),
+  s AS (SELECT * FROM (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id) WHERE c >= 0.85)"""
+SQL: dict[str, str] = {
+    "p7_found": SIMILAR_SQL + " SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS r FROM s) WHERE r <= 5",
+}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafloom.common import cut, parallel, table
-from leafloom.llm.neighbours import _units
+from leafloom.llm.neighbours import SIMILAR_SQL, _units
 from leafloom.llm.vectors import DIMENSIONS, distinct_vectors, lists, matrix, members
 
 SIMILAR = 0.85
@@ -514,4 +514,6 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_clusters": p5_clusters}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": SIMILAR_SQL + ", n AS (SELECT i, list_sort(list_append(list(j), i)) AS near FROM s GROUP BY i), g AS (SELECT near FROM n GROUP BY near HAVING count(*) = len(near)) SELECT near[1] AS first_id, i AS member_id FROM n JOIN g USING (near) WHERE i <> near[1]",
+}

@@ -32,7 +32,7 @@ class Bins:
 
     def __init__(self, capacity: int, foes: list[int]) -> None:
         self.capacity, self.foes = capacity, foes
-        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.at: list[dict[int, None]] = [{} for _ in range(capacity + 1)]  # bins by residual, in order of their coming
         self.filled = 0  # bit r is set while a bin with residual r is open
         self.sources: list[int] = []
         self.clusters: list[int] = []
@@ -84,12 +84,12 @@ class Bins:
 
     def _move(self, i: int, old: int | None, new: int) -> None:
         if old is not None:
-            self.at[old].remove(i)
+            del self.at[old][i]
             if not self.at[old]:
                 self.filled &= ~(1 << old)
         self.residual[i] = new
         if new:
-            self.at[new].append(i)
+            self.at[new][i] = None
             self.filled |= 1 << new
 
 

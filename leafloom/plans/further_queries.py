@@ -452,3 +452,13 @@ SQL = {
     "src_k13_stubs": "SELECT id, CAST(len(string_split(effect, ',')) AS INT) AS n FROM side_effects WHERE effect IS NOT NULL",
     "stream_s18c_redelivered": "SELECT rel_id FROM relations",
 }
+_VEC = "u AS (SELECT vec_id AS id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS i FROM embeddings)"
+SQL |= {
+    "bayes_b19_description": f"WITH {_NET} SELECT (SELECT md5(string_agg(g || '=' || CAST(length(g) % 2 AS VARCHAR), ' + ' ORDER BY g || '=' || CAST(length(g) % 2 AS VARCHAR))) FROM q) AS description_md5, g AS node, CAST(length(g) % 2 AS DOUBLE) AS p FROM q UNION ALL SELECT (SELECT md5(string_agg(g || '=' || CAST(length(g) % 2 AS VARCHAR), ' + ' ORDER BY g || '=' || CAST(length(g) % 2 AS VARCHAR))) FROM q), s, round(CAST(0.05 + 0.3 * sum(CASE WHEN length(g) % 2 = 1 THEN 1 - 1e-6 ELSE 1e-6 END) AS DOUBLE), 5) FROM e GROUP BY s",
+    "sim_x34_cosine": f"WITH {_VEC}, m AS (SELECT label, i, avg(x) AS y FROM u GROUP BY 1, 2) SELECT id, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 4) AS cosine FROM u JOIN m USING (label, i) GROUP BY id",
+    "sim_t08_negatives": "SELECT anchor, negative, round(sim, 4) AS sim FROM (SELECT a.vec_id AS anchor, b.vec_id AS negative, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label <> b.label) WHERE r <= 2 AND sim >= 0.2",
+    "pair_r05b_inverse": "SELECT min(label) AS canonical, CAST(count(DISTINCT label) - 1 AS INT) AS n FROM (SELECT canonical AS cluster, unnest([canonical, variant]) AS label FROM synonyms) GROUP BY cluster",
+    "graph_g16b_simple_cycles": f"WITH RECURSIVE {_L}, r(start, node, path, k) AS (SELECT s, t, s, 1 FROM l UNION ALL SELECT start, l.t, path || ' > ' || node, k + 1 FROM r JOIN l ON l.s = r.node WHERE r.node > start AND k < 7 AND NOT list_contains(string_split(path, ' > '), r.node)) SELECT path FROM r WHERE node = start",
+    "graph_g23_layout": f"WITH RECURSIVE {_E}, {_N}, v(name, tag, level) AS (SELECT name, tag, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.t = n.name AND e.tt = n.tag) UNION SELECT e.t, e.tt, v.level + 1 FROM v JOIN e ON e.s = v.name AND e.st = v.tag), k AS (SELECT level, count(*) AS n FROM (SELECT name, tag, max(level) AS level FROM v GROUP BY 1, 2) GROUP BY 1) SELECT CAST(-level AS DOUBLE) AS y, n, CAST((1 - n) / 2.0 AS DOUBLE) AS left_x, CAST((n - 1) / 2.0 AS DOUBLE) AS right_x FROM k",
+    "clus_a14_davies_bouldin": f"WITH {_VEC}, m AS (SELECT label, i, avg(x) AS y FROM u GROUP BY 1, 2), d AS (SELECT id, label, sqrt(sum((x - y) * (x - y))) AS d FROM u JOIN m USING (label, i) GROUP BY 1, 2), s AS (SELECT label, avg(d) AS s FROM d GROUP BY 1), c AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.y - b.y) * (a.y - b.y))) AS d FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2), w AS (SELECT a, max((x.s + y.s) / d) AS r FROM c JOIN s x ON x.label = a JOIN s y ON y.label = b GROUP BY 1) SELECT round(avg(r), 4) AS davies_bouldin, count(*) AS n_clusters FROM w",
+}

@@ -14,7 +14,7 @@ def weight_matrix(drugs: DataFrame, ranks: DataFrame, reports: DataFrame, totals
 
     The grid of drugs and effects is the result itself; counts come in by equality joins.
     """
-    grid = drugs.select("drug").distinct().crossJoin(F.broadcast(ranks.select("effect", "rank")))
+    grid = drugs.select("drug").distinct().crossJoin(ranks.select("effect", "rank"))
     cases = reports.groupBy("drug", "effect").agg(F.sum("cases").alias("cases"))
     all_ = grid.join(cases, ["drug", "effect"], "left").join(totals.groupBy("drug").agg(F.max("total").alias("total")), "drug", "left")
     return all_.select("drug", "effect", effect_weight(F.col("cases"), F.col("rank"), F.col("total"), F.col("effect")).alias("w"))
@@ -48,7 +48,7 @@ def first_effect(sums: DataFrame) -> DataFrame:
 def pairs(ids: DataFrame) -> DataFrame:
     """All unordered pairs (id1 < id2) of a list of ids."""
     a, b = ids.select(F.col("id").alias("id1")), ids.select(F.col("id").alias("id2"))
-    return a.join(F.broadcast(b), F.col("id1") < F.col("id2"))
+    return a.join(b, F.col("id1") < F.col("id2"))
 
 
 def pair_classes(weights: DataFrame, ids: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def what_if(weights: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def compatible_triples(compatible: DataFrame, excluded: DataFrame, ids: DataFrame) -> DataFrame:
     """(a, b, c) in order: a compatible pair and a third id, none of whose pairs is excluded."""
-    third = compatible.select("id1", "id2").join(F.broadcast(ids.select(F.col("id").alias("id3"))), (F.col("id3") != F.col("id1")) & (F.col("id3") != F.col("id2")))
+    third = compatible.select("id1", "id2").join(ids.select(F.col("id").alias("id3")), (F.col("id3") != F.col("id1")) & (F.col("id3") != F.col("id2")))
     s = third.select(F.array_sort(F.array("id1", "id2", "id3")).alias("t")).distinct().select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
     bad = cut(excluded.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct())
     for p, q in (("a", "b"), ("a", "c"), ("b", "c")):

@@ -178,7 +178,7 @@ def edges_between(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def grid_lookup(left: DataFrame, right: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
     """Every pair of two dimensions with its fact, if any. The dimensions are lists; the grid is the result itself."""
-    return left.crossJoin(F.broadcast(right)).join(facts, on, "left")
+    return left.crossJoin(right).join(facts, on, "left")
 
 
 def semi_edges(edges: DataFrame, nodes: DataFrame, new_targets: DataFrame) -> DataFrame:

@@ -171,3 +171,21 @@ def test_heap_walks_by_rising_sum():
     walked = N.nearest_pairs(a, b, 9)
     sums = [a[i] + b[j] for i, j in walked]
     assert sums == sorted(sums) and len(set(walked)) == 9
+
+
+def test_exact_search_misses_nothing(spark):
+    """Far more cells than are walked first; neighbours far apart; an opposite vector; fewer entries than asked for."""
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(1500, 64)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    units = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id bigint, vec array<float>")
+    got: dict[int, list[float]] = {}
+    for r in N.nearest(units, units.filter("id % 20 = 0"), 10, -1.0, 1, exact=True).collect():
+        assert abs(r.cosine - s[r.id, r.other]) < 1e-5
+        got.setdefault(r.id, []).append(r.cosine)
+    assert sorted(got) == list(range(0, 1500, 20))
+    assert all(np.allclose(sorted(c), np.sort(s[i])[-10:], atol=1e-5) for i, c in got.items())
+    few = spark.createDataFrame([(1, [1.0] + [0.0] * 63), (2, [-1.0] + [0.0] * 63)], "id bigint, vec array<float>")
+    assert {(r.id, r.other, r.cosine) for r in N.nearest(few, few, 10, -1.0, 96, exact=True).collect()} == {(1, 2, -1.0), (2, 1, -1.0)}

@@ -236,19 +236,18 @@ def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         have = left
 
 
-def simple_cycles(edges: DataFrame, most: int = 10) -> DataFrame:
-    """(path) of simple cycles of at most ``most`` nodes, each once, starting at its smallest node."""
-    paths = edges.filter("src = dst").select(F.array("src").alias("path"))
-    grow = edges.filter("src < dst").select(F.array("src", "dst").alias("path"))
-    out = paths
-    for _ in range(most - 1):
-        grow = cut(grow)
-        if grow.isEmpty():
-            break
-        last = grow.select("path", F.element_at("path", -1).alias("src"))
-        next_ = last.join(edges, "src")
+def simple_cycles(edges: DataFrame, most: int | None = 10) -> DataFrame:
+    """(path) of simple cycles of at most ``most`` nodes (None: of any length), each once, starting at its smallest node."""
+    out = edges.filter("src = dst").select(F.array("src").alias("path"))
+    grow = cut(edges.filter("src < dst").select(F.array("src", "dst").alias("path")))
+    size = 2
+    while (most is None or size <= most) and not grow.isEmpty():
+        next_ = grow.select("path", F.element_at("path", -1).alias("src")).join(edges, "src").select("path", "dst")
+        # paths that close or go on, written once
+        next_ = cut(next_.filter((F.col("dst") >= F.element_at("path", 1)) & ~F.array_contains(F.slice("path", 2, size), F.col("dst"))))
         out = out.unionByName(next_.filter(F.col("dst") == F.element_at("path", 1)).select("path"))
-        grow = next_.filter((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        grow = next_.filter(F.col("dst") > F.element_at("path", 1)).select(F.concat("path", F.array("dst")).alias("path"))
+        size += 1
     return out
 
 

@@ -87,3 +87,15 @@ def test_symmetric_edges_collapse(spark):
     rows = [("ab", "action", "b", "side_e"), ("b", "side_e", "ab", "action"), ("b", "side_e", "c", "side_e"), ("ab", "action", "c", "metabol"), ("b", "action", "c", "side_e")]
     out = G.collapse_symmetric(spark.createDataFrame(rows, "source string, source_tag string, target string, target_tag string"))
     assert [tuple(r) for r in out.select("source", "source_tag", "target", "target_tag").collect()] == [("b", "action", "c", "side_e")]
+
+
+def test_cycles_of_any_length_are_listed(spark, tmp_path):
+    """A ring of 13 with a shortcut of 12, and a loop, through the registered query."""
+    from leafloom.plans.graph_queries import graph_g16b_simple_cycles
+
+    ring = [(f"n{i:02}", f"n{(i + 1) % 13:02}") for i in range(13)]
+    rows = [(a, "action", b, "action") for a, b in [*ring, ("n03", "n05"), ("q", "q"), ("n05", "x")]]
+    spark.createDataFrame(rows, "source string, source_tag string, target string, target_tag string").write.parquet(f"{tmp_path}/edge_list.parquet")
+    names = [a for a, _ in ring]
+    got = [r.path for r in graph_g16b_simple_cycles(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted([" > ".join(names), " > ".join(n for n in names if n != "n04"), "q"])

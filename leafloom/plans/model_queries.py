@@ -131,20 +131,24 @@ def clus_c10_cluster_file(spark: SparkSession, d: str) -> DataFrame:
 # ---- networks
 
 
-def _network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sections of each drug group's drugs as a network: group, then its sections; few parents a node."""
+def _network(spark: SparkSession, d: str, groups: int | None = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sections of each drug group's drugs as a network: group, then its sections.
+
+    A section keeps its ``groups`` most frequent groups, three in the SQL the queries are compared with; None keeps all
+    links, and nodes of more than five parents then have no table.
+    """
     se = table(spark, d, "side_effects").filter("drug IS NOT NULL AND section IS NOT NULL")
     dr = table(spark, d, "drugs").filter("drug IS NOT NULL AND drug_group IS NOT NULL").select("drug", "drug_group").distinct()
     counts = se.join(dr, "drug").groupBy("drug_group", "section").agg(F.count("*").alias("n"))
-    top = R.top_k(counts, ["section"], [F.desc("n"), "drug_group"], 3)
+    top = counts if groups is None else R.top_k(counts, ["section"], [F.desc("n"), "drug_group"], groups)
     edges = cut(top.select(F.col("drug_group").alias("src"), F.col("section").alias("dst")))
     nodes = edges.select(F.col("src").alias("node_id"), F.lit("prepare").alias("tag")).unionByName(edges.select(F.col("dst").alias("node_id"), F.lit("side_e").alias("tag"))).distinct()
     parents = cut(bayes.parent_positions(edges))
     k = nodes.join(parents.groupBy("node").agg(F.count("*").alias("k")).withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("k", F.lit(0)).alias("k"))
-    keys = F.create_map(*[x for i in range(4) for x in (F.lit(i), F.array(*[F.lit(c) for c in N.configurations(i)]))])
-    rows = k.select(F.col("node_id").alias("node"), F.explode(F.element_at(keys, F.col("k").cast("int"))).alias("config"))
+    keys = F.create_map(*[x for i in range(6) for x in (F.lit(i), F.array(*[F.lit(c) for c in N.configurations(i)]))])
+    rows = k.select(F.col("node_id").alias("node"), "k", F.explode(F.element_at(keys, F.col("k").cast("int"))).alias("config"))
     ones = F.length(F.regexp_replace("config", "[^1]", ""))
-    cpt = rows.select("node", "config", F.when(F.col("config") == "", 0.1 + F.length("node") % 7 * 0.1).otherwise(0.05 + 0.3 * ones).alias("p"))
+    cpt = rows.select("node", "config", F.when(F.col("config") == "", 0.1 + F.length("node") % 7 * 0.1).when(F.col("k") <= 3, 0.05 + 0.3 * ones).otherwise(0.05 + 0.9 * ones / F.col("k")).alias("p"))
     return cut(nodes), parents, cut(cpt)
 
 
@@ -153,6 +157,12 @@ def bayes_b01_marginals(spark: SparkSession, d: str) -> DataFrame:
     return bayes.marginals(nodes, parents, cpt).select("node", F.round("p", 5).alias("p"))
 
 
+def bayes_b01_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Marginals of the network of all links: sections of more than five groups take the product of these."""
+    nodes, parents, cpt = _network(spark, d, None)
+    return bayes.marginals(nodes, parents, cpt).select("node", F.round("p", 5).alias("p"))
+
+
 def bayes_b02_evidence(spark: SparkSession, d: str) -> DataFrame:
     """One scenario a group: that group certain."""
     nodes, parents, cpt = _network(spark, d)

@@ -221,3 +221,19 @@ def test_surrogate_keys_are_dense(spark):
 
 def test_curriculum(spark):
     assert [r.s for r in spark.range(3).select(N.curriculum_size(F.col("id") / 2, F.lit(3)).alias("s")).collect()] == [1, 2, 3]
+
+
+def test_whole_network_keeps_every_link(spark, tmp_path):
+    """Sections of 2, 5 and 7 groups: by enumeration up to five parents, the product beyond."""
+    from leafloom.plans.model_queries import bayes_b01_whole
+
+    groups = ["g" * i for i in range(1, 8)]
+    of = {"two": groups[:2], "five": groups[:5], "seven": groups}
+    spark.createDataFrame([(f"d{g}", g) for g in groups], "drug string, drug_group string").write.parquet(f"{tmp_path}/drugs.parquet")
+    spark.createDataFrame([(f"d{g}", s) for s, gs in of.items() for g in gs], "drug string, section string").write.parquet(f"{tmp_path}/side_effects.parquet")
+    p = {g: 0.1 + len(g) % 7 * 0.1 for g in groups}
+    want = dict(p)
+    for s, scale in (("two", 0.3), ("five", 0.9 / 5)):
+        want[s] = sum(math.prod(p[g] if x else 1 - p[g] for g, x in zip(of[s], b)) * (0.05 + scale * sum(b)) for b in itertools.product((0, 1), repeat=len(of[s])))
+    want["seven"] = math.prod(p.values())
+    assert {r.node: r.p for r in bayes_b01_whole(spark, str(tmp_path)).collect()} == pytest.approx(want, abs=2e-5)

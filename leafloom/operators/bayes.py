@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.common import cut
-from leafloom.functions.scores import clamp, configurations, log_odds_pool, noisy_or, scaled_sum
+from leafloom.functions.scores import clamp, configurations, log_odds_pool, logit, noisy_or, scaled_sum, sigmoid
 from leafloom.operators.graphs import levels
 
 EPS = 1e-6
@@ -133,6 +133,25 @@ def drug_scenarios(drugs: DataFrame, most: int = 2, per_size: int | None = None,
     return sets.select(F.xxhash64("set", "copy").alias("scenario"), F.explode("set").alias("drug"), "n_drugs")
 
 
+def pair_loss(targets: DataFrame, against: float) -> DataFrame:
+    """(n_scenarios, loss): squared errors of the log-odds targets of every drug and every pair of drugs, summed.
+
+    As ``pooled_targets`` of ``drug_scenarios(drugs, 2)`` has them, but counted by effect and value, so no pair of drugs is
+    made: a pair without the effect in one drug pools as the other alone. ``targets`` (drug, effect, prob) has a row a pair.
+    """
+    value = targets.groupBy("effect", "prob").agg(F.count("*").alias("n")).withColumn("x", logit(F.col("prob")))
+    having = targets.groupBy("effect").agg(F.count("*").alias("n_effect"))
+    drugs = targets.agg(F.count_distinct("drug").alias("d"))
+    error = lambda x: F.pow(sigmoid(x) - against, 2)
+    # alone, and with each drug that lacks the effect
+    one = value.join(having, "effect").crossJoin(drugs).select((F.col("n") * (1 + F.col("d") - F.col("n_effect")) * error(F.col("x"))).alias("se"))
+    b = value.select("effect", F.col("prob").alias("prob2"), F.col("n").alias("n2"), F.col("x").alias("x2"))
+    times = F.when(F.col("prob") == F.col("prob2"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n2"))
+    two = value.join(b, "effect").filter("prob <= prob2").select((times * error(F.col("x") + F.col("x2"))).alias("se"))
+    loss = one.unionByName(two).agg(F.sum("se").alias("loss"))
+    return drugs.select(F.expr("d + d * (d - 1) div 2").alias("n_scenarios")).crossJoin(loss)
+
+
 def pinned_entries(cpt: DataFrame, parents: DataFrame, drugs: DataFrame, targets: DataFrame) -> DataFrame:
     """Adds ``pinned``: entries of effects with an active drug parent that has a target value."""
     states = cpt.filter("config <> ''").select("node", "config", F.posexplode(F.split("config", ",")).alias("pos", "state")).filter("state = '1'")

@@ -177,16 +177,26 @@ def bayes_b04_independent(spark: SparkSession, d: str) -> DataFrame:
     return bayes.marginals(nodes, parents, cpt, most_parents=1).select("node", F.round("p", 5).alias("p"))
 
 
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """(drug, effect, prob): the largest rate of each drug's records of a section."""
+    rows = table(spark, d, "side_effects").filter("drug IS NOT NULL AND section IS NOT NULL").select("drug", F.col("section").alias("effect"), F.lower("freq").alias("freq")).join(_rates(spark), "freq")
+    return rows.groupBy("drug", "effect").agg(F.max("rate").alias("prob"))
+
+
 def bayes_b09_pooled_loss(spark: SparkSession, d: str) -> DataFrame:
     """Targets of all pairs of frequent drugs, pooled by log odds, and their sum of squares against 0.1."""
-    rows = table(spark, d, "side_effects").filter("drug IS NOT NULL AND section IS NOT NULL").select("drug", F.col("section").alias("effect"), F.lower("freq").alias("freq")).join(_rates(spark), "freq")
-    targets = rows.groupBy("drug", "effect").agg(F.max("rate").alias("prob"))
+    targets = _targets(spark, d)
     drugs = R.top_k(targets.groupBy("drug").agg(F.count("*").alias("n")).withColumn("g", F.lit(0)), ["g"], [F.desc("n"), "drug"], 12).select("drug")
     sc = bayes.drug_scenarios(cut(drugs), 2)
     pooled = bayes.pooled_targets(sc, targets)
     return pooled.groupBy("scenario").agg(F.sum(F.pow(F.col("target") - 0.1, 2)).alias("se")).agg(F.count("*").alias("n_scenarios"), F.round(F.sum("se"), 4).alias("loss"))
 
 
+def bayes_b09_whole_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every drug and every pair of all drugs."""
+    return bayes.pair_loss(cut(_targets(spark, d)), 0.1).select("n_scenarios", F.round("loss", 4).alias("loss"))
+
+
 def bayes_b16_export(spark: SparkSession, d: str) -> DataFrame:
     return bayes.export_cpt(_network(spark, d)[2])
 

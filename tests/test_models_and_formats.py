@@ -237,3 +237,16 @@ def test_whole_network_keeps_every_link(spark, tmp_path):
         want[s] = sum(math.prod(p[g] if x else 1 - p[g] for g, x in zip(of[s], b)) * (0.05 + scale * sum(b)) for b in itertools.product((0, 1), repeat=len(of[s])))
     want["seven"] = math.prod(p.values())
     assert {r.node: r.p for r in bayes_b01_whole(spark, str(tmp_path)).collect()} == pytest.approx(want, abs=2e-5)
+
+
+def test_pair_loss_is_over_all_drugs(spark, small):
+    """Against the scenarios made one by one, over more drugs than the twelve of bayes_b09_pooled_loss."""
+    from leafloom.plans.model_queries import _targets, bayes_b09_whole_loss
+
+    rows = [(f"d{i:02}", f"e{j}", (0.0, 0.01, 0.3, 0.3, 0.9)[(i * j + i) % 5]) for i in range(20) for j in range(4) if (i + j) % 3 or not j]
+    made = spark.createDataFrame(rows, "drug string, effect string, prob double")
+    for targets, got in ((made, B.pair_loss(made, 0.1)), (_targets(spark, small), bayes_b09_whole_loss(spark, small))):
+        pooled = B.pooled_targets(B.drug_scenarios(targets.select("drug").distinct(), 2), targets)
+        want = pooled.agg(F.count_distinct("scenario").alias("n"), F.sum(F.pow(F.col("target") - 0.1, 2)).alias("loss")).first()
+        row = got.first()
+        assert row.n_scenarios == want.n > 78 and row.loss == pytest.approx(want.loss, abs=1e-4)

@@ -184,7 +184,7 @@ def ext_l03_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_l04_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL AND lang = 'ru'")).select("doc_id", extraction.chapters(F.col("text")).alias("c"))
+    docs = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL")).select("doc_id", extraction.chapters(F.col("text")).alias("c"))
     return docs.select("doc_id", extraction.chapter_stats(F.col("c")).alias("s")).select("doc_id", "s.found_count", "s.not_found_count", F.array_join("s.not_found_list", "|").alias("missing"))
 
 

@@ -141,3 +141,16 @@ def test_annotation_pipeline(spark):
     text = _one(spark, A.segments_to_text(items))
     assert text.text == "a b<," and [tuple(x) for x in text.label] == [(2, 4, "t")]
     assert _one(spark, A.marked_html(items)) == 'a <mark class="t">b&lt;</mark> ,'
+
+
+def test_chapters_are_found_under_any_label(spark, tmp_path):
+    """Labels are missing or wrong in places: every text counts, whatever its label."""
+    from leafloom.plans.further_queries import proj_p07_complete
+    from leafloom.plans.text_queries import ext_l04_chapters
+
+    text = "Показания к применению\nболь\nПротивопоказания\nаллергия"
+    rows = [(1, text, "ru"), (2, text, None), (3, text, "bg"), (4, "plain words", "en"), (5, None, "ru")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.found_count for r in ext_l04_chapters(spark, str(tmp_path)).collect()}
+    assert sorted(found) == [1, 2, 3, 4] and found[1] == found[2] == found[3] > 0 == found[4]
+    assert sum(r.n for r in proj_p07_complete(spark, str(tmp_path)).collect()) == 4

@@ -13,9 +13,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can read: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests only)."""
+    """Folder all executors can read: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a temporary one; on a cluster that is an error, since executors could not read
+    each other's files in a folder of the driver.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="leafloom-")
         spark.conf.set("spark.checkpoint.dir", path)
         _written.append((spark, path))
@@ -31,14 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.leafloom_path = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` wrote, once nothing lazy reads it any more."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cut-" in name:
-            _delete(df.sparkSession, name)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` returned, once nothing lazy reads them any more."""
+    for df in frames:
+        path = getattr(df, "leafloom_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _written.remove((df.sparkSession, path))
+            del df.leafloom_path
 
 
 def _delete(spark: SparkSession, path: str) -> None:

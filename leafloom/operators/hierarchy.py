@@ -1,9 +1,14 @@
-"""Parent-child links to full hierarchies: root, depth, path and descendants of each node, and the cycles.
+"""Parent-child links to full hierarchies: root, depth, path, subtree size and descendants of each node, and the cycles.
 
-Leaves are peeled bottom-up, round by round; a node with one child left is contracted on the way (its child is linked
-to its parent), so a chain of length n takes about log n rounds instead of n. What is left after the last round are
-cycles. The rounds are then undone in reverse: each peeled node takes root and depth from the parent it was peeled from.
-Once no more than ``local_limit`` links are left, one task finishes them by the same peeling.
+Leaves are peeled bottom-up, 2^r levels in round r. Every node keeps the ancestor that far above it (at first its parent)
+and hands its subtree, as far as it knows it, up to that ancestor; a node that is handed nothing is peeled: its own
+subtree is complete. The pointer then moves on to the pointer of the ancestor. A pointer that meets a node whose depth is
+known gives the node its root, depth and path, from the top of the tree downwards. A tree of n levels so takes log n
+rounds instead of n. What still holds a pointer when nothing more is settled lies on a cycle or below one; the nodes that
+are never peeled are the cycles themselves, and the smallest name met on the way round is passed along.
+
+Every round is the same plan at every size: the amounts handed up are added before they are shuffled, and the pointers
+are joined with their hot ancestors apart. Only the state of the last round is kept in the shared folder.
 
 Defined results: links with a null or blank end do not count, repeated links count once; a node with several parents
 hangs under the first by code point (``extra_parents`` lists the others); nodes on or below a cycle have depth -1 and
@@ -12,15 +17,10 @@ the smallest name on the cycle as root; an empty table gives no rows; further co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, skew_join, table
-
-_INFO = "node string, root string, depth int, path array<string>"
+from leafloom.common import cut, discard, skew_join, table
 
 
 def filled_links(df: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -35,135 +35,97 @@ def extra_parents(links: DataFrame) -> DataFrame:
     return links.join(first, "child").filter("parent <> first_parent").select("child", "parent")
 
 
-def _coin(name: str, step: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(name), F.lit(step)), F.lit(2)) == 1
+def _begin(links: DataFrame) -> DataFrame:
+    """The state before the first round: nodes without a parent are settled, the others point to their parent.
 
+    ``up`` is the ancestor pointed to (null once settled), ``trail`` the path (settled) or the names between ``up`` and
+    the node, ``least`` the smallest name from the node to just below ``up``, ``beyond`` that of ``up`` itself.
+    """
+    single = links.select("child", "parent").unionByName(links.select(F.col("parent").alias("child"), F.lit(None).cast("string").alias("parent")))
+    single = single.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("up"))
+    top = F.col("up").isNull()
+    return single.select(
+        "node", "up", F.when(top, F.col("node")).alias("root"), F.when(top, 0).cast("int").alias("depth"),
+        F.col("node").alias("least"), F.lit(None).cast("string").alias("beyond"), F.lit(0).cast("bigint").alias("below"),
+        F.when(top, F.array("node")).otherwise(F.array().cast("array<string>")).alias("trail"), F.lit(True).alias("handed"), F.lit(True).alias("news"),
+    )
 
-def _round(live: DataFrame, step: int) -> DataFrame:
-    """One round over the live links (child, parent, w, mn, via): adds ``fate`` keep, rake or compress.
 
-    The children of a parent are only counted (pre-aggregated before the shuffle), so a parent of a third of all nodes
-    is no hot key; both joins are on the child, of which each link has its own.
-    """
-    below = live.groupBy("parent").agg(
-        F.count("*").alias("kids"), F.min("child").alias("only"), F.min("w").alias("only_w"), F.min("mn").alias("only_mn"), F.min("via").alias("only_via")
-    ).withColumnRenamed("parent", "child")
-    state = live.join(below, "child", "left")
-    loop = F.col("child") == F.col("parent")
-    chosen = (F.col("kids") == 1) & _coin("child", step) & ~_coin("parent", step) & ~loop
-    state = state.withColumn("fate", F.when(F.col("kids").isNull(), "rake").when(chosen, "compress").otherwise("keep"))
-    relink = state.filter("fate = 'compress'").select(
-        F.col("only").alias("child"), F.col("parent").alias("to"), (F.col("w") + F.col("only_w")).alias("to_w"),
-        F.least("only_mn", "mn", "child").alias("to_mn"), F.concat("via", F.array("child"), "only_via").alias("to_via"),
+def _round(state: DataFrame, stride: int, pending: int, paths: bool) -> DataFrame:
+    """Hand subtrees up by ``stride`` levels and move the pointers on; ``pending`` is the number of pointers."""
+    sent = state.filter("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.sum(F.col("below") + 1).alias("got"), F.count("*").alias("n"))
+    met = state.drop("handed", "news").join(sent, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # an amount handed up counts from the next round on: all of this round are of the stride's levels
+    grown = (F.col("below") + F.coalesce("got", F.lit(0))).alias("below")
+    above = met.filter("n > 0").select(
+        F.col("node").alias("up"), F.col("up").alias("a_up"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("least").alias("a_least"), F.col("trail").alias("a_trail"), F.col("n").alias("askers")
     )
-    moved = (F.col("fate") == "keep") & F.col("to").isNotNull()
-    state = state.join(relink, "child", "left")
-    pick = lambda new, old: F.when(moved, F.col(new)).otherwise(F.col(old)).alias(old)
-    return state.select("child", pick("to", "parent"), pick("to_w", "w"), pick("to_mn", "mn"), pick("to_via", "via"), "fate")
-
-
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Peel all that is left in one task, of a size the caller has checked."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    left = pd.concat(parts, ignore_index=True)
-    link = {c: (p, int(w), m, list(v)) for c, p, w, m, v in zip(left["child"], left["parent"], left["w"], left["mn"], left["via"])}
-    kids: dict[str, int] = {}
-    for p, *_ in link.values():
-        kids[p] = kids.get(p, 0) + 1
-    info = {p: (p, 0, [p]) for p in kids if p not in link}
-    peeled = [c for c in link if c not in kids]
-    for c in peeled:  # grows while it is walked
-        p = link[c][0]
-        kids[p] -= 1
-        if not kids[p] and p in link:
-            peeled.append(p)
-    gone = set(peeled)
-    for c in link:
-        if c not in gone and c not in info:
-            ring, at = [], c
-            while not ring or at != c:
-                ring.append(at)
-                at = link[at][0]
-            least = min([*ring, *(m for x in ring if (m := link[x][2]) is not None)])
-            info |= {x: (least, -1, []) for x in ring}
-    for c in reversed(peeled):
-        p, w, _, via = link[c]
-        root, depth, path = info[p]
-        info[c] = (root, -1, []) if depth < 0 else (root, depth + w, [*path, *via, c])
-    nodes = list(info)
-    for i in range(0, len(nodes), 10_000):
-        some = nodes[i : i + 10_000]
-        yield pd.DataFrame({"node": some, "root": [info[n][0] for n in some], "depth": [info[n][1] for n in some], "path": [info[n][2] for n in some]})
-
-
-def _down(known: DataFrame, records: DataFrame) -> DataFrame:
-    """Root, depth and path of peeled nodes from those of their parents."""
-    weights = records.groupBy("parent").agg(F.count("*").alias("n"))
-    total = weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    up = known.withColumnRenamed("node", "parent").join(weights, "parent")
-    at = skew_join(records, up, ["parent"], "n", total)
-    return at.select(
-        F.col("child").alias("node"), "root",
-        F.when(F.col("depth") < 0, -1).otherwise(F.col("depth") + F.col("w")).cast("int").alias("depth"),
-        F.when(F.size("path") > 0, F.concat("path", "via", F.array("child"))).otherwise(F.col("path")).alias("path"),
+    moving = met.filter("up IS NOT NULL").select("node", "up", "least", grown, "trail", (F.col("n") > 0).alias("handed"))
+    at = skew_join(moving, above, ["up"], "askers", pending)
+    settled = F.col("a_depth").isNotNull()
+    trail = F.concat("a_trail", F.when(settled, F.concat("trail", F.array("node"))).otherwise(F.concat(F.array("up"), "trail"))) if paths else F.col("trail")
+    moved = at.select(
+        "node", F.col("a_up").alias("up"), F.col("a_root").alias("root"), (F.col("a_depth") + stride).cast("int").alias("depth"),
+        F.when(settled, F.col("least")).otherwise(F.least("least", "a_least")).alias("least"), F.col("a_least").alias("beyond"), "below", trail.alias("trail"),
+        "handed", (~settled & (F.col("a_least") < F.col("least"))).alias("news"),
     )
+    done = met.filter("up IS NULL").select("node", "up", "root", "depth", "least", "beyond", grown, "trail", (F.col("n") > 0).alias("handed"), F.lit(False).alias("news"))
+    return moved.unionByName(done)
 
 
-def resolve(links: DataFrame, local_limit: int = 20_000, paths: bool = False) -> DataFrame:
-    """(node, root, depth, path) of every end of ``links`` (parent, child); path is empty unless asked for.
+def resolve(links: DataFrame, paths: bool = False) -> DataFrame:
+    """(node, root, depth, path, n_descendants) of every end of ``links`` (parent, child).
 
-    With ``paths`` the links must hold no cycle (a cycle's interior would become one row).
+    ``path`` is empty unless asked for; then the links must hold no cycle (a cycle's interior would become one row).
+    ``n_descendants`` is null on and below cycles.
     """
-    single = links.groupBy("child").agg(F.min("parent").alias("parent"))
-    live = cut(single.select("child", "parent", F.lit(1).alias("w"), F.lit(None).cast("string").alias("mn"), F.array().cast("array<string>").alias("via")))
-    records, step = [], 0
-    while True:
-        n = live.filter("child <> parent").count()
-        if n <= local_limit:
+    unsettled = F.col("up").isNotNull()
+    figures = [F.count(F.when(unsettled, 1)).alias("pending"), F.count(F.when(unsettled & F.col("handed"), 1)).alias("ringed"), F.count(F.when(unsettled & F.col("handed") & F.col("news"), 1)).alias("news")]
+
+    def write(state: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        return cut(state.observe(seen, *figures)), seen.get
+
+    state, now = write(_begin(links))
+    stride = 1
+    while now["pending"]:
+        before, old = now, state
+        state, now = write(_round(old, stride, before["pending"], paths))
+        discard(old)
+        stride *= 2
+        # nothing settled, nothing peeled, no smaller name: every pointer goes to a cycle whose name is known
+        if (now["pending"], now["ringed"], now["news"]) == (before["pending"], before["ringed"], 0):
             break
-        state = _round(live, step)
-        if not paths:
-            state = state.withColumn("via", F.array().cast("array<string>"))
-        state = cut(state)
-        records.append(state)
-        live = state.filter("fate = 'keep'").drop("fate")
-        step += 1
-    if n:
-        known = live.repartition(1).mapInPandas(_finish, _INFO)
-    else:
-        known = live.filter("child = parent").select(F.col("child").alias("node"), F.coalesce(F.least("child", "mn"), "child").alias("root"), F.lit(-1).alias("depth"), F.array().cast("array<string>").alias("path"))
-    roots = links.select("parent").distinct().join(single.select(F.col("child").alias("parent")), "parent", "left_anti")
-    roots = roots.select(F.col("parent").alias("node"), F.col("parent").alias("root"), F.lit(0).alias("depth"), F.array("parent").alias("path"))
-    known = cut(known.unionByName(roots.join(known.select("node"), "node", "left_anti")) if records else known.unionByName(roots).dropDuplicates(["node"]))
-    for state in reversed(records):
-        for fate in ("compress", "rake"):
-            known = known.unionByName(cut(_down(known, state.filter(F.col("fate") == fate))))
-    return known if paths else known.withColumn("path", F.array().cast("array<string>"))
-
-
-def hierarchy(links: DataFrame, local_limit: int = 20_000) -> DataFrame:
+    return state.select(
+        "node", F.when(unsettled, F.col("beyond")).otherwise(F.col("root")).alias("root"), F.when(unsettled, -1).otherwise(F.col("depth")).cast("int").alias("depth"),
+        (F.col("trail") if paths else F.array().cast("array<string>")).alias("path"), F.when(~unsettled, F.col("below")).alias("n_descendants"),
+    )
+
+
+def hierarchy(links: DataFrame) -> DataFrame:
     """(node, root, depth)."""
-    return resolve(links, local_limit).select("node", "root", "depth")
+    return resolve(links).select("node", "root", "depth")
 
 
-def tree_paths(links: DataFrame, local_limit: int = 20_000) -> DataFrame:
-    """(node, root, depth, path) of the nodes of trees; path is the array of names from the root to the node."""
-    found = hierarchy(links, local_limit)
-    return resolve(links.join(found.filter("depth >= 0").select(F.col("node").alias("child")), "child", "left_semi").select("parent", "child"), local_limit, paths=True)
+def tree_paths(links: DataFrame) -> DataFrame:
+    """(node, root, depth, path, n_descendants) of the nodes of trees; path is the array of names from the root to the node."""
+    found = hierarchy(links)
+    # below a node of a tree nothing but trees: the links of such children are all of theirs
+    return resolve(links.join(found.filter("depth >= 0").select(F.col("node").alias("child")), "child", "left_semi").select("parent", "child"), paths=True)
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """(ancestor, node, distance), one row a pair: lists of descendants as rows, so that no root's list fills a task."""
+    """(ancestor, node, distance), one row a pair: lists of descendants as rows, so that no root's list fills a task.
+
+    They are read off the paths where these lie: the pairs are the result and never shuffled.
+    """
     up = paths.select("node", F.col("depth").alias("at"), F.posexplode("path").alias("level", "ancestor"))
     return up.filter("level < at").select("ancestor", "node", (F.col("at") - F.col("level")).alias("distance"))
 
 
 def subtree_sizes(paths: DataFrame) -> DataFrame:
-    """(node, n_descendants): counted where the pairs arise, so only sums are shuffled."""
-    counts = descendants(paths).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
-    return paths.select("node").join(counts, "node", "left").select("node", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+    """(node, n_descendants), as handed up while peeling."""
+    return paths.select("node", "n_descendants")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,12 +134,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full path of every node of a tree with the number of its descendants."""
-    paths = cut(tree_paths(filled_links(table(spark, sf_dir, "edge_list"))))
-    return paths.join(subtree_sizes(paths), "node").select("node", "root", "depth", F.array_join("path", " > ").alias("path"), "n_descendants")
+    paths = tree_paths(filled_links(table(spark, sf_dir, "edge_list")))
+    return paths.select("node", "root", "depth", F.array_join("path", " > ").alias("path"), "n_descendants")
 
 
 def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendants(cut(tree_paths(filled_links(table(spark, sf_dir, "edge_list")))))
+    return descendants(tree_paths(filled_links(table(spark, sf_dir, "edge_list"))))
 
 
 def p6_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +147,11 @@ def p6_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(filled_links(table(spark, sf_dir, "edge_list"))).filter("depth = -1").groupBy("root").agg(F.count("*").alias("n_nodes"))
 
 
+def p6_extra_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that no tree uses, because their child hangs under another parent."""
+    return extra_parents(filled_links(table(spark, sf_dir, "edge_list")))
+
+
 _LINKS = r"""WITH RECURSIVE l AS (
   SELECT min(source) AS p, target AS c FROM edge_list
   WHERE regexp_matches(source, '[^\s\p{Z}]') AND regexp_matches(target, '[^\s\p{Z}]') GROUP BY target),
@@ -198,10 +165,12 @@ below AS (SELECT node, min(anc) AS root FROM reach WHERE anc IN (SELECT node FRO
 _PAIRS = """, up(ancestor, node, distance) AS (SELECT p, c, 1 FROM l WHERE c IN (SELECT node FROM tree)
   UNION ALL SELECT l.p, up.node, up.distance + 1 FROM up JOIN l ON l.c = up.ancestor)"""
 
-QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants, "p6_cycles": p6_cycles}
+QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants, "p6_cycles": p6_cycles, "p6_extra_parents": p6_extra_parents}
 SQL = {
     "p6_found": _LINKS + _RINGS + " SELECT node, root, CAST(depth AS INT) AS depth FROM tree UNION ALL SELECT node, root, -1 FROM below",
     "p6_paths": _LINKS + _PAIRS + " SELECT node, root, CAST(depth AS INT) AS depth, path, coalesce(n, 0) AS n_descendants FROM tree LEFT JOIN (SELECT ancestor, count(*) AS n FROM up GROUP BY ancestor) d ON d.ancestor = tree.node",
     "p6_descendants": _LINKS + _PAIRS + " SELECT ancestor, node, CAST(distance AS INT) AS distance FROM up",
     "p6_cycles": _LINKS + _RINGS + " SELECT root, count(*) AS n_nodes FROM below GROUP BY root",
+    "p6_extra_parents": r"""WITH f AS (SELECT DISTINCT source, target FROM edge_list WHERE regexp_matches(source, '[^\s\p{Z}]') AND regexp_matches(target, '[^\s\p{Z}]'))
+SELECT target AS child, source AS parent FROM f WHERE source > (SELECT min(g.source) FROM f g WHERE g.target = f.target)""",
 }

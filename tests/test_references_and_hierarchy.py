@@ -1,6 +1,5 @@
 from datetime import datetime
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -52,18 +51,17 @@ def _links(spark, rows):
     return H.filled_links(df)
 
 
-@pytest.mark.parametrize("limit", [0, 3, 1000])
-def test_trees_cycles_blanks_and_repeats(spark, limit):
+def test_trees_cycles_blanks_and_repeats(spark):
     rows = [("r", "a"), ("a", "b"), ("a", "c"), ("b", "d"), ("r", "a"), ("x", "x"), ("y", "z"), ("z", "w"), ("w", "y"), ("w", "v"), ("v", "u"), ("p", "q"), (None, "n"), ("n", ""), (" ", "n"), ("o", None), ("m1", "k"), ("m0", "k")]
     good = {(p, c) for p, c in rows if p and c and p.strip() and c.strip()}
     links = _links(spark, rows)
-    assert {r.node: (r.root, r.depth) for r in H.hierarchy(links, limit).collect()} == _brute(good)
+    assert {r.node: (r.root, r.depth) for r in H.hierarchy(links).collect()} == _brute(good)
     assert [(r.child, r.parent) for r in H.extra_parents(links).collect()] == [("k", "m1")]
 
 
-def test_long_chain_and_broad_root_without_finishing_locally(spark):
+def test_long_chain_and_broad_root(spark):
     rows = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)] + [("n0000", f"w{i}") for i in range(400)] + [(f"c{i}", f"c{(i + 1) % 50}") for i in range(50)]
-    got = {r.node: (r.root, r.depth) for r in H.hierarchy(_links(spark, rows), 0).collect()}
+    got = {r.node: (r.root, r.depth) for r in H.hierarchy(_links(spark, rows)).collect()}
     assert got == _brute(set(rows))
 
 
@@ -71,14 +69,33 @@ def test_long_chain_and_broad_root_without_finishing_locally(spark):
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_any_links(spark, pairs):
     rows = [(f"n{a:02d}", f"n{b:02d}") for a, b in pairs]
-    for limit in (0, 100):
-        assert {r.node: (r.root, r.depth) for r in H.hierarchy(_links(spark, rows), limit).collect()} == _brute(set(rows))
+    assert {r.node: (r.root, r.depth) for r in H.hierarchy(_links(spark, rows)).collect()} == _brute(set(rows))
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_paths_and_descendants(spark, limit):
+def test_paths_and_descendants(spark):
     links = _links(spark, [("r", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("x", "y"), ("y", "x"), ("y", "z")])
-    paths = H.tree_paths(links, limit).cache()
+    paths = H.tree_paths(links).cache()
     assert {r.node: r.path for r in paths.collect()} == {"r": ["r"], "a": ["r", "a"], "b": ["r", "a", "b"], "c": ["r", "a", "b", "c"], "d": ["r", "a", "b", "c", "d"], "e": ["r", "a", "e"]}
     assert {r.node: r.n_descendants for r in H.subtree_sizes(paths).collect()} == {"r": 5, "a": 4, "b": 2, "c": 1, "d": 0, "e": 0}
     assert ("a", "d", 3) in {(r.ancestor, r.node, r.distance) for r in H.descendants(paths).collect()}
+
+
+def test_rings_of_any_length_with_tails_and_self_loops(spark):
+    rows = [(f"k{n}", f"k{n}") for n in range(40)]
+    for n in (2, 3, 4, 6, 7, 8, 12, 16, 24, 41):
+        rows += [(f"r{n:02d}_{i:02d}", f"r{n:02d}_{(i + 1) % n:02d}") for i in range(n)]
+        rows += [(f"r{n:02d}_{n // 2:02d}", f"a{n}_0")] + [(f"a{n}_{i}", f"a{n}_{i + 1}") for i in range(n)]
+    assert {r.node: (r.root, r.depth) for r in H.hierarchy(_links(spark, rows)).collect()} == _brute(set(rows))
+
+
+def test_no_links(spark):
+    links = _links(spark, [(None, "a"), ("", "b")])
+    assert H.hierarchy(links).collect() == [] and H.tree_paths(links).collect() == [] and H.descendants(H.tree_paths(links)).collect() == []
+
+
+def test_only_the_last_state_stays_in_the_shared_folder(spark):
+    from leafloom import common
+
+    before = len(common._written)
+    H.hierarchy(_links(spark, [(f"n{i}", f"n{i + 1}") for i in range(40)])).collect()
+    assert len(common._written) == before + 1

@@ -436,3 +436,14 @@ SQL = {
     "stream_s18_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_s18b_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k",
 }
+
+_EDGE = r"[\s\p{Z},.;:\-]"
+SQL["ner_f02_spans"] = rf"""WITH d AS (SELECT e.entity_id, text, start_offset AS s, end_offset AS e FROM entities e JOIN documents USING (doc_id) WHERE text IS NOT NULL AND start_offset >= 0 AND start_offset <= end_offset AND end_offset <= length(text)),
+  i AS (SELECT *, substr(text, s + 1, e - s) AS x FROM d),
+  j AS (SELECT *, regexp_full_match(x, '{_EDGE}*') AS void, length(regexp_replace(x, '[^("«]', '', 'g')) - length(regexp_replace(x, '[^)"»]', '', 'g')) AS surplus,
+    length(regexp_extract(x, '^{_EDGE}*')) AS lead, length(regexp_extract(x, '{_EDGE}*$')) AS trail FROM i),
+  k AS (SELECT *, CASE WHEN void THEN s ELSE s + lead END AS l, CASE WHEN void THEN s ELSE e - trail END AS r FROM j),
+  m AS (SELECT *, l + CASE WHEN r > l AND surplus > 0 AND substr(text, l + 1, 1) IN ('(', '"', '«') THEN 1 ELSE 0 END AS l1 FROM k),
+  n AS (SELECT *, r - CASE WHEN r > l1 AND surplus < 0 AND substr(text, r, 1) IN (')', '"', '»') THEN 1 ELSE 0 END AS r1 FROM m),
+  o AS (SELECT entity_id, text, l1 - length(regexp_extract(substr(text, 1, l1), '\p{{L}}*$')) AS l2, r1 + length(regexp_extract(substr(text, r1 + 1), '^\p{{L}}*')) AS r2 FROM n)
+SELECT entity_id, CAST(l2 AS INT) AS start_offset, CAST(r2 AS INT) AS end_offset, substr(text, l2 + 1, r2 - l2) AS span_text FROM o"""

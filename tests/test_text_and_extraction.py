@@ -126,7 +126,8 @@ def test_annotation_pipeline(spark):
     assert [t.token for t in toks] == ["Приём", "(", "аспирина", ")", "вызывает", "боль", ".", "Зуд", "прошёл", "."]
     same = A.tokens_with_offsets(docs, "text", ["doc_id"]).orderBy("doc_id", "token_no").collect()
     assert [tuple(t) for t in same] == [tuple(t) for t in toks]
-    assert A.repair_span(docs.first().text, 6, 15) == (7, 15) and A.repair_span("abc", 1, 9) is None and A.repair_span("да, нет", 2, 5) == (4, 7)
+    assert A.repair_spans(docs.first().text, [6], [15]) == [(7, 15)] and A.repair_spans("abc", [1, None], [9, 2]) == [None, None] and A.repair_spans("да, нет", [2], [5]) == [(4, 7)]
+    assert A.repair_spans("a (б) - .", [2, 4, 5, 9, 0], [4, 5, 9, 9, 0]) == [(3, 4), (3, 4), (5, 5), (9, 9), (0, 1)] and A.repair_spans("", [0], [0]) == [(0, 0)] and A.repair_spans("..", [0], [2]) == [(0, 0)]
     ents = spark.createDataFrame([(10, 1, 7, 15, "prepare"), (11, 1, 26, 30, "side_e"), (12, 1, 17, 30, "long"), (13, 1, 32, 35, None)], "entity_id bigint, doc_id bigint, start_offset int, end_offset int, label string")
     kept = A.without_overlaps(ents)
     assert {r.entity_id for r in kept.collect()} == {10, 12, 13}

@@ -8,7 +8,7 @@ rounds instead of n. What still holds a pointer when nothing more is settled lie
 are never peeled are the cycles themselves, and the smallest name met on the way round is passed along.
 
 Every round is the same plan at every size: the amounts handed up are added before they are shuffled, and the pointers
-are joined with their hot ancestors apart. Only the state of the last round is kept in the shared folder.
+are joined with their hot ancestors apart. Nodes that are done stay behind, so a round reads only what is still going on.
 
 Defined results: links with a null or blank end do not count, repeated links count once; a node with several parents
 hangs under the first by code point (``extra_parents`` lists the others); nodes on or below a cycle have depth -1 and
@@ -17,10 +17,12 @@ the smallest name on the cycle as root; an empty table gives no rows; further co
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, discard, skew_join, table
+from leafloom.common import cut, skew_join, table
 
 
 def filled_links(df: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -87,16 +89,18 @@ def resolve(links: DataFrame, paths: bool = False) -> DataFrame:
         return cut(state.observe(seen, *figures)), seen.get
 
     state, now = write(_begin(links))
-    stride = 1
+    stride, left = 1, []
+    # a settled node that no pointer leads to any more has got all there is: it stays behind in the file of its round
+    idle = F.col("up").isNull() & ~F.col("handed")
     while now["pending"]:
-        before, old = now, state
-        state, now = write(_round(old, stride, before["pending"], paths))
-        discard(old)
+        before = now
+        left.append(state.filter(idle))
+        state, now = write(_round(state.filter(~idle), stride, before["pending"], paths))
         stride *= 2
         # nothing settled, nothing peeled, no smaller name: every pointer goes to a cycle whose name is known
         if (now["pending"], now["ringed"], now["news"]) == (before["pending"], before["ringed"], 0):
             break
-    return state.select(
+    return functools.reduce(DataFrame.unionByName, left, state).select(
         "node", F.when(unsettled, F.col("beyond")).otherwise(F.col("root")).alias("root"), F.when(unsettled, -1).otherwise(F.col("depth")).cast("int").alias("depth"),
         (F.col("trail") if paths else F.array().cast("array<string>")).alias("path"), F.when(~unsettled, F.col("below")).alias("n_descendants"),
     )

@@ -93,9 +93,13 @@ def test_no_links(spark):
     assert H.hierarchy(links).collect() == [] and H.tree_paths(links).collect() == [] and H.descendants(H.tree_paths(links)).collect() == []
 
 
-def test_only_the_last_state_stays_in_the_shared_folder(spark):
-    from leafloom import common
+def test_discard_frees_the_files_of_a_cut(spark):
+    import os
 
-    before = len(common._written)
-    H.hierarchy(_links(spark, [(f"n{i}", f"n{i + 1}") for i in range(40)])).collect()
-    assert len(common._written) == before + 1
+    from leafloom.common import cut, discard
+
+    df = cut(spark.range(5))
+    path = df.leafloom_path.removeprefix("file://")
+    assert os.path.exists(path)
+    discard(df, spark.range(1))
+    assert not os.path.exists(path)

@@ -361,5 +361,11 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(spark, sf_dir, ["doc_id"]).select("doc_id", "lang", "confidence", F.col("line_langs").isNotNull().alias("mixed"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_documents": p10_documents}
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every line of the documents in several languages."""
+    found = _detected(spark, sf_dir, ["doc_id"]).filter("line_langs IS NOT NULL")
+    return found.select("doc_id", F.posexplode(F.arrays_zip("line_langs", "line_confidences")).alias("seg_no", "s")).select("doc_id", "seg_no", F.col("s.line_langs").alias("lang"), F.col("s.line_confidences").alias("confidence"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments}
 SQL: dict[str, str] = {}

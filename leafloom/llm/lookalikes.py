@@ -3,8 +3,10 @@
 A word is suspicious if it holds a wide or joined form, a separate accent, an invisible sign, an unusual space, a
 hyphen that forbids a break, or letters of two alphabets. Every other word belongs to the vocabulary, which is counted
 over all texts. Words are grouped by a coarse key (look-alikes folded, marks and ignorables dropped); in each group a
-trie of the vocabulary is walked by an edit automaton in which look-alikes and ignorables cost nothing and any other
-edit costs more than the budget. Of the spellings it accepts the most frequent one is canonical; a word that matches
+trie of the vocabulary is walked, sign by sign as they stand in the text, by a weighted edit automaton: look-alikes,
+special forms, invisible signs and accents that join their letter cost nothing, an accent more or less costs ACCENT (it
+stays as written, only the alphabet is taken over), any other edit EDIT, which is more than the budget: it would change
+the look. Of the spellings within the budget the cheapest, then the most frequent one is canonical; a word that matches
 none is rewritten by table.
 
 Defined results: null and empty texts never change; a text may be of any length and is processed whole; repeated ids
@@ -13,6 +15,7 @@ each give a row; typographic quotes and dashes, superscripts, fractions and word
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, spread, table
+from leafloom.common import cut, skew_join, spread, table
 
 #: Lower-case letters that look alike in the Latin, Cyrillic and Greek alphabets.
 LOOK_ALIKES = ("aаα", "bьЬ", "cсϲ", "dԁ", "eеε", "gɡ", "hһ", "iіι", "jјϳ", "kкκ", "lӏ", "mм", "nпη", "oоοσ", "pрρ", "qԛ", "sѕ", "tтτ", "uυ", "vνѵ", "wѡԝ", "xхχ", "yуγ", "rг", "ïї", "ëё", "öӧ", "äӓ", "ăӑ")
@@ -31,9 +34,10 @@ LOOK_ALIKES = ("aаα", "bьЬ", "cсϲ", "dԁ", "eеε", "gɡ", "hһ", "iіι",
 LOOK_ALIKE_CAPITALS = ("AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙӀ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "SЅ", "TТΤ", "XХΧ", "YУΥҮ", "ZΖ", "ГΓ", "ПΠ", "ФΦ", "ЛΛ", "ÏЇ", "ËЁ", "ÖӦ", "ÄӒ")
 #: Joined letter forms, plain letters.
 JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj", "ǳ": "dz", "և": "եւ"}
-#: Most a spelling may cost; look-alikes and ignorables are free, all other edits cost 1.
-BUDGET = 0.5
-FLUSH = 100_000
+#: Most a spelling may cost; the costs of an accent more or less and of any other edit. Look-alikes and ignorables are free.
+BUDGET, ACCENT, EDIT = 0.5, 0.5, 1.0
+#: Distinct words a task counts before it hands them on; odd words of a bucket.
+FLUSH, BUCKET_WORDS = 100_000, 5_000
 
 _ALPHABETS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G"}
 
@@ -111,7 +115,10 @@ def _suspicion() -> str:
 _SUSPICIOUS = re.compile(_suspicion())
 _SPECIAL_SIGN = re.compile(f"[{_MARK}{_class()}]")
 _TOKEN = re.compile(r"[^ \t\r\n]+")
-_WORD = re.compile(rf"[^\W\d_]+(?:[{_MARK}]+[^\W\d_]*)*")
+_IGNORABLE = "".join(sorted(c for c, plain in PLAIN.items() if not plain))
+_INVISIBLE = "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _ranges(_IGNORABLE))
+#: A word as it stands in the text, with its accents and invisible signs.
+_RAW_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARK}{_INVISIBLE}])*")
 _CLEAN_WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -157,35 +164,53 @@ class Vocabulary:
         node[None] = node.get(None, 0) + count
 
     def best(self, word: str, budget: float = BUDGET) -> str | None:
-        """The most frequent spelling within the budget: least cost first, then count, then code points."""
-        units = unicodedata.normalize("NFC", "".join(PLAIN.get(c, c) for c in word))
+        """The spelling of a word as it stands in the text: least cost first, then count, then code points; None beyond the budget."""
+        units = [p for c in word for p in PLAIN.get(c, c)]
         found: list[tuple[float, int, str]] = []
-        stack = [(self.root, 0, 0.0, "")]
-        seen = set()
+        stack: list[tuple[dict, int, float, str]] = [(self.root, 0, 0.0, "")]
         while stack:
             node, i, cost, made = stack.pop()
-            if (id(node), i, cost) in seen:
-                continue
-            seen.add((id(node), i, cost))
+            if i == len(units) and None in node:
+                found.append((cost, -node[None], unicodedata.normalize("NFC", made)))
+            if cost + EDIT <= budget:
+                stack += [(below, i, cost + EDIT, made + edge) for edge, below in node.items() if edge is not None]
+                if i < len(units):
+                    stack.append((node, i + 1, cost + EDIT, made))
+                    stack += [(below, i + 1, cost + EDIT, made + edge) for edge, below in node.items() if edge is not None]
             if i == len(units):
-                if None in node:
-                    found.append((cost, -node[None], made))
-            else:
-                c = units[i]
-                same = SAME.get(c)
-                for edge in {c, *(same.values() if same else ())}:
-                    if edge in node:
-                        stack.append((node[edge], i + 1, cost, made + edge))
-                if unicodedata.combining(c):
-                    stack.append((node, i + 1, cost, made))
-                if cost + 1 <= budget:
-                    stack.append((node, i + 1, cost + 1, made))
-                    stack += [(below, i + 1, cost + 1, made + edge) for edge, below in node.items() if edge is not None and edge != c]
-            if cost + 1 <= budget:
-                stack += [(below, i, cost + 1, made + edge) for edge, below in node.items() if edge is not None]
+                continue
+            if unicodedata.combining(units[i]):
+                # an accent the spelling does not have
+                if cost + ACCENT <= budget:
+                    stack.append((node, i + 1, cost + ACCENT, made + units[i]))
+                continue
+            twins = _twins(units[i])
+            stack += [(node[t], i + 1, cost, made + t) for t in twins if t in node]
+            if i + 1 < len(units) and unicodedata.combining(units[i + 1]):
+                joined = {j for t in twins if len(j := unicodedata.normalize("NFC", t + units[i + 1])) == 1}
+                stack += [(node[t], i + 2, cost, made + t) for j in joined for t in _twins(j) if t in node]
+            if cost + ACCENT <= budget:
+                # the spelling has an accent more or less on this letter: what is written stays, in its alphabet
+                for edge in node:
+                    if edge is not None and edge not in twins and (bare := _bare(edge)) and (pair := _twins(bare) & _twins(_bare(units[i]))):
+                        own = unicodedata.normalize("NFD", units[i])[1:]
+                        same = next(t for t in sorted(pair) if alphabet(t) == alphabet(bare))
+                        stack.append((node[edge], i + 1, cost + ACCENT, made + same + own))
         return min(found)[2] if found else None
 
 
+@functools.lru_cache(maxsize=10_000)
+def _twins(c: str) -> frozenset[str]:
+    """The letter and those of the same look."""
+    return frozenset({c, *SAME.get(c, {}).values()})
+
+
+@functools.lru_cache(maxsize=10_000)
+def _bare(c: str) -> str:
+    """The letter without its accents."""
+    return unicodedata.normalize("NFD", c)[0]
+
+
 def suspicious_tokens(text: str) -> list[str]:
     """The runs between ordinary blanks that hold a suspicious place."""
     out, end = [], -1
@@ -200,8 +225,8 @@ def suspicious_tokens(text: str) -> list[str]:
 
 
 def odd_words(token: str) -> list[str]:
-    """Words of a suspicious token, special forms made plain except inside the words of two alphabets or with marks."""
-    return [w for w in _WORD.findall(_simple(token))]
+    """The words of a suspicious token, as they stand there."""
+    return _RAW_WORD.findall(token)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,20 +283,26 @@ def _spell(key: tuple, odd: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"word": words, "spelling": [trie.best(w) or by_table(w) for w in words]})
 
 
-def spellings(tokens: DataFrame, words: DataFrame, buckets: int = 64) -> DataFrame:
+def spellings(tokens: DataFrame, words: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(word, spelling) of every word of the suspicious ``tokens``; ``words`` (key, word, n) are the counts of all texts.
 
-    Only vocabulary whose key an odd word shares is kept, so a bucket's trie is no larger than its odd words' twins.
+    Only vocabulary whose key an odd word shares is kept, so a bucket's trie is no larger than its odd words' twins; the
+    number of buckets follows that of the odd words.
     """
     odd = cut(tokens.select("token").mapInArrow(_words, "word string, key string").distinct())
+    buckets = max(1, -(-odd.count() // bucket_words))
     known = words.join(odd.select("key").distinct(), "key", "left_semi").groupBy("key", "word").agg(F.sum("n").alias("n"))
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
     return odd.select(bucket, "word").groupBy("bucket").cogroup(known.select(bucket, "word", "n").groupBy("bucket")).applyInPandas(_spell, "word string, spelling string")
 
 
 def rewrite(token: str, spelling: dict[str, str]) -> str:
-    """The token in the consistent form."""
-    return _WORD.sub(lambda m: spelling.get(m.group()) or by_table(m.group()), _simple(token))
+    """The token in the consistent form: its words by their spelling, what stands between them by table."""
+    out, at = [], 0
+    for m in _RAW_WORD.finditer(token):
+        out += [_simple(token[at : m.start()]), spelling.get(m.group()) or by_table(m.group())]
+        at = m.end()
+    return "".join([*out, _simple(token[at:])])
 
 
 def _token_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +312,8 @@ def _token_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def consistent_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, form) of the distinct suspicious tokens."""
-    distinct = cut(tokens.select("token").distinct())
+    """(token, form) of the suspicious ``tokens``, each given once."""
+    distinct = tokens.select("token")
     words = distinct.mapInArrow(_token_words, "token string, word string").join(spellings(distinct, words), "word")
     # one row a token: its words with their spellings are as few as the token is long
     pairs = words.groupBy("token").agg(F.map_from_entries(F.collect_set(F.struct("word", "spelling"))).alias("spelling"))
@@ -300,8 +331,11 @@ def changed_tokens(texts: DataFrame) -> DataFrame:
     """(table_name, row_id, token, form) where the consistent form differs from what stands there."""
     scanned = cut(texts.filter("text IS NOT NULL").select("table_name", "row_id", "text").mapInArrow(_scan, "table_name string, row_id bigint, word string, key string, n bigint"))
     tokens = scanned.filter("n IS NULL").select("table_name", "row_id", F.col("word").alias("token"))
-    forms = consistent_tokens(tokens, scanned.filter("n IS NOT NULL").select("key", "word", "n")).filter("form <> token")
-    return tokens.join(forms, "token")
+    counted = cut(tokens.groupBy("token").agg(F.count("*").alias("rows")))
+    forms = consistent_tokens(counted, scanned.filter("n IS NOT NULL").select("key", "word", "n")).filter("form <> token")
+    total = counted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    # one token can stand in a third of all texts
+    return skew_join(tokens, cut(forms.join(counted, "token")), ["token"], "rows", total)
 
 
 def consistent_texts(texts: DataFrame) -> DataFrame:

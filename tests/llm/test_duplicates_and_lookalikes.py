@@ -84,6 +84,33 @@ def test_vocabulary_decides_over_the_table():
     assert v.best("coq", budget=1.0) == "cop"
 
 
+def test_the_walk_takes_words_as_they_stand():
+    """Wide and joined forms, invisible signs and separate accents cost nothing, an accent more or less keeps the look."""
+    v = L.Vocabulary()
+    for w, n in (("mouth", 3), ("office", 3), ("сухость", 3), ("gadījumā", 3), ("район", 4), ("надежный", 9), ("папа", 9)):
+        v.add(w, n)
+    free = {"ｍｏｕｔｈ": "mouth", "oﬃce": "office", "сyxо\u200bсть": "сухость", "gadi\u0304juma\u0304": "gadījumā", "раи\u0306oн": "район"}
+    for word, want in free.items():
+        assert v.best(word, budget=0.0) == want, word
+    assert v.best("нaдёжный", budget=0.0) is None and v.best("нaдёжный") == "надёжный"
+    assert v.best("пaпа\u0301") == "папа\u0301" and v.best("пaп") is None
+
+
+def test_spelling_comes_from_the_trie_and_not_from_the_table(spark):
+    """All letters of these words have twins, most of them Cyrillic: only the vocabulary can tell that they are Latin."""
+    rows = [("t", i, "the cop axe") for i in range(5)] + [("t", 90, "cор"), ("t", 91, "ахe"), ("t", 92, "\u200bcо\u200bр,")]
+    got = _forms(spark, [(*r, "x") for r in rows])
+    assert got[90] == ("cop", True) and got[91] == ("axe", True) and got[92] == ("cop,", True)
+    assert L.by_table("cор") == "сор" and L.by_table("ахe") == "ахе"
+
+
+def test_many_buckets_give_the_same_spellings(spark):
+    words = spark.createDataFrame([(L.coarse_key(w), w, n) for w, n in (("cop", 5), ("сор", 2), ("мама", 3), ("axe", 1))], "key string, word string, n bigint")
+    tokens = spark.createDataFrame([("cор",), ("мaма",), ("aхe",), ("слoво",)], "token string")
+    one = {r.word: r.spelling for r in L.spellings(tokens, words).collect()}
+    assert one == {r.word: r.spelling for r in L.spellings(tokens, words, 1).collect()} == {"cор": "cop", "мaма": "мама", "aхe": "axe", "слoво": "слово"}
+
+
 def test_no_texts(spark):
     assert L.changed_tokens(spark.createDataFrame([], "table_name string, row_id bigint, text string")).count() == 0
 

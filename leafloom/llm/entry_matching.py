@@ -83,7 +83,7 @@ SELECT field, form, entry, len, k, seg,
 FROM (SELECT *, explode(sequence(0, k)) AS seg FROM $forms)
 """
 _PROBES = f"""
-SELECT field, value, variant, v, len, explode(sequence(greatest(length(v) - 4, 1), length(v) + 4)) AS flen
+SELECT field, value, variant, v, len, explode(sequence(greatest(length(v) - {EDITS[0][1]}, 1), length(v) + {EDITS[0][1]})) AS flen
 FROM (SELECT field, value, min(variant) AS variant, v, length(v) AS len
   FROM (SELECT field, value, posexplode(vs) AS (variant, v) FROM (SELECT field, value, {_variants_sql('value')} AS vs FROM $values))
   WHERE v <> '' GROUP BY field, value, v)
@@ -116,24 +116,42 @@ def match_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     return sql(spark, _BEST, candidates=candidates)
 
 
+_ASKED = r"""
+SELECT r.field, r.row_id, r.value FROM $rows r LEFT ANTI JOIN $entries e ON r.field = e.field AND r.value = e.entry
+WHERE r.value RLIKE '[^\\p{Z}\\s\\p{Cf}]'
+"""
+_JUDGED = f"""
+SELECT v.field, v.value, v.n, b.entry FROM $values v JOIN $best b ON v.field = b.field AND v.value = b.value
+UNION ALL SELECT v.field, v.value, v.n, '{UNMATCHED}' FROM $values v LEFT ANTI JOIN $best b ON v.field = b.field AND v.value = b.value
+"""
+#: Values of more rows than $limit are few by construction and come back by a broadcast, their rows unshuffled.
+_BACK = """
+SELECT /*+ BROADCAST(j) */ a.field, a.row_id, a.value, j.entry FROM $asked a JOIN $judged j ON a.field = j.field AND a.value = j.value AND j.n > $limit
+UNION ALL SELECT a.field, a.row_id, a.value, j.entry
+FROM (SELECT /*+ BROADCAST(h) */ a.* FROM $asked a LEFT ANTI JOIN (SELECT field, value FROM $judged WHERE n > $limit) h ON a.field = h.field AND a.value = h.value) a
+JOIN (SELECT * FROM $judged WHERE n <= $limit) j ON a.field = j.field AND a.value = j.value
+"""
+
+
+def judged_values(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(field, value, n, entry or UNMATCHED) of the different values of ``asked``; unmatched ones by an anti-join."""
+    spark = asked.sparkSession
+    values = cut(sql(spark, "SELECT field, value, count(*) AS n FROM $asked GROUP BY field, value", asked=asked))
+    best = cut(match_values(values.select("field", "value"), entries))
+    return cut(sql(spark, _JUDGED, values=values, best=best))
+
+
 def map_to_entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """(field, row_id, value, entry or UNMATCHED) of ``rows`` (field, row_id, value).
 
-    Values are matched once each; they come back to their rows by a join on the value, split by the engine where one
-    value fills many rows.
+    Values are matched once each. They come back to their rows by a join in which values of more than a thousandth of all
+    rows, fewer than a thousand, are broadcast.
     """
     spark = rows.sparkSession
-    asked = sql(
-        spark,
-        r"""SELECT r.* FROM $rows r LEFT ANTI JOIN $entries e ON r.field = e.field AND r.value = e.entry
-        WHERE r.value RLIKE '[^\\p{Z}\\s\\p{Cf}]'""",
-        rows=rows, entries=entries,
-    )
-    values = sql(spark, "SELECT field, value, count(*) AS n FROM $asked GROUP BY field, value", asked=asked)
-    best = cut(match_values(values.select("field", "value"), entries))
-    matched = sql(spark, "SELECT a.field, a.row_id, a.value, b.entry FROM $asked a JOIN $best b ON a.field = b.field AND a.value = b.value", asked=asked, best=best)
-    rest = sql(spark, f"SELECT a.field, a.row_id, a.value, '{UNMATCHED}' AS entry FROM $asked a LEFT ANTI JOIN $best b ON a.field = b.field AND a.value = b.value", asked=asked, best=best)
-    return matched.unionAll(rest)
+    asked = sql(spark, _ASKED, rows=rows, entries=entries)
+    judged = judged_values(asked, entries)
+    total = sql(spark, "SELECT coalesce(sum(n), 0) AS n FROM $judged", judged=judged).first()[0]
+    return sql(spark, _BACK.replace("$limit", str(max(total // 1000, 1))), asked=asked, judged=judged)
 
 
 _ENTRIES = """
@@ -159,8 +177,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unmatched values with their number of rows."""
-    out = map_to_entries(*_inputs(spark, sf_dir))
-    return sql(spark, f"SELECT field, value, count(*) AS n FROM $out WHERE entry = '{UNMATCHED}' GROUP BY field, value", out=out)
+    rows, entries = _inputs(spark, sf_dir)
+    judged = judged_values(sql(spark, _ASKED, rows=rows, entries=entries), entries)
+    return sql(spark, f"SELECT field, value, n FROM $judged WHERE entry = '{UNMATCHED}'", judged=judged)
 
 
 QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched}

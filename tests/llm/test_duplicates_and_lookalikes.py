@@ -43,7 +43,7 @@ def test_buckets_split_until_they_fit(spark):
     got = {r.canon: (r.first_id, r.copies) for r in D.collapse(rows, capacity=5).collect()}
     want = {r.canon: (r.f, r.n) for r in rows.groupBy("canon").agg(F.min("id").alias("f"), F.count("*").alias("n")).collect()}
     assert got == want
-    counted = rows.mapInArrow(D._count_partition, "canon string, first_id bigint, copies bigint")
+    counted = rows.mapInArrow(D._count_partition, D._COUNTED)
     sizes = D.radix_buckets(counted, 5, counted.count()).groupBy("bucket").agg(F.count_distinct("canon").alias("d"), F.count("*").alias("n")).collect()
     assert all(r.n <= 5 or r.d == 1 for r in sizes)
 

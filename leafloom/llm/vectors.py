@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafloom.common import skew_join
+
 DIMENSIONS = 64
 
 
@@ -52,8 +54,10 @@ def distinct_vectors(units: DataFrame) -> DataFrame:
 
 def members(units: DataFrame, classes: DataFrame) -> DataFrame:
     """(class_id, id) of all members of the classes (id, vec, copies) with several copies."""
-    several = classes.filter("copies > 1").select(F.col("id").alias("class_id"), "vec")
-    return units.join(several, "vec").select("class_id", "id").distinct()
+    several = classes.filter("copies > 1").select(F.col("id").alias("class_id"), "vec", "copies")
+    total = several.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    # one vector can be a third of all
+    return skew_join(units.select("id", "vec"), several, ["vec"], "copies", total).select("class_id", "id").distinct()
 
 
 def first_members(of: DataFrame, most: int, salts: int = 64) -> DataFrame:

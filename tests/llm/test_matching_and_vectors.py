@@ -189,3 +189,14 @@ def test_exact_search_misses_nothing(spark):
     assert all(np.allclose(sorted(c), np.sort(s[i])[-10:], atol=1e-5) for i, c in got.items())
     few = spark.createDataFrame([(1, [1.0] + [0.0] * 63), (2, [-1.0] + [0.0] * 63)], "id bigint, vec array<float>")
     assert {(r.id, r.other, r.cosine) for r in N.nearest(few, few, 10, -1.0, 96, exact=True).collect()} == {(1, 2, -1.0), (2, 1, -1.0)}
+
+
+def test_runs_of_cells_and_divided_cells_lose_nothing(spark):
+    """Runs of five entries: cells with more are divided into parts, and the rows stay those of one large run."""
+    m = np.concatenate([_world(6, 30, 6, 60), np.random.default_rng(2).normal(size=64) + np.random.default_rng(3).normal(size=(80, 64)) * 0.05])
+    units = V.unit_vectors(_vectors(spark, m), "side_effect_id")
+    whole = {tuple(r) for r in N.nearest(units, units, 5, 0.5, 40).select("id", "other").collect()}
+    assert whole == {tuple(r) for r in N.nearest(units, units, 5, 0.5, 40, part_entries=5).select("id", "other").collect()}
+    placed = spark.createDataFrame([(0, 0, i) for i in range(3)] + [(0, 1, i) for i in range(11)] + [(0, 2, 50), (1, 0, 51), (1, 1, 52)], "u int, v int, id bigint")
+    runs = N.cell_runs(placed, 3, 5)
+    assert runs.starts.tolist()[:3] == [0, 1, 2] and runs.parts.tolist()[:3] == [1, 3, 1]

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafloom.llm import entry_matching as M
 from leafloom.llm import neighbours as N
@@ -200,3 +201,67 @@ def test_runs_of_cells_and_divided_cells_lose_nothing(spark):
     placed = spark.createDataFrame([(0, 0, i) for i in range(3)] + [(0, 1, i) for i in range(11)] + [(0, 2, 50), (1, 0, 51), (1, 1, 52)], "u int, v int, id bigint")
     runs = N.cell_runs(placed, 3, 5)
     assert runs.starts.tolist()[:3] == [0, 1, 2] and runs.parts.tolist()[:3] == [1, 3, 1]
+
+
+def test_ward_makes_one_micro_cluster_of_several_leaves(monkeypatch):
+    """Three leaves of a fine tree lie within the reach of similar records, a fourth does not: without Ward all four stay apart."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    side = [s * np.eye(64)[i] * 0.24 for i, s in ((0, 1), (1, 1), (2, -1))] + [-np.eye(64)[0] * 0.9]
+    x = np.concatenate([centre + s + rng.normal(size=(12, 64)) * 0.002 for s in side])
+    merged = C.micro_labels(x, float(np.sqrt(0.3)))
+    assert len(set(merged[:36])) == 1 and len(set(merged[36:]) | {merged[0]}) == 2
+    monkeypatch.setattr(C, "ward", lambda n, *_: np.arange(len(n)))
+    assert len(set(C.micro_labels(x, float(np.sqrt(0.3))))) == 4
+
+
+def test_ward_keeps_far_ends_apart():
+    x = np.arange(8.0)[:, None]
+    labels = C.ward(np.ones(8), x, 1, widest=2.0)
+    assert all(abs(a - b) <= 2 for a in range(8) for b in range(8) if labels[a] == labels[b]) and len(set(labels)) == 4
+
+
+def test_one_giant_chain_is_checked_along_its_links(spark, monkeypatch):
+    """Single linkage joins 240 vectors of a chain, two pairs and a dense ball into one candidate of many blocks."""
+    monkeypatch.setattr(C, "BLOCK", 20)
+    t = np.radians(np.arange(240) * 20.0 / 9)
+    chain = np.zeros((240, 64))
+    for i, a in enumerate(t):
+        chain[i, i // 40], chain[i, i // 40 + 1] = np.cos((i % 40) * np.pi / 80), np.sin((i % 40) * np.pi / 80)
+    rng = np.random.default_rng(5)
+    ball = np.eye(64)[20] + rng.normal(size=(70, 64)) * 0.002
+    pair = np.eye(64)[30] + np.outer([0, 1], np.eye(64)[31]) * 0.1
+    m = np.concatenate([chain, ball, pair])
+    _, found = _brute(m)
+    units = V.unit_vectors(_vectors(spark, m), "side_effect_id")
+    classes = V.distinct_vectors(units)
+    rows, linked, micros = C.candidates(classes, region=150)
+    one = rows.selectExpr("1L AS component", "leaf", "id", "vec", "copies")
+    got = {(r.first_id, r.id) for r in C.exact_clusters(one, linked=linked, micros=micros).collect() if r.first_id != r.id}
+    assert got == found and len(found) == 70
+
+
+def test_every_region_that_can_hold_a_similar_record_is_visited(spark):
+    m = _world(9, 40, 5, 60)
+    units = V.unit_vectors(_vectors(spark, m), "side_effect_id")
+    got = {(r.first_id, r.id) for r in C.clusters(units, region=20, visits=None).filter("id <> first_id").collect()}
+    assert got == _brute(m)[1]
+    rng = np.random.default_rng(12)
+    x, c = rng.normal(size=(300, 3)).astype(np.float32), rng.normal(size=(9, 3)).astype(np.float32)
+    for v in (x, c):
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    home = (x @ c.T).argmax(1)
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.3
+    seen = set(zip(*(a.tolist() for a in C._possible_regions(x, c, np.full(300, 0.3)))))
+    assert all((i, home[j]) in seen for i, j in zip(*np.nonzero(near))) and len(seen) < 300 * 9
+
+
+def test_all_but_equal_vectors_are_one_micro_cluster(spark):
+    """A region that cannot be divided is summed where its records lie."""
+    rng = np.random.default_rng(6)
+    m = np.concatenate([np.eye(64)[3] + rng.normal(size=(300, 64)) * 1e-4, rng.normal(size=(20, 64))])
+    units = V.unit_vectors(_vectors(spark, m), "side_effect_id")
+    micro, _ = C.micro_clusters(units, 20)
+    assert micro.filter("vec IS NOT NULL").agg(F.max("n")).first()[0] == 300
+    assert {(r.first_id, r.id) for r in C.clusters(units, region=20).collect()} == {(1, i) for i in range(1, 301)}

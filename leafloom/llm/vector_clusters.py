@@ -294,6 +294,42 @@ def route(rows: DataFrame, centres: DataFrame, visits: int | None, reach: float
     return out.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= visits).drop("__r")
 
 
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number each of ``n`` is connected with through the pairs (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def merge_leaves(n: np.ndarray, c: np.ndarray, widest: float) -> np.ndarray:
+    """Labels of leaves (n, centroid) after Ward agglomeration that keeps leaves farther apart than ``widest`` apart.
+
+    It never joins leaves that no chain of such distances connects, so each connected part is agglomerated for itself.
+    """
+    square = (c * c).sum(1)
+    left, right = [], []
+    for s in range(0, len(c), 512):
+        i, j = np.nonzero(square[s : s + 512, None] + square - 2 * c[s : s + 512] @ c.T <= widest**2 + 1e-9)
+        keep = s + i < j
+        left.append(s + i[keep])
+        right.append(j[keep])
+    part = _components(len(c), np.concatenate(left), np.concatenate(right))
+    order = np.argsort(part, kind="stable")
+    label = part.copy()
+    for m in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
+        if len(m) > 1:
+            groups = ward(n[m], c[m], 1, np.inf, widest)
+            label[m] = m[np.unique(groups, return_index=True)[1]][groups]
+    return np.unique(label, return_inverse=True)[1]
+
+
 _MICRO = pa.schema([("region", pa.string()), ("leaf", pa.int64()), ("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("n", pa.int64()), ("radius", pa.float64())])
 
 
@@ -303,7 +339,7 @@ def micro_labels(x: np.ndarray, widest: float) -> np.ndarray:
     for i in range(0, len(x), 512):
         tree.add(np.ones(len(x[i : i + 512])), x[i : i + 512], (x[i : i + 512] ** 2).sum(1))
     n, ls, _ = tree.leaves()
-    group = ward(n, ls / n[:, None], 1, np.inf, widest)
+    group = merge_leaves(n, ls / n[:, None], widest)
     sums, sizes = np.zeros((group.max() + 1, x.shape[1])), np.zeros(group.max() + 1)
     np.add.at(sums, group, ls)
     np.add.at(sizes, group, n)

@@ -222,6 +222,14 @@ def test_ward_keeps_far_ends_apart():
     assert all(abs(a - b) <= 2 for a in range(8) for b in range(8) if labels[a] == labels[b]) and len(set(labels)) == 4
 
 
+def test_parts_are_agglomerated_as_the_whole():
+    rng = np.random.default_rng(13)
+    c = np.concatenate([k + rng.normal(size=(15, 4)) * 0.2 for k in rng.normal(size=(12, 4)) * 3])
+    n = rng.integers(1, 9, len(c)).astype(float)
+    pairs = lambda x: {(i, j) for i in range(len(x)) for j in range(len(x)) if x[i] == x[j]}
+    assert pairs(C.merge_leaves(n, c, 0.6)) == pairs(C.ward(n, c, 1, np.inf, 0.6))
+
+
 def test_one_giant_chain_is_checked_along_its_links(spark, monkeypatch):
     """Single linkage joins 240 vectors of a chain, two pairs and a dense ball into one candidate of many blocks."""
     monkeypatch.setattr(C, "BLOCK", 20)

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -89,6 +89,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
+def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each (new column, column) of ``sums``, the sum of the column up to and with the row in the given order.
+
+    Rows are range-partitioned and summed within their part, then shifted by the parts before it (one row a part), so no
+    task sees them all. The parts are written first: both uses must see the same ones. Ties must not matter.
+    """
+    parts = cut(df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("__p")))
+    here = parts.groupBy("__p").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = here.select("__p", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    within = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.join(F.broadcast(starts), "__p").select(*df.columns, *[(F.col(f"__{n}") + F.sum(c).over(within)).alias(n) for n, c in sums.items()])
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
+    """The rows numbered from 1 in the given order, by ``running_sums``."""
+    return running_sums(df.withColumn("__one", F.lit(1)), order, {name: "__one"}).drop("__one")
+
+
 def skew_join(rows: DataFrame, side: DataFrame, key: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``side`` (one row a key, with the number of ``rows`` of the key in ``weight``).
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,13 +97,55 @@ def remove_brackets(text: Column) -> Column:
     return apply(text, PLAIN_BRACKETS)
 
 
-def remove_brackets_deep(text: Column, depth: int = 8) -> Column:
-    """Bracketed text of any kind, nested up to ``depth``; an unclosed bracket drops the rest, a stray one only itself."""
-    return apply(text, [(INNERMOST_MIXED, "")] * depth + [(r"(?s)[\[({].*$", ""), (r"[\])}]", "")])
+def _until_stable(texts: pd.Series, pattern: str) -> pd.Series:
+    """Texts without what the pattern finds, again and again until it finds nothing; most have no bracket at all."""
+    find, some = re.compile(pattern), re.compile(r"[\[({]")
 
+    def clean(text: str | None) -> str | None:
+        hits = 1 if text and some.search(text) else 0
+        while hits:
+            text, hits = find.subn("", text)
+        return text
 
-def remove_matched_brackets(text: Column, depth: int = 8) -> Column:
-    return apply(text, [(INNERMOST, "")] * depth)
+    return texts.map(clean)
+
+
+def _without_mixed(texts: pd.Series) -> pd.Series:
+    """One walk over the brackets of a text: each closing one meets the last one open, of whatever kind."""
+    find = re.compile(r"[\[(\{\])}]")
+
+    def clean(text: str | None) -> str | None:
+        if not text:
+            return text
+        opened, gone = [], []
+        for m in find.finditer(text):
+            if m.group() in "[({":
+                opened.append(m.start())
+            elif opened:
+                start = opened.pop()
+                while gone and gone[-1][0] > start:
+                    gone.pop()
+                gone.append((start, m.end()))
+        at, kept = 0, []
+        for s, e in gone:
+            kept.append(text[at:s])
+            at = e
+        return "".join([*kept, text[at:]])
+
+    return texts.map(clean)
+
+
+def remove_brackets_deep(text: Column) -> Column:
+    """Without bracketed text of any kind, however deep; an unclosed bracket drops the rest, a stray one only itself.
+
+    One Arrow pass, since no replacement rule follows nesting of any depth.
+    """
+    return apply(F.pandas_udf(_without_mixed, "string")(text), [(r"(?s)[\[({].*$", ""), (r"[\])}]", "")])
+
+
+def remove_matched_brackets(text: Column) -> Column:
+    """Without pairs of one kind and what they hold, innermost first, until none is left."""
+    return F.pandas_udf(lambda texts: _until_stable(texts, INNERMOST), "string")(text)
 
 
 def remove_unmatched_brackets(text: Column) -> Column:
@@ -193,8 +238,14 @@ def translate_term(text: Column, dictionary: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(table, F.lower(text)), text)
 
 
+def decomposed(text: Column) -> Column:
+    """Compatibility decomposition (NFKD): plain letters, then their accents; the engine has no function for it."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t)), "string")(text)
+
+
 def letters_only(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"[^\p{L}]", ""))
+    """The plain letters in lower case: wide and joined forms are taken apart and accents dropped."""
+    return F.lower(F.regexp_replace(decomposed(text), r"[^\p{L}]", ""))
 
 
 def ascii_only(text: Column) -> Column:

@@ -52,11 +52,11 @@ def pairs(ids: DataFrame) -> DataFrame:
 
 
 def pair_classes(weights: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id1, id2, class, rank) of all pairs. Effects are joined per pair from the long table, then reduced to a maximum."""
-    both = pairs(ids)
-    x = weights.select(F.col("drug_id").alias("id1"), "se_id", F.col("w").alias("w1"))
-    y = weights.select(F.col("drug_id").alias("id2"), "se_id", F.col("w").alias("w2"))
-    best = both.join(x, "id1").join(y, ["id2", "se_id"]).groupBy("id1", "id2").agg(F.max(F.col("w1") + F.col("w2")).alias("m"))
+    """(id1, id2, class, rank) of all pairs that share an effect, joined on the effect and reduced to a maximum."""
+    known = weights.join(ids.select(F.col("id").alias("drug_id")).distinct(), "drug_id", "left_semi")
+    x = known.select(F.col("drug_id").alias("id1"), "se_id", F.col("w").alias("w1"))
+    y = known.select(F.col("drug_id").alias("id2"), "se_id", F.col("w").alias("w2"))
+    best = x.join(y, "se_id").filter("id1 < id2").groupBy("id1", "id2").agg(F.max(F.col("w1") + F.col("w2")).alias("m"))
     return best.select("id1", "id2", compatibility_class(F.col("m")).alias("class"), F.round("m", 2).alias("rank"))
 
 
@@ -82,14 +82,30 @@ def flat_vector(row_no: str, columns: list[str], df: DataFrame) -> DataFrame:
     return df.select((F.col(row_no) + 1).alias("drug_id"), F.posexplode(F.array(*columns)).alias("p", "w")).select("drug_id", (F.col("p") + 1).alias("se_id"), F.col("w").cast("double").alias("w"))
 
 
+def _known(dataset: DataFrame, rates: DataFrame, case_sensitive: bool) -> DataFrame:
+    """(drug, effect, rate) of a dataset (drug, effect, freq); frequencies without a rate count as 0."""
+    key = F.col("freq") if case_sensitive else F.lower("freq")
+    of = rates.select(key.alias("k"), "rate").dropDuplicates(["k"])
+    return dataset.groupBy("drug", "effect").agg(F.max("freq").alias("freq")).withColumn("k", key).join(of, "k", "left").select("drug", "effect", F.coalesce("rate", F.lit(0.0)).alias("rate"))
+
+
 def convolution_error(reached: DataFrame, dataset: DataFrame, rates: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """(drug, loss, n_common, n_missing) of reached (drug, effect, p) against dataset (drug, effect, freq) and rates (freq, rate).
 
     Frequencies without a rate count as 0; by default the lookup ignores case.
     """
-    key = F.col("freq") if case_sensitive else F.lower("freq")
-    of = rates.select(key.alias("k"), "rate").dropDuplicates(["k"])
-    known = dataset.groupBy("drug", "effect").agg(F.max("freq").alias("freq")).withColumn("k", key).join(of, "k", "left").select("drug", "effect", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.lit(1).alias("there"))
-    drugs = known.select("drug").distinct()
-    rows = reached.join(drugs, "drug", "left_semi").join(known, ["drug", "effect"], "left")
+    known = _known(dataset, rates, case_sensitive).withColumn("there", F.lit(1))
+    rows = reached.join(known.select("drug").distinct(), "drug", "left_semi").join(known, ["drug", "effect"], "left")
     return rows.groupBy("drug").agg(F.sum(F.when(F.col("there") == 1, F.pow(F.col("rate") - F.col("p"), 2))).alias("loss"), F.count("there").alias("n_common"), F.count(F.when(F.col("there").isNull(), 1)).alias("n_missing"))
+
+
+def convolution_error_by_class(reached: DataFrame, members: DataFrame, dataset: DataFrame, rates: DataFrame, p: float, case_sensitive: bool = False) -> DataFrame:
+    """As ``convolution_error`` for one probability, from classes of effects: reached (drug, class, size), members (effect, class).
+
+    What a drug reaches and its data lack is only counted, so no row is made for it.
+    """
+    known = _known(dataset, rates, case_sensitive)
+    n = reached.groupBy("drug").agg(F.sum("size").alias("n")).join(known.select("drug").distinct(), "drug", "left_semi")
+    hits = known.join(members, "effect").join(reached.select("drug", "class"), ["drug", "class"], "left_semi")
+    found = hits.groupBy("drug").agg(F.sum(F.pow(F.col("rate") - p, 2)).alias("loss"), F.count("*").alias("n_common"))
+    return n.join(found, "drug", "left").select("drug", "loss", F.coalesce("n_common", F.lit(0)).alias("n_common"), (F.col("n") - F.coalesce("n_common", F.lit(0))).alias("n_missing"))

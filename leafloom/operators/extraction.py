@@ -202,7 +202,8 @@ def contraindications(text: Column, most: int = 60) -> Column:
     fragments = F.filter(F.transform(parts, lambda p: strip(F.regexp_replace(p, rf"[{S}]+", " "))), lambda p: p != "")
     said = F.filter(F.flatten(F.transform(fragments, lambda f: T.sentences(f, shaped=False))), lambda s: (s != "") & ~skip(s))
     items = F.flatten(F.transform(said, T.split_items))
-    tidy = lambda i: strip(F.regexp_replace(F.regexp_replace(T.remove_unmatched_brackets(T.remove_matched_brackets(i)), rf"^[^\p{{L}}\p{{N}}_{S}()]+", ""), rf"[^\p{{L}}\p{{N}}_{S}()]+$", ""))
+    # no pair of brackets is left in the text, so none is in a part of it
+    tidy = lambda i: strip(F.regexp_replace(F.regexp_replace(T.remove_unmatched_brackets(i), rf"^[^\p{{L}}\p{{N}}_{S}()]+", ""), rf"[^\p{{L}}\p{{N}}_{S}()]+$", ""))
     return F.array_distinct(F.filter(F.transform(items, tidy), lambda i: (i != "") & ~skip(i) & (F.length(i) <= most)))
 
 

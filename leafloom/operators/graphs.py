@@ -6,6 +6,9 @@ the loss of an executor grows with the rounds. ``graph_id`` is not needed: ids a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +27,9 @@ def build_graph(edge_list: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Rows with an empty end, and rows marked as no link, are left out.
     """
-    rows = edge_list.select(*[F.trim(c).alias(c) for c in ("source", "source_tag", "target", "target_tag")])
+    linked = edge_list.filter("type IS NULL OR type <> 'Not_link'") if "type" in edge_list.columns else edge_list
+    rows = linked.select(*[F.trim(c).alias(c) for c in ("source", "source_tag", "target", "target_tag")])
     rows = rows.filter((F.coalesce("source", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != ""))
-    if "type" in edge_list.columns:
-        rows = edge_list.filter("type IS NULL OR type <> 'Not_link'")
     ends = rows.select(F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("source_tag").alias("tag")), F.struct(F.col("target").alias("name"), F.col("target_tag").alias("tag")))).alias("n")).select("n.*").distinct()
     nodes = ends.select(node_id(F.col("name"), F.col("tag")).alias("node_id"), "name", "tag", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     edges = rows.select(node_id(F.col("source"), F.col("source_tag")).alias("src"), node_id(F.col("target"), F.col("target_tag")).alias("dst")).distinct()
@@ -62,7 +64,14 @@ def link_isolated_effects(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return link_orphans(nodes, edges, ["side_e"])
 
 
-def contract_hanging(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def _rounds(nodes: DataFrame) -> Iterator[int]:
+    """As many rounds as a chain of nouns can be long; more mean that nouns form a cycle, which has no end."""
+    most = nodes.filter("tag = 'noun'").count() + 1
+    yield from range(most)
+    raise ValueError(f"nouns still hang after {most} rounds: they lie on a cycle")
+
+
+def contract_hanging(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hanging actions and mechanisms swallow their noun children: "parent child(tag of the parent)".
 
     The new node inherits the child's other parents and its children; the hanging parent goes at once, the nouns at the
@@ -70,7 +79,7 @@ def contract_hanging(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> tu
     """
     nodes, edges = cut(nodes), cut(edges)
     gone = None
-    for _ in range(rounds):
+    for _ in _rounds(nodes):
         hanging = orphans(nodes, edges, ["action", "mechanism"]).select(F.col("node_id").alias("p"), F.col("name").alias("p_name"), F.col("tag").alias("p_tag"))
         nouns = nodes.filter("tag = 'noun'").select(F.col("node_id").alias("c"), F.col("name").alias("c_name"), "x", "y")
         pairs = cut(hanging.join(edges.select(F.col("src").alias("p"), F.col("dst").alias("c")), "p").join(nouns, "c"))
@@ -90,11 +99,11 @@ def contract_hanging(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> tu
     return nodes, link_orphans(nodes, edges, ["action", "mechanism"])
 
 
-def remove_nouns(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def remove_nouns(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every node swallows its noun children, its new nodes theirs; a node of noun children only goes as well."""
     nodes, edges = cut(nodes), cut(edges)
     frontier, gone = nodes.filter("tag IS NULL OR tag <> 'noun'"), nodes.filter("FALSE").select("node_id")
-    for _ in range(rounds):
+    for _ in _rounds(nodes):
         nouns = nodes.filter("tag = 'noun'").select(F.col("node_id").alias("c"), F.col("name").alias("c_name"), "x", "y")
         out_edges = edges.join(frontier.select(F.col("node_id").alias("src"), F.col("name").alias("p_name"), F.col("tag").alias("p_tag")), "src")
         pairs = cut(out_edges.withColumnRenamed("dst", "c").join(nouns, "c"))
@@ -173,12 +182,12 @@ def relabel_and_merge(nodes: DataFrame, edges: DataFrame, synonyms: DataFrame) -
     return merge_by_label(renamed, edges)
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(seed, node_id): all nodes reached from each seed, itself included. Only the frontier is joined in a round."""
     edges = edges.select("src", "dst")
     frontier = cut(seeds.select("seed", "node_id").distinct())
     parts, seen = [frontier], frontier
-    for _ in range(most):
+    while True:
         step = frontier.join(edges, frontier["node_id"] == edges["src"]).select("seed", F.col("dst").alias("node_id")).distinct()
         frontier = cut(step.join(seen, ["seed", "node_id"], "left_anti"))
         if frontier.isEmpty():
@@ -188,6 +197,31 @@ def reachable(seeds: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFra
     return seen
 
 
+class Reached(NamedTuple):
+    """Reached nodes by class: ``members`` (node_id, class) and ``reached`` (seed, class, size)."""
+
+    members: DataFrame
+    reached: DataFrame
+
+
+def reached_classes(seeds: DataFrame, edges: DataFrame, wanted: DataFrame) -> Reached:
+    """What the seeds (node_id) reach among ``wanted`` (node_id), without a row for every pair.
+
+    Each child of a seed is followed once, however many seeds share it. Wanted nodes that are reached from the same
+    children are one class; a seed reaches whole classes, so pairs of seed and class stand for all pairs of nodes.
+    """
+    seeds = seeds.select(F.col("node_id").alias("seed")).distinct()
+    children = edges.select(F.col("src").alias("seed"), F.col("dst").alias("child")).join(seeds, "seed", "left_semi").unionByName(seeds.select("seed", F.col("seed").alias("child")).join(wanted.withColumnRenamed("node_id", "seed"), "seed", "left_semi"))
+    children = cut(children.distinct())
+    below = reachable(children.select(F.col("child").alias("seed"), F.col("child").alias("node_id")).distinct(), edges)
+    hits = cut(below.join(wanted, "node_id", "left_semi").select(F.col("seed").alias("child"), "node_id"))
+    key = F.xxhash64("child")
+    members = cut(hits.groupBy("node_id").agg(F.xxhash64(F.count("*"), F.bit_xor(key), F.sum(key.cast("decimal(38,0)"))).alias("class")))
+    sizes = members.groupBy("class").agg(F.count("*").alias("size"))
+    by_child = hits.join(members, "node_id").select("child", "class").distinct()
+    return Reached(members, children.join(by_child, "child").select("seed", "class").distinct().join(sizes, "class"))
+
+
 def ancestors(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return reachable(seeds, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 

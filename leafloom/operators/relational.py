@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafloom.common import cut
+from leafloom.common import cut, numbered, running_sums
 
 # ---- projections and filters
 
@@ -167,7 +167,13 @@ def unlinked_pairs(entities: DataFrame, relations: DataFrame, group: list[str])
 
 
 def inverted_index(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(f"{value}s"))
+    """(key, value): the values of each key, once each, as rows, so that a key of a third of all rows is no list."""
+    return df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct()
+
+
+def index_sizes(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, first_value): how many different values a key has, and the smallest."""
+    return inverted_index(df, key, value).groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias(f"first_{value}"))
 
 
 def edges_between(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -244,17 +250,15 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Rank-sum AUC with ties counted half, from counts per distinct score."""
-    per = df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # one row a distinct score
-    below = per.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    per = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
+    below = running_sums(per, ["score"], {"upto": "n"}).withColumn("below", F.col("upto") - F.col("n"))
     return below.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def best_f1_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, f1): the highest F1 over all scores as thresholds; 0.5 and 0 without a positive."""
-    per = df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("k"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)  # one row a distinct score
-    cum = per.select(F.col(score).alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("k").over(w).alias("said"), F.sum("p").over(Window.partitionBy()).alias("all_p"))
+    per = cut(df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("k")))
+    cum = running_sums(per, [F.desc("threshold")], {"tp": "p", "said": "k"}).crossJoin(F.broadcast(per.agg(F.sum("p").alias("all_p"))))
     f1 = F.when(F.col("all_p") > 0, 2 * F.col("tp") / (F.col("said") + F.col("all_p")))
     return cum.agg(F.max(F.struct(f1.alias("f1"), F.col("threshold"))).alias("b")).select(F.coalesce("b.threshold", F.lit(0.5)).alias("threshold"), F.coalesce("b.f1", F.lit(0.0)).alias("f1"))
 
@@ -332,18 +336,8 @@ def endpoint_bag(edges: DataFrame) -> DataFrame:
 
 
 def surrogate_keys(df: DataFrame, natural: str, ident: str) -> DataFrame:
-    """Distinct values with ids from 1 by value.
-
-    Values are range-partitioned and numbered within their part, then shifted by the sizes of the parts before it (one
-    row a part), so no single task sees them all. The parts are written first: both uses must see the same ones.
-    """
-    values = df.filter(F.col(natural).isNotNull()).select(natural).distinct()
-    parts = cut(values.repartitionByRange(natural).select(natural, F.spark_partition_id().alias("__p")))
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(natural))
-    return parts.join(F.broadcast(starts), "__p").select(natural, (F.col("__start") + within).alias(ident))
+    """Distinct values with ids from 1 by value."""
+    return numbered(df.filter(F.col(natural).isNotNull()).select(natural).distinct(), [natural], ident)
 
 
 def load_star(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

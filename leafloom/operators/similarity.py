@@ -6,8 +6,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,44 +47,57 @@ def encode_terms(terms: DataFrame, column: str = "term", encoder: Callable[[str]
     return terms.select(F.col(column).alias("term")).filter("term IS NOT NULL").distinct().mapInArrow(run, "term string, vec array<float>")
 
 
-def _block_pairs(least: float, k: int | None, symmetric: bool) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "sim": pd.Series(dtype=float)})
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a list column as rows of length 1."""
+    whole = column.combine_chunks()
+    m = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+
+
+def _block_pairs(least: float, k: int | None, symmetric: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, others = left.column("id"), right.column("other")
         if not len(left) or not len(right):
-            return empty
-        right = right.rename(columns={"other": "id", "other_vec": "vec"})
-        x, y = (np.stack(d["vec"].to_numpy()).astype(np.float64) for d in (left, right))
-        x, y = (m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12) for m in (x, y))
-        sim = x @ y.T
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+            return pa.table({"a": ids.slice(0, 0), "b": others.slice(0, 0), "sim": pa.array([], pa.float64())})
+        sim = _units(left.column("vec")) @ _units(right.column("other_vec")).T
         keep = sim >= least
-        if symmetric:
-            keep &= a[:, None] < b[None, :]
+        if symmetric and key[0].as_py() == key[1].as_py():
+            # a block with itself: each pair once
+            keep &= np.arange(len(ids))[:, None] < np.arange(len(ids))
         i, j = np.nonzero(keep)
-        out = pd.DataFrame({"a": a[i], "b": b[j], "sim": sim[i, j]})
         if k is not None:
-            out = out.sort_values(["a", "sim", "b"], ascending=[True, False, True])
-            out = out[out.groupby("a").cumcount() < k]
-        return out
+            place = np.empty(len(others), int)
+            place[pc.sort_indices(others).to_numpy()] = np.arange(len(others))
+            order = np.lexsort((place[j], -sim[i, j], i))
+            i, j = i[order], j[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[best], j[best]
+        a, b = ids.take(pa.array(i)), others.take(pa.array(j))
+        if symmetric:
+            low = pc.less(a, b)
+            a, b = pc.if_else(low, a, b), pc.if_else(low, b, a)
+        return pa.table({"a": a, "b": b, "sim": pa.array(sim[i, j])})
 
     return run
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, k: int | None = None) -> DataFrame:
-    """(a, b, sim) with cosine of at least ``least``; of each block only the k best of a.
+    """(a, b, sim) with cosine of at least ``least``; with ``right``, of each block only the k best of a.
 
     Vectors (id, vec) are dealt to blocks by a hash; every pair of blocks is multiplied once, as one matrix product.
-    Without ``right`` pairs are within ``left``, low id first. Exact for any input; for very many vectors the
-    approximate index is the operator to use.
+    Without ``right`` pairs are within ``left``, low id first, and a block meets only those from itself on. Exact for any
+    input, and so quadratic: meant for lists of terms, not for records.
     """
     symmetric = right is None
     right = left if symmetric else right
     kind = dict(left.dtypes)["id"]
-    n_left, n_right = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    x = left.select(F.pmod(F.xxhash64("id"), F.lit(n_left)).alias("i"), every(n_right).alias("j"), "id", "vec")
-    y = right.select(every(n_left).alias("i"), F.pmod(F.xxhash64("id"), F.lit(n_right)).alias("j"), F.col("id").alias("other"), F.col("vec").alias("other_vec"))
-    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(_block_pairs(least, k, symmetric), f"a {kind}, b {kind}, sim double")
+    n_left = max(1, -(-left.count() // BLOCK))
+    n_right = n_left if symmetric else max(1, -(-right.count() // BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    first, last = (block(n_left) if symmetric else F.lit(0).cast("bigint")), (block(n_right) if symmetric else F.lit(n_left - 1).cast("bigint"))
+    x = left.select(block(n_left).alias("i"), F.explode(F.sequence(first, F.lit(n_right - 1).cast("bigint"))).alias("j"), "id", "vec")
+    y = right.select(F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("i"), block(n_right).alias("j"), F.col("id").alias("other"), F.col("vec").alias("other_vec"))
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(_block_pairs(least, None if symmetric else k, symmetric), f"a {kind}, b {kind}, sim double")
 
 
 def find_similar(queries: DataFrame, corpus: DataFrame, least: float, k: int = 1) -> DataFrame:
@@ -94,7 +107,7 @@ def find_similar(queries: DataFrame, corpus: DataFrame, least: float, k: int = 1
     return pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select(F.col("a").alias("query"), F.col("b").alias("term"), "sim")
 
 
-def find_similar_terms(queries: DataFrame, corpus: DataFrame, least: float, k: int = 1, encoder: Callable | None = None) -> DataFrame:
+def find_similar_terms(queries: DataFrame, corpus: DataFrame, least: float, k: int | None = 1, encoder: Callable | None = None) -> DataFrame:
     """As ``find_similar`` on terms: cleaned, encoded, and penalised where numbers or minerals differ.
 
     Candidates are taken at the threshold without the penalty, which only lowers it.
@@ -103,7 +116,10 @@ def find_similar_terms(queries: DataFrame, corpus: DataFrame, least: float, k: i
     pairs = similar_pairs(ready(queries), ready(corpus), least)
     scored = pairs.withColumn("sim", penalised_similarity(F.col("a"), F.col("b"), F.col("sim"))).filter(F.col("sim") >= least)
     back = lambda d, n: d.select(F.col("term").alias(n), clean_term(F.col("term")).alias("k")).distinct()
+    # k None: all of them
     named = back(queries, "query").join(scored, F.col("k") == F.col("a")).drop("k").join(back(corpus, "term"), F.col("k") == F.col("b")).select("query", "term", "sim")
+    if k is None:
+        return named
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "term")
     return named.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
@@ -204,7 +220,7 @@ def seeded_subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, least:
     """Edges among the nodes similar to a seed term and all nodes below them."""
     from leafloom.operators.graphs import induced, reachable
 
-    hits = find_similar_terms(seeds, nodes.select(F.col("name").alias("term")), least, 10**6, encoder)
+    hits = find_similar_terms(seeds, nodes.select(F.col("name").alias("term")), least, None, encoder)
     start = nodes.join(hits.select(F.col("term").alias("name")).distinct(), "name", "left_semi").select(F.lit(0).alias("seed"), "node_id")
     return induced(edges, reachable(start, edges))
 
@@ -218,8 +234,8 @@ def connected_pair(a: DataFrame, b: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def standard_index(hits: DataFrame) -> DataFrame:
-    """Raw terms by the standard term they are similar to."""
-    return hits.groupBy("term").agg(F.array_sort(F.collect_set("query")).alias("raw_terms"))
+    """(term, raw_term): raw terms by the standard term they are similar to, once each, as rows."""
+    return hits.select("term", F.col("query").alias("raw_term")).distinct()
 
 
 def append_section(vectors: DataFrame, active: float = 4.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, spread, table
+from leafloom.common import cut, numbered, spread, table
 from leafloom.functions import scores as N
 from leafloom.functions import text as T
 from leafloom.functions.rules import S
@@ -14,7 +14,7 @@ from leafloom.operators import graphs as G
 from leafloom.operators import relational as R
 from leafloom.operators import similarity as E
 from leafloom.plans.graph_queries import _E, _L, _N, _chains, _edge_names, _graph
-from leafloom.plans.model_queries import _CLASS, _LABELS, _NET, _WEIGHTS, _folder, _ids, _labels, _network
+from leafloom.plans.model_queries import _CLASS, _CPT, _LABELS, _MIX, _NET, _TABLE, _WEIGHTS, _folder, _ids, _labels, _network
 from leafloom.plans.relational_queries import _RATES_SQL, RATES, _rates
 from leafloom.sources import readers, writers
 
@@ -114,14 +114,16 @@ def top_t02_first_effect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_t05_sorted_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty most similar pairs of vectors."""
+    """All pairs of vectors, the most similar first."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return E.similar_pairs(v, None, 0.3).orderBy(F.desc("sim"), "a", "b").limit(20).select("a", "b", F.round("sim", 4).alias("sim"))
+    pairs = E.similar_pairs(v, None, -1.1).select("a", "b", F.round("sim", 4).alias("sim"))
+    return numbered(pairs, [F.desc("sim"), "a", "b"]).select("rank", "a", "b", "sim")
 
 
 def top_t06_longest_first(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "synonyms").withColumn("g", F.lit(1))
-    return R.top_k(s, ["g"], [F.desc(F.length("variant")), "variant", "canonical"], 100).select("rank", "variant")
+    """All accepted names, the longest first."""
+    s = table(spark, d, "synonyms").withColumn("size", F.length("variant"))
+    return numbered(s, [F.desc("size"), "variant", "canonical"]).select(F.col("rank").cast("int").alias("rank"), "variant")
 
 
 def set_u02_pair_difference(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +235,7 @@ def bayes_b05_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def bayes_b06_initial(spark: SparkSession, d: str) -> DataFrame:
     nodes, parents, _ = _network(spark, d)
-    out = bayes.initial_cpt(nodes, parents, 3)
+    out = bayes.initial_cpt(nodes, parents)
     return out.select("node", "config", F.col("p").between(0, 0.9).alias("within"))
 
 
@@ -399,8 +401,8 @@ def stream_s18c_redelivered(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("fn_", "proj_", "join_", "win_", "top_", "set_", "agg_", "graph_", "sim_", "bayes_", "comb_", "ext_", "ner_", "pair_", "src_", "stream_")) and callable(f)}
 
 _CLASSES_CASE = "CASE lower(freq) " + " ".join(f"WHEN '{k}' THEN 'class {i}'" for i, k in enumerate(RATES)) + " ELSE freq END"
-_FULL = f"""{_NET}, f AS (SELECT s AS node, array_to_string(list_transform(range(k), lambda j: CAST((c.n >> CAST(k - 1 - j AS INT)) & 1 AS VARCHAR)), ',') AS config FROM (SELECT s, count(*) AS k FROM e GROUP BY 1), range(8) c(n) WHERE c.n < (1 << CAST(k AS INT)) UNION ALL SELECT g, '' FROM q)"""
-_P = "CAST(CASE WHEN config = '' THEN 0.1 + length(node) % 7 * 0.1 ELSE 0.05 + 0.3 * length(replace(replace(config, '0', ''), ',', '')) END AS DOUBLE)"
+_FULL = f"{_NET}, {_TABLE}"
+_P = _CPT
 SQL = {
     "fn_x05_lemmatize_words": f"SELECT id, array_to_string(list_transform(list_filter(string_split_regex(coalesce(effect, ''), '[{S}]+'), lambda w: w <> ''), lambda w: CASE lower(w) WHEN 'боль' THEN 'болеть' WHEN 'зуд' THEN 'зудеть' ELSE w END), ' ') AS text FROM side_effects",
     "fn_x24_translate": f"SELECT id, {_CLASSES_CASE} AS freq FROM side_effects",
@@ -416,7 +418,7 @@ SQL = {
     "join_j18_semi_edges": f"WITH {_E} SELECT t AS name, count(DISTINCT s || st) AS n FROM e WHERE tt = 'mechanism' GROUP BY 1",
     "win_w06_islands": "WITH l AS (SELECT doc_id, entity_id, coalesce(label, '-') AS label FROM entities), b AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY doc_id ORDER BY entity_id) THEN 0 ELSE 1 END AS k FROM l), i AS (SELECT *, CAST(sum(k) OVER (PARTITION BY doc_id ORDER BY entity_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM b) SELECT doc_id, island, label, count(*) AS n FROM i GROUP BY ALL",
     "top_t02_first_effect": f"WITH {_WEIGHTS}, c AS (SELECT DISTINCT drug_id AS combo, drug_id FROM i UNION SELECT drug_id - 1, drug_id FROM i WHERE drug_id > 1), s AS (SELECT combo, se_id, sum(w) AS m FROM c JOIN i USING (drug_id) GROUP BY 1, 2), k AS (SELECT combo, se_id, {_CLASS.format('m')} AS class, round(m, 2) AS rank, max({_CLASS.format('m')}) OVER (PARTITION BY combo) AS top FROM s) SELECT combo, class, se_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY rank DESC, se_id) AS r FROM k WHERE class = top) WHERE r = 1",
-    "top_t05_sorted_pairs": "SELECT a, b, round(sim, 4) AS sim FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS sim FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE sim >= 0.3 ORDER BY sim DESC, a, b LIMIT 20",
+    "top_t05_sorted_pairs": "SELECT row_number() OVER (ORDER BY s DESC, a, b) AS rank, a, b, s AS sim FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 4) + 0.0 AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)",
     "top_t06_longest_first": "SELECT CAST(row_number() OVER (ORDER BY length(variant) DESC, variant, canonical) AS INT) AS rank, variant FROM synonyms",
     "set_u02_pair_difference": "SELECT DISTINCT drug_id, section FROM drug_side_effects r JOIN side_effects s ON s.id = r.side_effect_id WHERE section IS NOT NULL AND drug_id IS NOT NULL EXCEPT SELECT d.id, s.section FROM drugs d JOIN side_effects s ON s.drug = d.drug WHERE s.section IS NOT NULL",
     "set_u06_bag_union": f"WITH {_E}, {_N} SELECT 2 * (SELECT count(*) FROM n) AS n_nodes, count(*) AS n_links FROM e",
@@ -430,8 +432,8 @@ SQL = {
     "graph_g32_unsorted": f"WITH RECURSIVE {_L}, r(node) AS (SELECT s FROM l WHERE s NOT IN (SELECT t FROM l) UNION SELECT l.t FROM r JOIN l ON l.s = r.node) SELECT DISTINCT t AS node FROM l WHERE t NOT IN (SELECT node FROM r)",
     "bayes_b05_groups": f"WITH {_E}, {_N} SELECT (SELECT count(*) FROM n WHERE tag <> 'group') AS n_nodes, count(*) AS n_edges FROM e WHERE st <> 'group' AND tt <> 'group'",
     "bayes_b06_initial": f"WITH {_FULL} SELECT node, config, true AS within FROM f",
-    "bayes_b07_doses": f"WITH {_NET} SELECT g AS node, CAST(0.25 AS DOUBLE) AS p FROM q UNION ALL SELECT s, round(CAST(0.05 + 0.3 * 0.25 * count(*) AS DOUBLE), 5) FROM e GROUP BY 1",
-    "bayes_b08_single_loss": f"WITH {_NET}, v AS (SELECT x.g AS given, y.g, CASE WHEN x.g = y.g THEN 1.0 ELSE y.p END AS p FROM q x CROSS JOIN q y), m AS (SELECT given, s, 0.05 + 0.3 * sum(least(p, 1 - 1e-6)) AS p FROM e JOIN v USING (g) GROUP BY 1, 2) SELECT round(sum((p - 0.5) * (p - 0.5)), 4) AS loss, count(DISTINCT given) AS n_scenarios FROM m",
+    "bayes_b07_doses": f"WITH {_NET} SELECT g AS node, CAST(0.25 AS DOUBLE) AS p FROM q UNION ALL SELECT s, round(CAST({_MIX.format('CAST(0.25 AS DOUBLE)')} AS DOUBLE), 5) FROM e GROUP BY 1",
+    "bayes_b08_single_loss": f"WITH {_NET}, v AS (SELECT x.g AS given, y.g, CASE WHEN x.g = y.g THEN 1.0 ELSE y.p END AS p FROM q x CROSS JOIN q y), m AS (SELECT given, s, {_MIX.format('least(p, 1 - 1e-6)')} AS p FROM e JOIN v USING (g) GROUP BY 1, 2) SELECT round(sum((p - 0.5) * (p - 0.5)), 4) AS loss, count(DISTINCT given) AS n_scenarios FROM m",
     "bayes_b10_scenarios": "SELECT 1 AS n_drugs, count(*) AS n FROM frequency_ranges UNION ALL SELECT 2, count(*) FROM frequency_ranges a JOIN frequency_ranges b ON a.category < b.category UNION ALL SELECT 3, count(*) FROM frequency_ranges a JOIN frequency_ranges b ON a.category < b.category JOIN frequency_ranges c ON b.category < c.category",
     "bayes_b11_pinned": f"WITH {_FULL}, o AS (SELECT s, g, row_number() OVER (PARTITION BY s ORDER BY g) AS i FROM e) SELECT f.node, f.config, coalesce(bool_or(length(o.g) % 2 = 0 AND string_split(f.config, ',')[o.i] = '1'), false) AS pinned FROM f LEFT JOIN o ON o.s = f.node GROUP BY 1, 2",
     "bayes_b15_folds": "SELECT count(*) AS n, 4 AS last FROM drugs",
@@ -454,11 +456,11 @@ SQL = {
 }
 _VEC = "u AS (SELECT vec_id AS id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS i FROM embeddings)"
 SQL |= {
-    "bayes_b19_description": f"WITH {_NET} SELECT (SELECT md5(string_agg(g || '=' || CAST(length(g) % 2 AS VARCHAR), ' + ' ORDER BY g || '=' || CAST(length(g) % 2 AS VARCHAR))) FROM q) AS description_md5, g AS node, CAST(length(g) % 2 AS DOUBLE) AS p FROM q UNION ALL SELECT (SELECT md5(string_agg(g || '=' || CAST(length(g) % 2 AS VARCHAR), ' + ' ORDER BY g || '=' || CAST(length(g) % 2 AS VARCHAR))) FROM q), s, round(CAST(0.05 + 0.3 * sum(CASE WHEN length(g) % 2 = 1 THEN 1 - 1e-6 ELSE 1e-6 END) AS DOUBLE), 5) FROM e GROUP BY s",
+    "bayes_b19_description": f"WITH {_NET} SELECT (SELECT md5(string_agg(g || '=' || CAST(length(g) % 2 AS VARCHAR), ' + ' ORDER BY g || '=' || CAST(length(g) % 2 AS VARCHAR))) FROM q) AS description_md5, g AS node, CAST(length(g) % 2 AS DOUBLE) AS p FROM q UNION ALL SELECT (SELECT md5(string_agg(g || '=' || CAST(length(g) % 2 AS VARCHAR), ' + ' ORDER BY g || '=' || CAST(length(g) % 2 AS VARCHAR))) FROM q), s, round(CAST({_MIX.format('CASE WHEN length(g) % 2 = 1 THEN 1 - 1e-6 ELSE 1e-6 END')} AS DOUBLE), 5) FROM e GROUP BY s",
     "sim_x34_cosine": f"WITH {_VEC}, m AS (SELECT label, i, avg(x) AS y FROM u GROUP BY 1, 2) SELECT id, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 4) AS cosine FROM u JOIN m USING (label, i) GROUP BY id",
     "sim_t08_negatives": "SELECT anchor, negative, round(sim, 4) AS sim FROM (SELECT a.vec_id AS anchor, b.vec_id AS negative, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label <> b.label) WHERE r <= 2 AND sim >= 0.2",
     "pair_r05b_inverse": "SELECT min(label) AS canonical, CAST(count(DISTINCT label) - 1 AS INT) AS n FROM (SELECT canonical AS cluster, unnest([canonical, variant]) AS label FROM synonyms) GROUP BY cluster",
-    "graph_g16b_simple_cycles": f"WITH RECURSIVE {_L}, r(start, node, path, k) AS (SELECT s, t, s, 1 FROM l UNION ALL SELECT start, l.t, path || ' > ' || node, k + 1 FROM r JOIN l ON l.s = r.node WHERE r.node > start AND k < 7 AND NOT list_contains(string_split(path, ' > '), r.node)) SELECT path FROM r WHERE node = start",
+    "graph_g16b_simple_cycles": f"WITH RECURSIVE {_L}, r(start, node, path, k) AS (SELECT s, t, s, 1 FROM l UNION ALL SELECT start, l.t, path || ' > ' || node, k + 1 FROM r JOIN l ON l.s = r.node WHERE r.node > start AND NOT list_contains(string_split(path, ' > '), r.node)) SELECT path FROM r WHERE node = start",
     "graph_g23_layout": f"WITH RECURSIVE {_E}, {_N}, v(name, tag, level) AS (SELECT name, tag, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.t = n.name AND e.tt = n.tag) UNION SELECT e.t, e.tt, v.level + 1 FROM v JOIN e ON e.s = v.name AND e.st = v.tag), k AS (SELECT level, count(*) AS n FROM (SELECT name, tag, max(level) AS level FROM v GROUP BY 1, 2) GROUP BY 1) SELECT CAST(-level AS DOUBLE) AS y, n, CAST((1 - n) / 2.0 AS DOUBLE) AS left_x, CAST((n - 1) / 2.0 AS DOUBLE) AS right_x FROM k",
     "clus_a14_davies_bouldin": f"WITH {_VEC}, m AS (SELECT label, i, avg(x) AS y FROM u GROUP BY 1, 2), d AS (SELECT id, label, sqrt(sum((x - y) * (x - y))) AS d FROM u JOIN m USING (label, i) GROUP BY 1, 2), s AS (SELECT label, avg(d) AS s FROM d GROUP BY 1), c AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.y - b.y) * (a.y - b.y))) AS d FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2), w AS (SELECT a, max((x.s + y.s) / d) AS r FROM c JOIN s x ON x.label = a JOIN s y ON y.label = b GROUP BY 1) SELECT round(avg(r), 4) AS davies_bouldin, count(*) AS n_clusters FROM w",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafloom.common import cut, table
 from leafloom.operators import graphs as G
-from leafloom.operators.combinations import convolution_error
+from leafloom.operators.combinations import convolution_error_by_class
 from leafloom.operators.hierarchy import filled_links
 from leafloom.plans.relational_queries import _RATES_SQL, _rates
 
@@ -157,10 +157,9 @@ def graph_g21_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g22_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Simple paths from every group, by length."""
+    """Simple paths of at most ten links from every group, by length."""
     nodes, edges = (cut(x) for x in _graph(spark, d))
-    drug_edges = edges.join(nodes.filter("tag IN ('group', 'prepare')").select(F.col("node_id").alias("src")), "src", "left_semi").select("src", "dst")
-    return G.simple_paths(nodes.filter("tag = 'group'").select("node_id"), drug_edges, 3).groupBy((F.size("path") - 1).alias("n_edges")).agg(F.count("*").alias("n"))
+    return G.simple_paths(nodes.filter("tag = 'group'").select("node_id"), edges, 10).groupBy((F.size("path") - 1).alias("n_edges")).agg(F.count("*").alias("n"))
 
 
 def graph_g23_layout(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +178,7 @@ def graph_g24_ancestors(spark: SparkSession, d: str) -> DataFrame:
 def graph_g25_effects(spark: SparkSession, d: str) -> DataFrame:
     """Effects below every group, with the length of the chosen path."""
     nodes, edges = (cut(x) for x in _graph(spark, d))
-    out = G.effects_with_path(nodes.filter("tag = 'prepare'").select("node_id"), nodes, edges, 3)
+    out = G.effects_with_path(nodes.filter("tag = 'prepare'").select("node_id"), nodes, edges)
     return _named(out.select(F.col("drug").alias("node_id"), "effect"), nodes).groupBy("name").agg(F.count("*").alias("n_effects"))
 
 
@@ -190,12 +189,12 @@ def graph_g26_symmetric(spark: SparkSession, d: str) -> DataFrame:
 def graph_n06_convolution(spark: SparkSession, d: str) -> DataFrame:
     """Error of each drug's reached effects against its records' rates, with a constant probability."""
     nodes, edges = (cut(x) for x in _graph(spark, d))
-    drugs = G.main_drugs(nodes, edges)
-    reached = G.reachable(drugs.select(F.col("node_id").alias("seed"), "node_id"), edges)
     names = nodes.select("node_id", "name", "tag")
-    rows = reached.join(names.filter("tag = 'side_e'").select("node_id", F.col("name").alias("effect")), "node_id").join(names.select(F.col("node_id").alias("seed"), F.col("name").alias("drug")), "seed").select("drug", "effect", F.lit(0.01).alias("p"))
+    below = G.reached_classes(G.main_drugs(nodes, edges), edges, names.filter("tag = 'side_e'").select("node_id"))
+    named = lambda df, end, to: df.join(names.select(F.col("node_id").alias(end), F.col("name").alias(to)), end)
+    classes = named(below.members, "node_id", "effect").select("effect", "class")
     data = table(spark, d, "side_effects").filter("drug IS NOT NULL AND effect IS NOT NULL").select(F.trim("drug").alias("drug"), F.trim("effect").alias("effect"), "freq")
-    return convolution_error(rows, data, _rates(spark)).select("drug", F.round("loss", 4).alias("loss"), "n_common", "n_missing")
+    return convolution_error_by_class(named(below.reached, "seed", "drug").select("drug", "class", "size"), classes, data, _rates(spark), 0.01).select("drug", F.round("loss", 8).alias("loss"), "n_common", "n_missing")
 
 
 _E = """e AS (SELECT DISTINCT trim(drug_group) AS s, 'group' AS st, trim(drug) AS t, 'prepare' AS tt FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL
@@ -222,7 +221,7 @@ SQL = {
     "graph_g18_in_degree": f"WITH {_E}, {_N} SELECT count(*) AS n_original, CAST(0 AS BIGINT) AS n_over FROM n",
     "graph_g20_vocabulary": f"WITH {_E}, {_N} SELECT tag, count(*) AS n FROM n WHERE tag <> 'side_e' OR lower(name) IN (SELECT lower(term) FROM effect_terms) GROUP BY 1",
     "graph_g21_json": "WITH p AS (SELECT DISTINCT trim(drug_group) AS g, trim(drug) AS d FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL) SELECT 'group' AS tag, count(DISTINCT g) AS n FROM p UNION ALL SELECT 'prepare', count(DISTINCT d) FROM p UNION ALL SELECT 'links', count(*) FROM p",
-    "graph_g22_paths": f"WITH {_E}, g AS (SELECT DISTINCT s FROM e WHERE st = 'group'), a AS (SELECT e.t FROM e WHERE st = 'group'), b AS (SELECT e.t FROM a JOIN e ON e.s = a.t AND e.st = 'prepare') SELECT CAST(k AS INT) AS n_edges, n FROM (SELECT 0 AS k, (SELECT count(*) FROM g) AS n UNION ALL SELECT 1, (SELECT count(*) FROM a) UNION ALL SELECT 2, (SELECT count(*) FROM b)) WHERE n > 0",
+    "graph_g22_paths": f"WITH {_E}, g AS (SELECT DISTINCT s FROM e WHERE st = 'group'), a AS (SELECT e.t FROM e WHERE st = 'group'), b AS (SELECT e.t FROM a JOIN e ON e.s = a.t AND e.st = 'prepare'), c AS (SELECT e.t FROM b JOIN e ON e.s = b.t AND e.st = 'mechanism') SELECT CAST(k AS INT) AS n_edges, n FROM (SELECT 0 AS k, (SELECT count(*) FROM g) AS n UNION ALL SELECT 1, (SELECT count(*) FROM a) UNION ALL SELECT 2, (SELECT count(*) FROM b) UNION ALL SELECT 3, (SELECT count(*) FROM c)) WHERE n > 0",
     "graph_g24_ancestors": f"WITH RECURSIVE {_E}, {_N}, r(seed, name, tag) AS (SELECT name, name, tag FROM n WHERE tag = 'mechanism' UNION SELECT r.seed, e.s, e.st FROM r JOIN e ON e.t = r.name AND e.tt = r.tag) SELECT seed, count(*) AS n_nodes FROM r GROUP BY 1",
     "graph_g25_effects": f"WITH {_E} SELECT a.s AS name, count(DISTINCT b.t) AS n_effects FROM e a JOIN e b ON b.s = a.t AND b.st = 'mechanism' WHERE a.st = 'prepare' GROUP BY 1",
 }
@@ -230,5 +229,5 @@ SQL["graph_n06_convolution"] = f"""WITH {_E}, m AS (SELECT DISTINCT t AS drug FR
   x AS (SELECT DISTINCT m.drug, b.t AS effect FROM m JOIN e a ON a.s = m.drug AND a.st = 'prepare' JOIN e b ON b.s = a.t AND b.st = 'mechanism'),
   s AS (SELECT trim(drug) AS drug, trim(effect) AS effect, max(freq) AS freq FROM side_effects WHERE drug IS NOT NULL AND effect IS NOT NULL GROUP BY 1, 2),
   k AS (SELECT s.drug, s.effect, coalesce(r.rate, 0) AS rate FROM s LEFT JOIN {_RATES_SQL} ON r.freq = lower(s.freq))
-  SELECT x.drug, round(sum(CASE WHEN k.drug IS NOT NULL THEN (k.rate - 0.01) * (k.rate - 0.01) END), 4) AS loss, count(k.drug) AS n_common, count(*) - count(k.drug) AS n_missing
+  SELECT x.drug, round(sum(CASE WHEN k.drug IS NOT NULL THEN (k.rate - 0.01) * (k.rate - 0.01) END), 8) AS loss, count(k.drug) AS n_common, count(*) - count(k.drug) AS n_missing
   FROM x LEFT JOIN k ON k.drug = x.drug AND k.effect = x.effect WHERE x.drug IN (SELECT drug FROM k) GROUP BY 1"""

@@ -77,7 +77,7 @@ def sim_j20_connected(spark: SparkSession, d: str) -> DataFrame:
     """Edges between terms similar to two given ones."""
     e = table(spark, d, "edge_list").filter("source <> '' AND target <> ''").select("source", "target")
     terms = R.endpoint_bag(e).distinct()
-    near = lambda t: E.find_similar_terms(spark.createDataFrame([(t,)], "term string"), terms, 0.35, 50)
+    near = lambda t: E.find_similar_terms(spark.createDataFrame([(t,)], "term string"), terms, 0.35, None)
     return E.connected_pair(near("класс савинасестатов"), near("лонобонамид ретард"), e)
 
 
@@ -85,7 +85,7 @@ def sim_j21_standard(spark: SparkSession, d: str) -> DataFrame:
     """Raw effects by the reference term they are similar to."""
     raw = table(spark, d, "side_effects").filter("effect IS NOT NULL AND trim(effect) <> ''").select(F.col("effect").alias("term")).distinct()
     hits = E.find_similar_terms(raw, table(spark, d, "effect_terms").select("term"), 0.9, 1)
-    return E.standard_index(hits).select("term", F.size("raw_terms").alias("n"))
+    return E.standard_index(hits).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def sim_t08_negatives(spark: SparkSession, d: str) -> DataFrame:
@@ -131,17 +131,14 @@ def clus_c10_cluster_file(spark: SparkSession, d: str) -> DataFrame:
 # ---- networks
 
 
-def _network(spark: SparkSession, d: str, groups: int | None = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sections of each drug group's drugs as a network: group, then its sections.
+def _network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sections of each drug group's drugs as a network: group, then its sections, with all links.
 
-    A section keeps its ``groups`` most frequent groups, three in the SQL the queries are compared with; None keeps all
-    links, and nodes of more than five parents then have no table.
+    Nodes of more than five parents have no table: their marginal is the product of their parents'.
     """
     se = table(spark, d, "side_effects").filter("drug IS NOT NULL AND section IS NOT NULL")
     dr = table(spark, d, "drugs").filter("drug IS NOT NULL AND drug_group IS NOT NULL").select("drug", "drug_group").distinct()
-    counts = se.join(dr, "drug").groupBy("drug_group", "section").agg(F.count("*").alias("n"))
-    top = counts if groups is None else R.top_k(counts, ["section"], [F.desc("n"), "drug_group"], groups)
-    edges = cut(top.select(F.col("drug_group").alias("src"), F.col("section").alias("dst")))
+    edges = cut(se.join(dr, "drug").select(F.col("drug_group").alias("src"), F.col("section").alias("dst")).distinct())
     nodes = edges.select(F.col("src").alias("node_id"), F.lit("prepare").alias("tag")).unionByName(edges.select(F.col("dst").alias("node_id"), F.lit("side_e").alias("tag"))).distinct()
     parents = cut(bayes.parent_positions(edges))
     k = nodes.join(parents.groupBy("node").agg(F.count("*").alias("k")).withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("k", F.lit(0)).alias("k"))
@@ -157,12 +154,6 @@ def bayes_b01_marginals(spark: SparkSession, d: str) -> DataFrame:
     return bayes.marginals(nodes, parents, cpt).select("node", F.round("p", 5).alias("p"))
 
 
-def bayes_b01_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Marginals of the network of all links: sections of more than five groups take the product of these."""
-    nodes, parents, cpt = _network(spark, d, None)
-    return bayes.marginals(nodes, parents, cpt).select("node", F.round("p", 5).alias("p"))
-
-
 def bayes_b02_evidence(spark: SparkSession, d: str) -> DataFrame:
     """One scenario a group: that group certain."""
     nodes, parents, cpt = _network(spark, d)
@@ -184,17 +175,18 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bayes_b09_pooled_loss(spark: SparkSession, d: str) -> DataFrame:
-    """Targets of all pairs of frequent drugs, pooled by log odds, and their sum of squares against 0.1."""
-    targets = _targets(spark, d)
-    drugs = R.top_k(targets.groupBy("drug").agg(F.count("*").alias("n")).withColumn("g", F.lit(0)), ["g"], [F.desc("n"), "drug"], 12).select("drug")
-    sc = bayes.drug_scenarios(cut(drugs), 2)
-    pooled = bayes.pooled_targets(sc, targets)
-    return pooled.groupBy("scenario").agg(F.sum(F.pow(F.col("target") - 0.1, 2)).alias("se")).agg(F.count("*").alias("n_scenarios"), F.round(F.sum("se"), 4).alias("loss"))
+    """Targets of every drug and every pair of drugs, pooled by log odds, and their sum of squares against 0.1."""
+    return bayes.pair_loss(cut(_targets(spark, d)), 0.1).select("n_scenarios", F.round("loss", 4).alias("loss"))
+
+
+def bayes_b01_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Another name of ``bayes_b01_marginals``, whose network has all links too."""
+    return bayes_b01_marginals(spark, d)
 
 
 def bayes_b09_whole_loss(spark: SparkSession, d: str) -> DataFrame:
-    """The same over every drug and every pair of all drugs."""
-    return bayes.pair_loss(cut(_targets(spark, d)), 0.1).select("n_scenarios", F.round("loss", 4).alias("loss"))
+    """Another name of ``bayes_b09_pooled_loss``, which takes every drug and every pair too."""
+    return bayes_b09_pooled_loss(spark, d)
 
 
 def bayes_b16_export(spark: SparkSession, d: str) -> DataFrame:
@@ -245,11 +237,11 @@ def comb_n03_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comb_n04_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Triples with a compatible pair (class 1), none of whose pairs is incompatible (class 3)."""
     w = _ids(spark, d)
     ids = w.select(F.col("drug_id").alias("id")).distinct()
     both = cut(combinations.pair_classes(w, ids))
-    ranked = both.orderBy("rank", "id1", "id2")
-    return combinations.compatible_triples(ranked.filter("(id1 + id2) % 3 <> 0"), both.filter("(id1 + id2) % 3 = 0"), ids)
+    return combinations.compatible_triples(both.filter("class = 1"), both.filter("class = 3"), ids)
 
 
 # ---- annotation and pairs
@@ -404,8 +396,13 @@ w AS (SELECT g, section, round(power(count(*) * (length(section) / 50.0) / (SELE
 i AS (SELECT dense_rank() OVER (ORDER BY g) AS drug_id, dense_rank() OVER (ORDER BY section) AS se_id, w FROM w)"""
 _CLASS = "CASE WHEN {0} >= 1.0 THEN 3 WHEN {0} >= 0.5 THEN 2 ELSE 1 END"
 _NET = """c AS (SELECT drug_group AS g, s.section AS s, count(*) AS n FROM side_effects s JOIN (SELECT DISTINCT drug, drug_group FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL) USING (drug) WHERE s.section IS NOT NULL GROUP BY 1, 2),
-e AS (SELECT g, s FROM (SELECT g, s, row_number() OVER (PARTITION BY s ORDER BY n DESC, g) AS r FROM c) WHERE r <= 3),
+e AS (SELECT g, s FROM c),
 q AS (SELECT DISTINCT g, CAST(0.1 + length(g) % 7 * 0.1 AS DOUBLE) AS p FROM e)"""
+#: The marginal of a section of the parents' values {0}: a table that adds, or the product where there is none.
+_MIX = "CASE WHEN count(*) > 5 THEN exp(sum(ln({0}))) WHEN count(*) <= 3 THEN 0.05 + 0.3 * sum({0}) ELSE 0.05 + 0.9 * sum({0}) / count(*) END"
+_TABLE = "f AS (SELECT s AS node, array_to_string(list_transform(range(k), lambda j: CAST((c.n >> CAST(k - 1 - j AS INT)) & 1 AS VARCHAR)), ',') AS config FROM (SELECT s, count(*) AS k FROM e GROUP BY 1), range(32) c(n) WHERE k <= 5 AND c.n < (1 << CAST(k AS INT)) UNION ALL SELECT g, '' FROM q)"
+_ONES = "length(replace(replace(config, '0', ''), ',', ''))"
+_CPT = f"CAST(CASE WHEN config = '' THEN 0.1 + length(node) % 7 * 0.1 WHEN length(replace(config, ',', '')) <= 3 THEN 0.05 + 0.3 * {_ONES} ELSE 0.05 + 0.9 * {_ONES} / length(replace(config, ',', '')) END AS DOUBLE)"
 SQL = {
     "sim_e02_pairs": f"SELECT a, b, round(sim, 4) AS sim FROM ({_P(0.4)})",
     "sim_j12_top_k": f"SELECT query, term, round(sim, 4) AS sim FROM (SELECT a.vec_id + 1000000 AS query, b.vec_id AS term, {_COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a CROSS JOIN embeddings b) WHERE r <= 3 AND sim >= 0.3",
@@ -417,12 +414,12 @@ SQL = {
     "comb_n01_rank_sums": f"WITH {_WEIGHTS}, s AS (SELECT se_id, sum(w) AS m FROM i WHERE drug_id IN (1, 2, 3) GROUP BY 1), k AS (SELECT se_id, {_CLASS.format('m')} AS class, round(m, 2) AS rank FROM s) SELECT class, CAST(row_number() OVER (PARTITION BY class ORDER BY rank DESC, se_id) AS INT) AS position, se_id, rank FROM k",
     "comb_n02_what_if": f"WITH {_WEIGHTS}, s AS (SELECT se_id, sum(w) AS m FROM i WHERE drug_id IN (1, 2) GROUP BY 1), k AS (SELECT drug_id, max(m + w) AS m FROM i JOIN s USING (se_id) WHERE drug_id NOT IN (1, 2) GROUP BY 1) SELECT drug_id, {_CLASS.format('m')} AS class FROM k WHERE m >= 0.5",
     "comb_n03_pairs": f"WITH {_WEIGHTS}, k AS (SELECT a.drug_id AS id1, b.drug_id AS id2, max(a.w + b.w) AS m FROM i a JOIN i b ON a.se_id = b.se_id AND a.drug_id < b.drug_id GROUP BY 1, 2) SELECT id1, id2, {_CLASS.format('m')} AS class, round(m, 2) AS rank FROM k",
-    "comb_n04_triples": f"WITH {_WEIGHTS}, d AS (SELECT DISTINCT drug_id AS id FROM i) SELECT a.id AS a, b.id AS b, c.id AS c FROM d a, d b, d c WHERE a.id < b.id AND b.id < c.id AND (a.id + b.id) % 3 <> 0 AND (a.id + c.id) % 3 <> 0 AND (b.id + c.id) % 3 <> 0 AND EXISTS (SELECT 1 FROM i x JOIN i y USING (se_id) WHERE (x.drug_id, y.drug_id) IN ((a.id, b.id), (a.id, c.id), (b.id, c.id)))",
-    "bayes_b01_marginals": f"WITH {_NET} SELECT g AS node, round(p, 5) AS p FROM q UNION ALL SELECT s, round(0.05 + 0.3 * sum(p), 5) FROM e JOIN q USING (g) GROUP BY 1",
-    "bayes_b02_evidence": f"WITH {_NET}, v AS (SELECT x.g AS given, y.g, CASE WHEN x.g = y.g THEN 1.0 ELSE y.p END AS p FROM q x CROSS JOIN q y) SELECT given, g AS node, round(p, 5) AS p FROM v UNION ALL SELECT given, s, round(0.05 + 0.3 * sum(least(p, 1 - 1e-6)), 5) FROM e JOIN v USING (g) GROUP BY 1, 2",
+    "comb_n04_triples": f"WITH {_WEIGHTS}, d AS (SELECT DISTINCT drug_id AS id FROM i), k AS (SELECT x.drug_id AS p, y.drug_id AS q, {_CLASS.format('max(x.w + y.w)')} AS class FROM i x JOIN i y ON x.se_id = y.se_id AND x.drug_id < y.drug_id GROUP BY 1, 2) SELECT a.id AS a, b.id AS b, c.id AS c FROM d a JOIN d b ON a.id < b.id JOIN d c ON b.id < c.id LEFT JOIN k x ON (x.p, x.q) = (a.id, b.id) LEFT JOIN k y ON (y.p, y.q) = (a.id, c.id) LEFT JOIN k z ON (z.p, z.q) = (b.id, c.id) WHERE 1 IN (coalesce(x.class, 0), coalesce(y.class, 0), coalesce(z.class, 0)) AND 3 NOT IN (coalesce(x.class, 0), coalesce(y.class, 0), coalesce(z.class, 0))",
+    "bayes_b01_marginals": f"WITH {_NET} SELECT g AS node, round(p, 5) AS p FROM q UNION ALL SELECT s, round({_MIX.format('p')}, 5) FROM e JOIN q USING (g) GROUP BY 1",
+    "bayes_b02_evidence": f"WITH {_NET}, v AS (SELECT x.g AS given, y.g, CASE WHEN x.g = y.g THEN 1.0 ELSE y.p END AS p FROM q x CROSS JOIN q y) SELECT given, g AS node, round(p, 5) AS p FROM v UNION ALL SELECT given, s, round({_MIX.format('least(p, 1 - 1e-6)')}, 5) FROM e JOIN v USING (g) GROUP BY 1, 2",
     "bayes_b04_independent": f"WITH {_NET} SELECT g AS node, round(p, 5) AS p FROM q UNION ALL SELECT s, round(CASE WHEN count(*) > 1 THEN exp(sum(ln(p))) ELSE 0.05 + 0.3 * sum(p) END, 5) FROM e JOIN q USING (g) GROUP BY 1",
-    "bayes_b18_parameters": f"WITH {_NET}, z AS (SELECT s, count(*) AS k FROM e GROUP BY 1), f AS (SELECT s AS node, array_to_string(list_transform(range(k), lambda j: CAST((c.n >> CAST(k - 1 - j AS INT)) & 1 AS VARCHAR)), ',') AS config FROM z, range(8) c(n) WHERE c.n < (1 << CAST(k AS INT)) UNION ALL SELECT g, '' FROM q) SELECT CAST(row_number() OVER (ORDER BY node, config) - 1 AS INT) AS param_id, node, config, round(CAST(CASE WHEN config = '' THEN 0.1 + length(node) % 7 * 0.1 ELSE 0.05 + 0.3 * length(replace(replace(config, '0', ''), ',', '')) END AS DOUBLE), 6) AS p FROM f",
-    "bayes_b09_pooled_loss": f"WITH t AS (SELECT drug, section AS effect, max(rate) AS prob FROM side_effects s JOIN {_RATES_SQL} ON r.freq = lower(s.freq) WHERE drug IS NOT NULL AND section IS NOT NULL GROUP BY 1, 2), d AS (SELECT drug FROM t GROUP BY 1 ORDER BY count(*) DESC, drug LIMIT 12), sc AS (SELECT drug AS s, drug FROM d UNION ALL SELECT a.drug || '|' || b.drug, unnest([a.drug, b.drug]) FROM d a JOIN d b ON a.drug < b.drug), p AS (SELECT s, effect, 1 / (1 + exp(-sum(ln(greatest(prob, 1e-6) / (1 - greatest(prob, 1e-6)))))) AS target FROM sc JOIN t USING (drug) GROUP BY 1, 2) SELECT count(DISTINCT s) AS n_scenarios, round(sum((target - 0.1) * (target - 0.1)), 4) AS loss FROM p",
+    "bayes_b18_parameters": f"WITH {_NET}, {_TABLE} SELECT CAST(row_number() OVER (ORDER BY node, config) - 1 AS INT) AS param_id, node, config, round({_CPT}, 6) AS p FROM f",
+    "bayes_b09_pooled_loss": f"WITH t AS (SELECT drug, section AS effect, max(rate) AS prob FROM side_effects s JOIN {_RATES_SQL} ON r.freq = lower(s.freq) WHERE drug IS NOT NULL AND section IS NOT NULL GROUP BY 1, 2), d AS (SELECT DISTINCT drug FROM t), sc AS (SELECT drug AS s, drug FROM d UNION ALL SELECT a.drug || '|' || b.drug, unnest([a.drug, b.drug]) FROM d a JOIN d b ON a.drug < b.drug), p AS (SELECT s, effect, 1 / (1 + exp(-sum(ln(greatest(prob, 1e-6) / (1 - greatest(prob, 1e-6)))))) AS target FROM sc JOIN t USING (drug) GROUP BY 1, 2) SELECT count(DISTINCT s) AS n_scenarios, round(sum((target - 0.1) * (target - 0.1)), 4) AS loss FROM p",
     "pair_r01_positive": f"WITH {_LABELS} SELECT DISTINCT a.label AS a, b.label AS b FROM x a JOIN x b ON a.cluster = b.cluster AND a.group_id = b.group_id AND a.label < b.label",
     "pair_r02_negative": f"WITH {_LABELS} SELECT DISTINCT a.label AS a, b.label AS b FROM x a JOIN x b ON a.cluster = b.cluster AND a.label < b.label WHERE a.group_id <> b.group_id OR ((a.group_id IS NULL) <> (b.group_id IS NULL) AND len(list_intersect(string_split(a.label, ' '), string_split(b.label, ' '))) < 2)",
     "pair_r05_dictionary": "SELECT DISTINCT canonical AS cluster, unnest([canonical, variant]) AS label, 1 AS group_id FROM synonyms",
@@ -447,3 +444,4 @@ SQL["ner_f02_spans"] = rf"""WITH d AS (SELECT e.entity_id, text, start_offset AS
   n AS (SELECT *, r - CASE WHEN r > l1 AND surplus < 0 AND substr(text, r, 1) IN (')', '"', '»') THEN 1 ELSE 0 END AS r1 FROM m),
   o AS (SELECT entity_id, text, l1 - length(regexp_extract(substr(text, 1, l1), '\p{{L}}*$')) AS l2, r1 + length(regexp_extract(substr(text, r1 + 1), '^\p{{L}}*')) AS r2 FROM n)
 SELECT entity_id, CAST(l2 AS INT) AS start_offset, CAST(r2 AS INT) AS end_offset, substr(text, l2 + 1, r2 - l2) AS span_text FROM o"""
+SQL |= {"bayes_b01_whole": SQL["bayes_b01_marginals"], "bayes_b09_whole_loss": SQL["bayes_b09_pooled_loss"]}

@@ -184,8 +184,8 @@ def join_j19_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_j22_label_documents(spark: SparkSession, d: str) -> DataFrame:
-    out = R.inverted_index(table(spark, d, "entities").filter("label IS NOT NULL"), "label", "doc_id")
-    return out.select("label", F.size("doc_ids").alias("n_docs"), F.element_at("doc_ids", 1).alias("first_doc"))
+    out = R.index_sizes(table(spark, d, "entities"), "label", "doc_id")
+    return out.select("label", F.col("n").cast("int").alias("n_docs"), F.col("first_doc_id").alias("first_doc"))
 
 
 def join_j23_edges_between(spark: SparkSession, d: str) -> DataFrame:

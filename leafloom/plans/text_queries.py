@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +50,19 @@ def _fix(expression: str) -> str:
     return apply_sql(expression, T.TERM_RULES)
 
 
-def _deep(expression: str) -> str:
-    return apply_sql(expression, [(T.INNERMOST_MIXED, "")] * 8 + [(r"(?s)[\[({].*$", ""), (r"[\])}]", "")])
+def _letters_sql(expression: str) -> str:
+    """Letters left of the compatibility decomposition: one for one by a table, the joined forms by replacement."""
+    one, several = {}, {}
+    for code in [*range(0xA0, 0x3100), *range(0xA640, 0xA800), *range(0xFB00, 0xFB50), *range(0xFE30, 0xFFF0)]:
+        if (plain := "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if c.isalpha())) != chr(code):
+            if len(plain) > 1:
+                several[chr(code)] = plain
+            elif plain:
+                one[chr(code)] = plain
+    for joined, plain in several.items():
+        if 0xFB00 <= ord(joined) < 0xFB07 or ord(joined) in (0x2116, 0x2122, 0x1C4, 0x132):
+            expression = f"replace({expression}, '{joined}', '{plain}')"
+    return f"lower(regexp_replace(translate({expression}, '{''.join(one)}', '{''.join(one.values())}'), '[^\\p{{L}}]', '', 'g'))"
 
 
 def _dosage(expression: str) -> str:
@@ -61,8 +73,8 @@ _on_documents("fn_x01_normalize_text", T.normalize_text, lambda e: apply_sql(e,
 _on_documents("fn_x02_normalize_text_lemma", lambda c: T.normalize_text(c, False), lambda e: apply_sql(e, T.TIDY + T.AT_MOST))
 _on_documents("fn_x03_protect_entities", lambda c: T.protect_entities(escape_xml(c)), lambda e: _entities(f"replace(replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"))
 _on_documents("fn_x06_remove_brackets", T.remove_brackets, lambda e: apply_sql(e, T.PLAIN_BRACKETS))
-_on_documents("fn_x07_remove_brackets_deep", T.remove_brackets_deep, _deep)
-_on_documents("fn_x08_remove_matched_brackets", T.remove_matched_brackets, lambda e: apply_sql(e, [(T.INNERMOST, "")] * 8))
+_on_documents("fn_x07_remove_brackets_deep", T.remove_brackets_deep, None)
+_on_documents("fn_x08_remove_matched_brackets", T.remove_matched_brackets, None)
 _on_documents("fn_x09_remove_unmatched_brackets", T.remove_unmatched_brackets, lambda e: apply_sql(e, T.UNMATCHED))
 _on_documents("fn_x10_remove_parentheses", T.remove_parentheses, lambda e: "nullif(" + strip_sql(apply_sql(e, [(r"\([^)]*\)", "")])) + ", '')")
 _on_documents("fn_x16_clear_text", T.clear_text, _clear)
@@ -70,7 +82,7 @@ _on_documents("fn_x16b_clear_text_with_brackets", lambda c: T.clear_text(c, Fals
 _on_documents("fn_x19_fix_terms", T.fix_terms, _fix)
 _on_documents("fn_x20_join_broken_lines", T.join_broken_lines, lambda e: f"replace(array_to_string(list_transform(string_split({e}, chr(10)), lambda x: {strip_sql('x')}), chr(10)), '-' || chr(10), '')")
 _on_documents("fn_x21_dosage_form", T.dosage_form, _dosage)
-_on_documents("fn_x25_letters_only", T.letters_only, lambda e: f"lower(regexp_replace({e}, '[^\\p{{L}}]', '', 'g'))")
+_on_documents("fn_x25_letters_only", T.letters_only, _letters_sql)
 _on_documents("fn_x26_ascii_only", T.ascii_only, lambda e: apply_sql(e, [(r"[^\x00-\x7F]+", "")]))
 _on_documents("fn_x37_content_hash", lambda c: F.sha2(c, 256), lambda e: f"sha256({e})")
 _on_documents("fn_x38_bullets", T.bullets, lambda e: strip_sql(apply_sql(e, T.BULLETS)))
@@ -225,7 +237,18 @@ _ITEMS = f"regexp_replace({strip_sql('lower(coalesce(effect, chr(32)))')}, '[{S}
 for _name, _fn in list(globals().items()):
     if _name.startswith(("fn_", "ext_")) and callable(_fn):
         QUERIES[_name] = _fn
+_BRACKETS = r"[\[\](){}]"
 SQL |= {
+    # a walk over the brackets: the text after one is kept unless the depth falls below its own later on
+    "fn_x07_remove_brackets_deep": rf"""WITH p AS (SELECT doc_id, unnest(list_concat([''], regexp_extract_all(text, '{_BRACKETS}'))) AS sign, unnest(string_split_regex(text, '{_BRACKETS}')) AS piece, unnest(range(len(regexp_extract_all(text, '{_BRACKETS}')) + 1)) AS i FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT *, sum(CASE WHEN sign = '' THEN 0 WHEN sign IN ('(', '[', '{{') THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM p),
+  d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY doc_id ORDER BY i)) AS depth FROM s),
+  f AS (SELECT *, lag(depth, 1, 0) OVER w AS before, min(depth) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  k AS (SELECT doc_id, string_agg(CASE WHEN sign IN ('(', '[', '{{') AND later < depth OR sign IN (')', ']', '}}') AND before > 0 THEN '' ELSE sign END || CASE WHEN later < depth THEN '' ELSE piece END, '' ORDER BY i) AS t FROM f GROUP BY 1),
+  v AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?s)[\[({{].*$', ''), '[\])}}]', '', 'g') AS v FROM k)
+SELECT doc_id, md5(v) AS text_md5, length(v) AS n_chars FROM v""",
+    "fn_x08_remove_matched_brackets": f"""WITH RECURSIVE r(doc_id, t, n) AS (SELECT doc_id, text, 0 FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, regexp_replace(t, '{T.INNERMOST}', '', 'g'), n + 1 FROM r WHERE regexp_matches(t, '{T.INNERMOST}'))
+SELECT doc_id, md5(arg_max(t, n)) AS text_md5, length(arg_max(t, n)) AS n_chars FROM r GROUP BY 1""",
     "fn_x13_numbers": r"SELECT doc_id, len(v) AS n, round(coalesce(list_sum(v), 0), 3) AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '\d+\.?\d*'), lambda x: CAST(x AS DOUBLE)) AS v FROM documents WHERE text IS NOT NULL)",
     "fn_x14_minerals": _minerals_sql(),
     "fn_x22_list_items": f"SELECT id, CASE WHEN {_ITEMS} IN ('', '-') THEN '' ELSE array_to_string(list_filter(list_transform(string_split({_ITEMS}, ';'), lambda x: {strip_sql('x')}), lambda x: x <> ''), '|') END AS items FROM side_effects",

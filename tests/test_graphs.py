@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from leafloom.operators import graphs as G
 
 
@@ -99,3 +102,32 @@ def test_cycles_of_any_length_are_listed(spark, tmp_path):
     names = [a for a, _ in ring]
     got = [r.path for r in graph_g16b_simple_cycles(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted([" > ".join(names), " > ".join(n for n in names if n != "n04"), "q"])
+
+
+def test_type_column_marks_rows_that_are_no_link(spark):
+    rows = [(" a ", "group", "b", "prepare", None), ("a", "group", "c", "prepare", "Not_link"), ("", "group", "d", "prepare", "x"), (None, "group", "e", "prepare", None)]
+    nodes, edges = G.build_graph(spark.createDataFrame(rows, "source string, source_tag string, target string, target_tag string, type string"))
+    assert {(r.name, r.tag) for r in nodes.collect()} == {("a", "group"), ("b", "prepare")} and edges.count() == 1
+
+
+def test_nouns_on_a_cycle_have_no_end(spark):
+    nodes = spark.createDataFrame([("p", "p", "action")] + [(f"n{i}", f"n{i}", "noun") for i in range(3)], "node_id string, name string, tag string").selectExpr("*", "0.0D AS x", "0.0D AS y")
+    chain = spark.createDataFrame([("p", "n0"), ("n0", "n1"), ("n1", "n2")], "src string, dst string")
+    left, _ = G.remove_nouns(nodes, chain)
+    assert {r.name for r in left.collect()} == {"p n0 n1 n2"}
+    with pytest.raises(ValueError, match="cycle"):
+        G.remove_nouns(nodes, chain.union(spark.createDataFrame([("n2", "n0")], "src string, dst string")))
+
+
+def test_reached_classes_count_as_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    e = {(f"d{rng.randrange(9)}", f"s{rng.randrange(5)}") for _ in range(20)} | {(f"s{rng.randrange(5)}", f"e{rng.randrange(30)}") for _ in range(50)} | {("d1", "e29"), ("s1", "s2")}
+    edges = spark.createDataFrame(sorted(e), "src string, dst string")
+    seeds = spark.createDataFrame([(f"d{i}",) for i in range(9)], "node_id string")
+    wanted = spark.createDataFrame([(f"e{i}",) for i in range(30)], "node_id string")
+    pairs = G.reachable(seeds.selectExpr("node_id AS seed", "node_id"), edges).join(wanted, "node_id")
+    got = G.reached_classes(seeds, edges, wanted)
+    assert {(r.seed, r.n) for r in got.reached.groupBy("seed").agg(F.sum("size").alias("n")).collect()} == {(r["seed"], r["count"]) for r in pairs.groupBy("seed").count().collect()}
+    assert {(r.seed, r.node_id) for r in got.reached.join(got.members, "class").collect()} == {(r.seed, r.node_id) for r in pairs.collect()}

@@ -155,3 +155,17 @@ def test_chapters_are_found_under_any_label(spark, tmp_path):
     found = {r.doc_id: r.found_count for r in ext_l04_chapters(spark, str(tmp_path)).collect()}
     assert sorted(found) == [1, 2, 3, 4] and found[1] == found[2] == found[3] > 0 == found[4]
     assert sum(r.n for r in proj_p07_complete(spark, str(tmp_path)).collect()) == 4
+
+
+def test_brackets_of_any_depth(spark):
+    deep = "a" + "(" * 40 + "x" + ")" * 40 + "b"
+    mixed = "a" + "([{" * 30 + "x" + ")]}" * 30 + "b"
+    assert _one(spark, T.remove_brackets_deep(F.col("t")), deep) == "ab" and _one(spark, T.remove_matched_brackets(F.col("t")), deep) == "ab"
+    assert _one(spark, T.remove_brackets_deep(F.col("t")), mixed) == "ab"
+    for text, want in (("a)b(c)d", "abd"), ("a(b[c)d]e", "ae"), ("a(b(c)d", "a"), ("]]a", "a"), ("", ""), ("none", "none")):
+        assert _one(spark, T.remove_brackets_deep(F.col("t")), text) == want
+    assert _one(spark, T.remove_matched_brackets(F.col("t")), None) is None
+
+
+def test_letters_of_wide_joined_and_accented_forms(spark):
+    assert _one(spark, T.letters_only(F.col("t")), "Éﬁ ｗＩ-де ё й 1") == "efiwiдееи"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import product
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafloom.common import cut
+from leafloom.common import cut, discard
 from leafloom.operators.similarity import similar_pairs, similarity_components
 
 #: Most rows an operator that needs all of them in one task accepts; it refuses more rather than dropping any.
@@ -28,7 +28,9 @@ def _features(df: DataFrame) -> DataFrame:
 
 def k_means(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(id, vec, cluster)."""
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(_features(df).cache())
+    rows = _features(df).select("features").cache()
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
+    rows.unpersist()
     return model.transform(_features(df)).select("id", "vec", "cluster")
 
 
@@ -186,15 +188,29 @@ def davies_bouldin(clustered: DataFrame) -> DataFrame:
     return worst.agg(F.avg("r").alias("davies_bouldin"), F.count("*").alias("n_clusters"))
 
 
-def grid_search(df: DataFrame, reductions: dict[str, object], ks: list[int], top: int = 5) -> list[tuple[str, int, float]]:
-    """(reduction, k, silhouette) of every combination, best first; each fit is a distributed job of its own."""
+#: The clusterings of a grid: name and a function of (id, vec) to (id, cluster).
+CLUSTERERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "k-means 5": lambda df: k_means(df, 5), "k-means 10": lambda df: k_means(df, 10), "dbscan 0.3": lambda df: dbscan(df, 0.3, 4),
+    "ward 5": lambda df: agglomerative(df, 5), "ward 10": lambda df: agglomerative(df, 10), "density 5": lambda df: density_tree_clusters(df, 5),
+}
+
+
+def grid_search(df: DataFrame, reductions: dict[str, Callable[[DataFrame], DataFrame] | None], clusterers: dict[str, Callable[[DataFrame], DataFrame]] | list[int], top: int = 5) -> list[tuple[str, str | int, float]]:
+    """(reduction, clustering, silhouette) of every combination, best first; each is a distributed job of its own.
+
+    A list of numbers stands for k-means with as many clusters. Noise does not count; a combination with fewer than two clusters has no score and is left out.
+    """
+    if not isinstance(clusterers, dict):
+        clusterers = {k: functools.partial(k_means, k=k) for k in clusterers}
     found = []
-    for (name, reduce_), k in product(reductions.items(), ks):
-        reduced = cut(reduce_(df) if reduce_ else df.select("id", "vec"))
-        score = silhouette(k_means(reduced, k))
-        if score is not None:
-            found.append((name, k, score))
-    return sorted(found, key=lambda x: -x[2])[:top]
+    for name, reduce_ in reductions.items():
+        reduced = cut(reduce_(df).select("id", "vec") if reduce_ else df.select("id", "vec"))
+        for how, cluster in clusterers.items():
+            score = silhouette(reduced.join(cluster(reduced).select("id", "cluster"), "id"))
+            if score is not None:
+                found.append((name, how, score))
+        discard(reduced)
+    return sorted(found, key=lambda x: (-x[2], x[0], x[1]))[:top]
 
 
 def cluster_file(clustered: DataFrame, labels: DataFrame) -> DataFrame:

@@ -260,12 +260,19 @@ def report_page(df: DataFrame, html: str = "html", keep: str = "drug_en") -> Dat
     return df.select(keep, T.report_count(F.col(html)).alias("report_count"), report_groups(F.col(html)).alias("effects"), stat_table(block("dashboard-sexdist")).alias("sex"), stat_table(block("dashboard-agegroupdist")).alias("age"))
 
 
-def heading_lists(html: Column) -> Column:
-    """array of struct(category, freq, effects) from h3 headings, each followed by a list whose items read "freq: a, b"."""
+def heading_lists(html: Column, skip: list[str] | None = None, dictionary: dict[str, str] | None = None) -> Column:
+    """array of struct(category, freq, effects) from h3 headings, each followed by a list whose items read "freq: a, b".
+
+    Headings of ``skip`` are left out, everything from the next h2 on too; names are translated where the dictionary has them.
+    """
     within = F.regexp_extract(html, r"(?is)^(.*?)(?:<h2|$)", 1)
-    heads = _pieces(within, r"(?is)<h3[^>]*>(.*?)</h3>")
+    heads = F.transform(_pieces(within, r"(?is)<h3[^>]*>(.*?)</h3>"), lambda h: F.struct(strip(strip_tags(h["head"])).alias("head"), h["body"].alias("body")))
+    if skip:
+        heads = F.filter(heads, lambda h: ~h["head"].isin(skip))
+    name = (lambda c: T.translate_term(c, dictionary)) if dictionary else (lambda c: c)
     lines = lambda b: F.transform(F.regexp_extract_all(b, F.lit(r"(?is)<li[^>]*>(.*?)</li>")), lambda i: strip(strip_tags(i)))
-    one = lambda h, x: F.struct(strip(strip_tags(h["head"])).alias("category"), F.when(F.contains(x, F.lit(":")), strip(F.substring_index(x, ":", 1))).alias("freq"), F.filter(F.transform(F.split(F.when(F.contains(x, F.lit(":")), F.regexp_replace(x, "^[^:]*:", "")).otherwise(x), ","), strip), lambda e: e != "").alias("effects"))
+    effects = lambda x: F.filter(F.transform(F.split(F.regexp_replace(x, "^[^:]*:", ""), ","), lambda e: name(strip(e))), lambda e: e != "")
+    one = lambda h, x: F.struct(name(h["head"]).alias("category"), F.when(F.contains(x, F.lit(":")), name(strip(F.substring_index(x, ":", 1)))).alias("freq"), effects(x).alias("effects"))
     return F.flatten(F.transform(heads, lambda h: F.transform(lines(h["body"]), lambda x: one(h, x))))
 
 

@@ -194,6 +194,38 @@ def semi_edges(edges: DataFrame, nodes: DataFrame, new_targets: DataFrame) -> Da
     return out.join(have.withColumnRenamed("node_id", "dst"), "dst", "left_semi").join(have.withColumnRenamed("node_id", "src"), "src", "left_semi").select("src", "dst")
 
 
+# ---- lemmas
+
+
+def lemma_stem(word: Column) -> Column:
+    """What the forms of a word have in common: all of a short word, else all but its last three letters, four at least."""
+    return F.when(F.length(word) < 5, word).otherwise(F.substring(word, F.lit(1), F.greatest(F.lit(4), F.length(word) - 3)))
+
+
+def induced_lemmas(words: DataFrame) -> DataFrame:
+    """(word, lemma) of all words of a corpus (word): the most frequent form of a stem stands for its forms.
+
+    The stand-in for a dictionary of lemmas where none is given; of equally frequent forms the shorter, then the first.
+    """
+    counts = words.filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")).withColumn("stem", lemma_stem(F.col("word")))
+    best = counts.groupBy("stem").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("word").alias("l"), F.col("word").alias("w"))).alias("b"))
+    return counts.join(best, "stem").select("word", F.col("b.w").alias("lemma"))
+
+
+def lemmatized(df: DataFrame, key: str, column: str, lemmas: DataFrame) -> DataFrame:
+    """(key, lemmas): the words and signs of a text in lower case, each by its lemma (word, lemma) where it has one.
+
+    Each different text is looked up once; its words meet the table by a join, so a dictionary of any size will do.
+    """
+    from leafloom.functions.text import tokens
+
+    texts = df.select(F.col(column).alias("__text")).filter("__text IS NOT NULL").distinct()
+    words = texts.select("__text", F.posexplode(tokens(F.lower("__text"))).alias("i", "word")).join(lemmas.select("word", "lemma"), "word", "left")
+    joined = words.groupBy("__text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("lemma", "word").alias("w")))), lambda x: x["w"]), " ").alias("lemmas"))
+    out = df.join(joined, F.col(column) == F.col("__text"), "left").drop("__text")
+    return out.select(key, F.when(F.col(column).isNotNull(), F.coalesce("lemmas", F.lit(""))).alias("lemmas"))
+
+
 # ---- aggregations
 
 

@@ -134,24 +134,29 @@ def set_u02_pair_difference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_u06_bag_union(spark: SparkSession, d: str) -> DataFrame:
+    """Two copies of the graph with ids of their own: all nodes stay, links go to the first node of a name and tag."""
     nodes, edges = (cut(x) for x in _graph(spark, d))
     two = nodes.withColumn("graph_no", F.lit(1)).unionByName(nodes.withColumn("graph_no", F.lit(2)).withColumn("node_id", F.concat(F.lit("b"), "node_id")))
     links = edges.unionByName(edges.select(F.concat(F.lit("b"), "src").alias("src"), F.concat(F.lit("b"), "dst").alias("dst")))
     kept, merged = G.merge_keep_nodes(two, links)
-    return kept.agg(F.count("*").alias("n_nodes")).crossJoin(merged.agg(F.count("*").alias("n_links")))
+    linked = kept.select("node_id", "name", "tag", "graph_no").join(merged.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n_links")), "node_id", "left")
+    return linked.select("name", "tag", "graph_no", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def agg_a17_mean_place(spark: SparkSession, d: str) -> DataFrame:
-    """Mean places of customers of one segment and nation, and the corners."""
-    c = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.round(F.avg("c_acctbal"), 4).alias("x"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
-    return c
+    """Customers of one segment and nation merged into one node at their mean place."""
+    c = table(spark, d, "customer")
+    nodes = c.select(F.col("c_custkey").cast("string").alias("node_id"), F.col("c_mktsegment").alias("name"), F.col("c_nationkey").cast("string").alias("tag"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))
+    merged, _ = G.merge_by_label(nodes, nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst")))
+    return merged.select("name", "tag", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def agg_a13_weighted_loss(spark: SparkSession, d: str) -> DataFrame:
     """Squared errors of rates against 0.1 per drug, weighted by the root of its number of records."""
-    se = table(spark, d, "side_effects").filter("drug IS NOT NULL").select("drug", F.lower("freq").alias("freq")).join(_rates(spark), "freq")
-    per = se.groupBy("drug").agg(F.sum(F.pow(F.col("rate") - 0.1, 2)).alias("se"), F.count("*").alias("n")).withColumn("w", 1 / F.sqrt("n"))
-    return per.agg(F.round(F.sum(F.col("w") * F.col("se")) / F.sum("w"), 6).alias("loss"))
+    se = cut(table(spark, d, "side_effects").filter("drug IS NOT NULL").select(F.xxhash64("drug").alias("scenario"), F.lower("freq").alias("freq")).join(_rates(spark), "freq"))
+    guess = se.select("scenario").distinct().select("scenario", F.lit("rate").alias("node"), F.lit(0.1).alias("p"))
+    targets = se.select("scenario", F.lit("rate").alias("effect"), F.col("rate").alias("target"))
+    return bayes.scenario_loss(guess, targets, True, se.groupBy("scenario").agg(F.count("*").alias("n_drugs"))).select(F.round("loss", 6).alias("loss"))
 
 
 # ---- graphs
@@ -165,8 +170,10 @@ def graph_g11_seeded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g12_build(spark: SparkSession, d: str) -> DataFrame:
+    """The links of the parent-child table by the names and tags of their unified ends."""
     nodes, edges = G.build_graph(table(spark, d, "edge_list"))
-    return nodes.groupBy("tag").agg(F.count("*").alias("n")).unionByName(edges.agg(F.lit("edges").alias("tag"), F.count("*").alias("n")))
+    end = lambda c, n: nodes.select(F.col("node_id").alias(c), F.concat_ws("|", "name", "tag").alias(n))
+    return edges.join(end("src", "source"), "src").join(end("dst", "target"), "dst").select("source", "target")
 
 
 def graph_g14_depth(spark: SparkSession, d: str) -> DataFrame:
@@ -176,9 +183,10 @@ def graph_g14_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g19_isolates(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes left of the graph and of a copy of each node without links."""
     nodes, edges = _graph(spark, d)
-    lonely = nodes.unionByName(nodes.withColumn("node_id", F.concat(F.lit("x"), "node_id")))
-    return G.drop_isolates(lonely, edges).groupBy("tag").agg(F.count("*").alias("n"))
+    lonely = nodes.unionByName(nodes.withColumn("node_id", F.concat(F.lit("x"), "node_id")).withColumn("name", F.lit("lonely")))
+    return G.drop_isolates(lonely, edges).select("name", "tag")
 
 
 def graph_g27_simplified(spark: SparkSession, d: str) -> DataFrame:
@@ -195,8 +203,9 @@ def graph_g28_shifted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g29_records(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark, d)
-    return G.export_records(nodes, edges)[1].groupBy("relation_type").agg(F.count("*").alias("n"))
+    """Records of the links with the names of both ends, from the exported records alone."""
+    nodes, edges = G.export_records(*_graph(spark, d))
+    return edges.join(nodes.select(F.col("node_id").alias("src"), F.col("name").alias("source")), "src").join(nodes.select(F.col("node_id").alias("dst"), F.col("name").alias("target")), "dst").select("source", "target", "relation_type")
 
 
 def graph_g30_single(spark: SparkSession, d: str) -> DataFrame:
@@ -228,9 +237,8 @@ def sim_e09_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bayes_b05_groups(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark, d)
-    left, kept = bayes.without_groups(nodes, edges)
-    return left.agg(F.count("*").alias("n_nodes")).crossJoin(kept.agg(F.count("*").alias("n_edges")))
+    """Links left without the groups, by name."""
+    return _edge_names(*bayes.without_groups(*_graph(spark, d)))
 
 
 def bayes_b06_initial(spark: SparkSession, d: str) -> DataFrame:
@@ -346,13 +354,14 @@ def src_s06_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_s08_annotated(spark: SparkSession, d: str) -> DataFrame:
-    """Annotated documents written as JSON lines, read back and counted."""
+    """Annotated documents written as JSON lines and read back: each text with the sums of its offsets and its relations."""
     e = table(spark, d, "entities").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("entity_id").alias("id"), "start_offset", "end_offset", "label")).alias("entities"))
     r = table(spark, d, "relations").groupBy("doc_id").agg(F.collect_list(F.struct("from_id", "to_id", F.col("rel_type").alias("type"))).alias("relations"))
     path = _folder(spark)
     writers.json_rows(table(spark, d, "documents").select("doc_id", "text").join(e, "doc_id").join(r, "doc_id", "left").drop("doc_id"), path)
     back = readers.json_lines(spark, path)
-    return back.agg(F.sum(F.size("entities")).alias("n_entities"), F.sum(F.coalesce(F.size("relations"), F.lit(0))).alias("n_relations"))
+    total = lambda f: F.aggregate(F.transform("entities", lambda x: x[f].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return back.select(F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.size("entities").alias("n_entities"), total("start_offset").alias("starts"), total("end_offset").alias("ends"), F.coalesce(F.size("relations"), F.lit(0)).alias("n_relations"))
 
 
 def src_s09_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -362,22 +371,28 @@ def src_s09_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_s18_files(spark: SparkSession, d: str) -> DataFrame:
+    """One file a section of the reference terms: their folders, found without reading them."""
     path = _folder(spark)
-    table(spark, d, "drugs").repartition(3).write.parquet(path)
-    return readers.files(spark, path, ".parquet").agg(F.count("*").alias("n"))
+    table(spark, d, "effect_terms").repartition(1).write.partitionBy("section").parquet(path)
+    return readers.files(spark, path, ".parquet").select(F.url_decode(F.regexp_extract("path", "section=([^/]*)/", 1)).alias("section"), (F.col("length") > 0).alias("filled"))
 
 
 def src_k08_drawio(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark, d)
-    return writers.drawio_lines(nodes, edges).agg(F.count("*").alias("n_lines"))
+    """Names of the boxes at both ends of every line of the drawing, read from its lines."""
+    cells = writers.drawio_lines(*_graph(spark, d))
+    get = lambda name: F.regexp_extract("value", f' {name}="([^"]*)"', 1)
+    boxes = cut(cells.filter("value LIKE '%vertex=%'").select(F.regexp_extract("value", '^<mxCell id="([^"]*)"', 1).alias("node_id"), get("value").alias("name")))
+    links = cells.filter("value LIKE '%edge=%'").select(get("source").alias("src"), get("target").alias("dst"))
+    return links.join(boxes.select(F.col("node_id").alias("src"), F.col("name").alias("source")), "src").join(boxes.select(F.col("node_id").alias("dst"), F.col("name").alias("target")), "dst").select("source", "target")
 
 
 def src_k09_gexf(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the knowledge graph as written and read again, by name."""
     nodes, edges = _graph(spark, d)
     path = _folder(spark)
     writers.gexf_lines(nodes, edges).coalesce(1).write.text(path)
     n, e = readers.gexf(spark, path)
-    return n.agg(F.count("*").alias("n_nodes")).crossJoin(e.agg(F.count("*").alias("n_edges")))
+    return e.join(n.select(F.col("node_id").alias("src"), F.col("name").alias("source")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("name").alias("target")), "dst").select("source", "target")
 
 
 def src_k13_stubs(spark: SparkSession, d: str) -> DataFrame:
@@ -421,16 +436,16 @@ SQL = {
     "top_t05_sorted_pairs": "SELECT row_number() OVER (ORDER BY s DESC, a, b) AS rank, a, b, s AS sim FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 4) + 0.0 AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)",
     "top_t06_longest_first": "SELECT CAST(row_number() OVER (ORDER BY length(variant) DESC, variant, canonical) AS INT) AS rank, variant FROM synonyms",
     "set_u02_pair_difference": "SELECT DISTINCT drug_id, section FROM drug_side_effects r JOIN side_effects s ON s.id = r.side_effect_id WHERE section IS NOT NULL AND drug_id IS NOT NULL EXCEPT SELECT d.id, s.section FROM drugs d JOIN side_effects s ON s.drug = d.drug WHERE s.section IS NOT NULL",
-    "set_u06_bag_union": f"WITH {_E}, {_N} SELECT 2 * (SELECT count(*) FROM n) AS n_nodes, count(*) AS n_links FROM e",
-    "agg_a17_mean_place": "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS x, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY 1",
+    "set_u06_bag_union": f"WITH {_E}, {_N}, k AS (SELECT s AS name, st AS tag, count(*) AS n FROM e GROUP BY 1, 2) SELECT name, tag, g AS graph_no, CASE WHEN g = 1 THEN coalesce(n, 0) ELSE 0 END AS n_links FROM n LEFT JOIN k USING (name, tag), (VALUES (1), (2)) x(g)",
+    "agg_a17_mean_place": "SELECT c_mktsegment AS name, CAST(c_nationkey AS VARCHAR) AS tag, round(avg(c_acctbal), 4) AS x, round(avg(c_custkey), 4) AS y FROM customer GROUP BY 1, 2",
     "agg_a13_weighted_loss": f"WITH p AS (SELECT drug, sum((rate - 0.1) * (rate - 0.1)) AS se, count(*) AS n FROM side_effects s JOIN {_RATES_SQL} ON r.freq = lower(s.freq) WHERE drug IS NOT NULL GROUP BY 1) SELECT round(sum(se / sqrt(n)) / sum(1 / sqrt(n)), 6) AS loss FROM p",
-    "graph_g12_build": "WITH t AS (SELECT trim(source) AS s, trim(source_tag) AS st, trim(target) AS t, trim(target_tag) AS tt FROM edge_list WHERE trim(source) <> '' AND trim(target) <> ''), n AS (SELECT s AS name, st AS tag FROM t UNION SELECT t, tt FROM t) SELECT tag, count(*) AS n FROM n GROUP BY 1 UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT * FROM t)",
-    "graph_g14_depth": "SELECT 4 AS max_level FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM drugs d JOIN side_effects s ON trim(s.drug) = trim(d.drug) WHERE d.drug_group IS NOT NULL AND s.section IS NOT NULL AND trim(s.effect) <> '')",
-    "graph_g19_isolates": f"WITH {_E}, {_N} SELECT tag, count(*) AS n FROM n GROUP BY 1",
+    "graph_g12_build": "SELECT DISTINCT concat_ws('|', trim(source), trim(source_tag)) AS source, concat_ws('|', trim(target), trim(target_tag)) AS target FROM edge_list WHERE trim(source) <> '' AND trim(target) <> ''",
+    "graph_g14_depth": f"WITH RECURSIVE {_E}, {_N}, v(name, tag, level) AS (SELECT name, tag, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.t = n.name AND e.tt = n.tag) UNION SELECT e.t, e.tt, v.level + 1 FROM v JOIN e ON e.s = v.name AND e.st = v.tag) SELECT CAST(max(level) + 1 AS INT) AS max_level FROM v",
+    "graph_g19_isolates": f"WITH {_E}, {_N} SELECT name, tag FROM n",
     "graph_g28_shifted": "SELECT term AS name, CAST(9 + 100.0 * row_number() OVER (ORDER BY term) AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y FROM effect_terms",
-    "graph_g29_records": f"WITH {_E} SELECT 'related' AS relation_type, count(*) AS n FROM e",
+    "graph_g29_records": f"WITH {_E} SELECT s AS source, t AS target, 'related' AS relation_type FROM e",
     "graph_g32_unsorted": f"WITH RECURSIVE {_L}, r(node) AS (SELECT s FROM l WHERE s NOT IN (SELECT t FROM l) UNION SELECT l.t FROM r JOIN l ON l.s = r.node) SELECT DISTINCT t AS node FROM l WHERE t NOT IN (SELECT node FROM r)",
-    "bayes_b05_groups": f"WITH {_E}, {_N} SELECT (SELECT count(*) FROM n WHERE tag <> 'group') AS n_nodes, count(*) AS n_edges FROM e WHERE st <> 'group' AND tt <> 'group'",
+    "bayes_b05_groups": f"WITH {_E} SELECT s AS source, t AS target FROM e WHERE st <> 'group' AND tt <> 'group'",
     "bayes_b06_initial": f"WITH {_FULL} SELECT node, config, true AS within FROM f",
     "bayes_b07_doses": f"WITH {_NET} SELECT g AS node, CAST(0.25 AS DOUBLE) AS p FROM q UNION ALL SELECT s, round(CAST({_MIX.format('CAST(0.25 AS DOUBLE)')} AS DOUBLE), 5) FROM e GROUP BY 1",
     "bayes_b08_single_loss": f"WITH {_NET}, v AS (SELECT x.g AS given, y.g, CASE WHEN x.g = y.g THEN 1.0 ELSE y.p END AS p FROM q x CROSS JOIN q y), m AS (SELECT given, s, {_MIX.format('least(p, 1 - 1e-6)')} AS p FROM e JOIN v USING (g) GROUP BY 1, 2) SELECT round(sum((p - 0.5) * (p - 0.5)), 4) AS loss, count(DISTINCT given) AS n_scenarios FROM m",
@@ -446,11 +461,11 @@ SQL = {
     "src_s01_drug_table": f"SELECT CAST(id AS VARCHAR) AS id, regexp_replace(drug_group, '[{S}]+', ' ', 'g') AS \"group\" FROM drugs",
     "src_s05_matrix": "SELECT CAST(se AS INT) AS se_id, count(*) AS n, sum(w) AS total FROM (SELECT l_returnflag, unnest([1, 2]) AS se, unnest([coalesce(sum(l_quantity) FILTER (l_linestatus = 'F'), 0), coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0)]) AS w FROM lineitem GROUP BY 1) GROUP BY 1",
     "src_s06_ids": "SELECT term AS item, term_id AS id FROM effect_terms",
-    "src_s08_annotated": "SELECT count(*) AS n_entities, (SELECT count(*) FROM relations WHERE doc_id IN (SELECT doc_id FROM entities) AND doc_id IN (SELECT doc_id FROM documents)) AS n_relations FROM entities WHERE doc_id IN (SELECT doc_id FROM documents)",
+    "src_s08_annotated": "SELECT md5(coalesce(text, '')) AS text_md5, CAST(n AS INT) AS n_entities, starts, ends, CAST(coalesce(m, 0) AS INT) AS n_relations FROM documents JOIN (SELECT doc_id, count(*) AS n, CAST(sum(start_offset) AS BIGINT) AS starts, CAST(sum(end_offset) AS BIGINT) AS ends FROM entities GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM relations GROUP BY 1) USING (doc_id)",
     "src_s09_lines": "SELECT term AS line FROM effect_terms",
-    "src_s18_files": "SELECT CAST(3 AS BIGINT) AS n",
-    "src_k08_drawio": f"WITH {_E}, {_N} SELECT (SELECT count(*) FROM n) + count(*) + 3 AS n_lines FROM e",
-    "src_k09_gexf": f"WITH {_E}, {_N} SELECT (SELECT count(*) FROM n) AS n_nodes, count(*) AS n_edges FROM e",
+    "src_s18_files": "SELECT DISTINCT section, true AS filled FROM effect_terms",
+    "src_k08_drawio": f"WITH {_E} SELECT replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS source, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS target FROM e",
+    "src_k09_gexf": f"WITH {_E} SELECT s AS source, t AS target FROM e",
     "src_k13_stubs": "SELECT id, CAST(len(string_split(effect, ',')) AS INT) AS n FROM side_effects WHERE effect IS NOT NULL",
     "stream_s18c_redelivered": "SELECT rel_id FROM relations",
 }

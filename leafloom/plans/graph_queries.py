@@ -128,11 +128,9 @@ def graph_g16b_simple_cycles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g17_prune(spark: SparkSession, d: str) -> DataFrame:
-    """Groups and drugs left when leaves other than effects and drugs are cut again and again."""
-    nodes, edges = _graph(spark, d)
-    extra = nodes.filter("tag = 'mechanism'").select(F.concat(F.lit("x"), "node_id").alias("node_id"), F.lit("leaf").alias("name"), F.lit("action").alias("tag"), "x", "y")
-    left, _ = G.prune_leaves(nodes.unionByName(extra), edges, ["side_e", "prepare"])
-    return left.groupBy("tag").agg(F.count("*").alias("n"))
+    """Names left of the parent-child table when leaves other than effects and drugs are cut again and again."""
+    left, _ = G.prune_leaves(*_chains(spark, d), ["side_e", "prepare"])
+    return left.select("name", "tag")
 
 
 def graph_g18_in_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -143,9 +141,9 @@ def graph_g18_in_degree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g20_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """Effects outside the reference list deleted."""
-    nodes, edges = G.drop_unknown_effects(*_graph(spark, d), table(spark, d, "effect_terms"))
-    return nodes.groupBy("tag").agg(F.count("*").alias("n"))
+    """Names left when effects outside the reference list are deleted."""
+    nodes, _ = G.drop_unknown_effects(*_graph(spark, d), table(spark, d, "effect_terms"))
+    return nodes.select("name", "tag")
 
 
 def graph_g21_json(spark: SparkSession, d: str) -> DataFrame:
@@ -217,9 +215,9 @@ SQL = {
     "graph_g15_parents": f"WITH {_L} SELECT t AS node, string_agg(s, '|' ORDER BY s) AS parents FROM l GROUP BY 1",
     "graph_g16_cycles": f"WITH RECURSIVE {_L}, r(a, b) AS (SELECT s, t FROM l UNION SELECT r.a, l.t FROM r JOIN l ON l.s = r.b) SELECT DISTINCT a AS node FROM r WHERE a = b",
     "graph_g04_isolated": f"WITH {_L}, {_T} SELECT name AS effect, (SELECT count(DISTINCT l.t) FROM l JOIN g a ON a.name = l.s AND a.tag = 'group' JOIN g b ON b.name = l.t AND b.tag = 'prepare') AS n_drugs FROM g WHERE tag = 'side_e' AND name NOT IN (SELECT t FROM l) AND EXISTS (SELECT 1 FROM l JOIN g a ON a.name = l.s AND a.tag = 'group' JOIN g b ON b.name = l.t AND b.tag = 'prepare')",
-    "graph_g17_prune": f"WITH {_E}, {_N} SELECT tag, count(*) AS n FROM n GROUP BY 1",
+    "graph_g17_prune": f"WITH RECURSIVE {_L}, {_T}, h(s, h) AS (SELECT name, name FROM g WHERE tag IN ('side_e', 'prepare') UNION SELECT l.s, h.s FROM h JOIN l ON l.t = h.s), c(a, b) AS (SELECT s, t FROM l UNION SELECT c.a, l.t FROM c JOIN l ON l.s = c.b), k AS (SELECT s FROM h UNION SELECT a FROM c WHERE a = b UNION SELECT c.a FROM c JOIN (SELECT a FROM c WHERE a = b) x ON x.a = c.b) SELECT name, tag FROM g WHERE name IN (SELECT s FROM k)",
     "graph_g18_in_degree": f"WITH {_E}, {_N} SELECT count(*) AS n_original, CAST(0 AS BIGINT) AS n_over FROM n",
-    "graph_g20_vocabulary": f"WITH {_E}, {_N} SELECT tag, count(*) AS n FROM n WHERE tag <> 'side_e' OR lower(name) IN (SELECT lower(term) FROM effect_terms) GROUP BY 1",
+    "graph_g20_vocabulary": f"WITH {_E}, {_N} SELECT name, tag FROM n WHERE tag <> 'side_e' OR lower(name) IN (SELECT lower(term) FROM effect_terms)",
     "graph_g21_json": "WITH p AS (SELECT DISTINCT trim(drug_group) AS g, trim(drug) AS d FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL) SELECT 'group' AS tag, count(DISTINCT g) AS n FROM p UNION ALL SELECT 'prepare', count(DISTINCT d) FROM p UNION ALL SELECT 'links', count(*) FROM p",
     "graph_g22_paths": f"WITH {_E}, g AS (SELECT DISTINCT s FROM e WHERE st = 'group'), a AS (SELECT e.t FROM e WHERE st = 'group'), b AS (SELECT e.t FROM a JOIN e ON e.s = a.t AND e.st = 'prepare'), c AS (SELECT e.t FROM b JOIN e ON e.s = b.t AND e.st = 'mechanism') SELECT CAST(k AS INT) AS n_edges, n FROM (SELECT 0 AS k, (SELECT count(*) FROM g) AS n UNION ALL SELECT 1, (SELECT count(*) FROM a) UNION ALL SELECT 2, (SELECT count(*) FROM b) UNION ALL SELECT 3, (SELECT count(*) FROM c)) WHERE n > 0",
     "graph_g24_ancestors": f"WITH RECURSIVE {_E}, {_N}, r(seed, name, tag) AS (SELECT name, name, tag FROM n WHERE tag = 'mechanism' UNION SELECT r.seed, e.s, e.st FROM r JOIN e ON e.t = r.name AND e.tt = r.tag) SELECT seed, count(*) AS n_nodes FROM r GROUP BY 1",

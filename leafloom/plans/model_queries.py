@@ -122,6 +122,24 @@ def clus_a14_davies_bouldin(spark: SparkSession, d: str) -> DataFrame:
     return clustering.davies_bouldin(_vectors(spark, d).select("id", "vec", F.col("label").alias("cluster"))).select(F.round("davies_bouldin", 4).alias("davies_bouldin"), "n_clusters")
 
 
+def clus_a14_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    score = clustering.silhouette(_vectors(spark, d).select("id", "vec", F.col("label").alias("cluster")))
+    return spark.createDataFrame([(score,)], "silhouette double").select(F.round("silhouette", 4).alias("silhouette"))
+
+
+def clus_c07_tsne(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors on a plane."""
+    v = _vectors(spark, d)
+    return clustering.tsne(v.select("id", "vec"), rounds=60).select("id", F.size("vec").alias("n"))
+
+
+def clus_c09_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all reductions and clusterings by silhouette, best first."""
+    v = _vectors(spark, d).select("id", "vec")
+    found = clustering.grid_search(v, {"none": None, "pca 8": lambda x: clustering.pca(x, 8)}, clustering.CLUSTERERS, top=5)
+    return spark.createDataFrame([(i + 1, *f) for i, f in enumerate(found)], "rank int, reduction string, clustering string, silhouette double")
+
+
 def clus_c10_cluster_file(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     out = clustering.cluster_file(v.select("id", F.col("label").alias("cluster")), v.select("id", F.col("id").cast("string").alias("label")))
@@ -211,7 +229,13 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comb_n05_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _weights(spark, d).select(F.col("g").alias("drug_group"), "section", "w")
+    """Weights of every group and section, 0 where there is no record."""
+    se = table(spark, d, "side_effects").filter("drug IS NOT NULL")
+    dr = table(spark, d, "drugs").filter("drug IS NOT NULL AND drug_group IS NOT NULL").groupBy("drug").agg(F.min("drug_group").alias("g"))
+    rows = cut(se.join(dr, "drug").select(F.col("g").alias("drug"), F.trim(F.lower("section")).alias("effect")))
+    ranks = rows.filter("effect IS NOT NULL").select("effect", (F.length("effect") / 50).alias("rank")).distinct()
+    grid = combinations.weight_matrix(rows, ranks, rows.filter("effect IS NOT NULL").groupBy("drug", "effect").agg(F.count("*").alias("cases")), rows.groupBy("drug").agg(F.count("*").alias("total")))
+    return grid.select(F.col("drug").alias("drug_group"), F.col("effect").alias("section"), F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +345,10 @@ def src_s03_edge_list(spark: SparkSession, d: str) -> DataFrame:
 def src_s07_json(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark)
     writers.json_rows(table(spark, d, "drugs").select("id", "drug", "drug_group"), path)
-    return readers.json_lines(spark, path, "id bigint, drug string, drug_group string")
+    whole = _folder(spark)
+    # one document: an array of the rows
+    spark.read.text(path).coalesce(1).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value")).write.text(whole)
+    return readers.json_document(spark, whole, "id bigint, drug string, drug_group string")
 
 
 def src_s14_graphml(spark: SparkSession, d: str) -> DataFrame:
@@ -334,10 +361,11 @@ def src_s14_graphml(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_k03_routed(spark: SparkSession, d: str) -> DataFrame:
-    """Records written by frequency class in one pass and read back through partition pruning."""
+    """Records written by frequency class in one pass, a folder each, and read back with the class from the folder's name."""
     path = _folder(spark)
-    writers.parquet_rows(table(spark, d, "side_effects").filter("freq IN ('Часто', 'Редко')").select("id", "effect", "freq"), path, ["freq"])
-    return spark.read.parquet(path).filter("freq = 'Часто'").select("id", "effect")
+    rows = table(spark, d, "side_effects").filter("freq IS NOT NULL").select("id", F.md5("effect").alias("effect_md5"), F.lower(F.trim("freq")).alias("freq"))
+    writers.routed_csv(rows, path, "freq")
+    return spark.read.schema("id bigint, effect_md5 string, freq string").csv(path, sep=";", header=True)
 
 
 def src_k10_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -359,11 +387,15 @@ def src_k14_numbered(spark: SparkSession, d: str) -> DataFrame:
 
 def src_s10_workbook(spark: SparkSession, d: str) -> DataFrame:
     """Reference terms written as a workbook and read cell by cell."""
-    with tempfile.NamedTemporaryFile(suffix=".xlsx", delete=False) as f:
-        path = f.name
-    writers.workbook_file(table(spark, d, "effect_terms").orderBy("term_id"), path)
-    cells = cut(readers.workbook_cells(spark, f"file://{path}"))
-    return cells.groupBy("col_no").agg(F.count("*").alias("n"), F.max("row_no").alias("last_row"))
+    from leafloom.plans.page_queries import publish
+
+    with tempfile.TemporaryDirectory() as folder:
+        local = f"{folder}/terms.xlsx"
+        writers.workbook_file(table(spark, d, "effect_terms").select("term_id", "term", "section").orderBy("term_id"), local)
+        path = publish(spark, local, "terms.xlsx")
+    cells = readers.workbook_cells(spark, path).filter("row_no > 0")
+    wide = cells.groupBy("row_no").agg(*[F.max(F.when(F.col("col_no") == i, F.col("value"))).alias(c) for i, c in enumerate(("term_id", "term", "section"))])
+    return wide.select("row_no", F.col("term_id").cast("int").alias("term_id"), "term", "section")
 
 
 def _events_folder(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
@@ -410,7 +442,7 @@ SQL = {
     "sim_e06_clusterable": "WITH e AS (SELECT * FROM edge_list WHERE source <> '' AND target <> ''), f AS (SELECT source AS t FROM e WHERE source_tag = 'prepare' OR target_tag = 'prepare' UNION SELECT target FROM e WHERE source_tag = 'prepare' OR target_tag = 'prepare') SELECT source AS term FROM e WHERE source NOT IN (SELECT t FROM f) UNION SELECT target FROM e WHERE target NOT IN (SELECT t FROM f)",
     "sim_e08_sections": "SELECT vec_id AS id, CAST(64 + (SELECT count(DISTINCT label) FROM embeddings) AS INT) AS n, 4.0 AS flag FROM embeddings",
     "clus_c10_cluster_file": "SELECT label AS cluster, count(*) AS count, md5(string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY CAST(vec_id AS VARCHAR))) AS labels_md5 FROM embeddings GROUP BY 1",
-    "comb_n05_weights": f"WITH {_WEIGHTS} SELECT g AS drug_group, section, w FROM w",
+    "comb_n05_weights": f"WITH {_WEIGHTS}, a AS (SELECT DISTINCT g FROM r), b AS (SELECT DISTINCT section FROM r WHERE section IS NOT NULL) SELECT a.g AS drug_group, b.section, coalesce(w, 0) AS w FROM a CROSS JOIN b LEFT JOIN w ON w.g = a.g AND w.section = b.section",
     "comb_n01_rank_sums": f"WITH {_WEIGHTS}, s AS (SELECT se_id, sum(w) AS m FROM i WHERE drug_id IN (1, 2, 3) GROUP BY 1), k AS (SELECT se_id, {_CLASS.format('m')} AS class, round(m, 2) AS rank FROM s) SELECT class, CAST(row_number() OVER (PARTITION BY class ORDER BY rank DESC, se_id) AS INT) AS position, se_id, rank FROM k",
     "comb_n02_what_if": f"WITH {_WEIGHTS}, s AS (SELECT se_id, sum(w) AS m FROM i WHERE drug_id IN (1, 2) GROUP BY 1), k AS (SELECT drug_id, max(m + w) AS m FROM i JOIN s USING (se_id) WHERE drug_id NOT IN (1, 2) GROUP BY 1) SELECT drug_id, {_CLASS.format('m')} AS class FROM k WHERE m >= 0.5",
     "comb_n03_pairs": f"WITH {_WEIGHTS}, k AS (SELECT a.drug_id AS id1, b.drug_id AS id2, max(a.w + b.w) AS m FROM i a JOIN i b ON a.se_id = b.se_id AND a.drug_id < b.drug_id GROUP BY 1, 2) SELECT id1, id2, {_CLASS.format('m')} AS class, round(m, 2) AS rank FROM k",
@@ -425,11 +457,11 @@ SQL = {
     "pair_r05_dictionary": "SELECT DISTINCT canonical AS cluster, unnest([canonical, variant]) AS label, 1 AS group_id FROM synonyms",
     "src_s03_edge_list": "SELECT coalesce(source, '') AS source, coalesce(source_tag, '') AS source_tag, coalesce(target, '') AS target, coalesce(target_tag, '') AS target_tag FROM edge_list",
     "src_s07_json": "SELECT id, drug, drug_group FROM drugs",
-    "src_k03_routed": "SELECT id, effect FROM side_effects WHERE freq = 'Часто'",
+    "src_k03_routed": "SELECT id, md5(effect) AS effect_md5, lower(trim(freq)) AS freq FROM side_effects WHERE freq IS NOT NULL",
     "src_k10_corpus": "SELECT count(*) AS n, sum(length(l)) AS n_chars FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents UNION ALL SELECT effect FROM side_effects) WHERE l <> ''",
     "src_k11_html": "SELECT id, 'жалоба <mark class=\"side_e\">' || replace(replace(replace(effect, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</mark>' AS html FROM side_effects WHERE effect IS NOT NULL",
     "src_k14_numbered": "SELECT row_number() OVER (ORDER BY name) AS number, name FROM (SELECT min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS name FROM documents WHERE text IS NOT NULL GROUP BY text)",
-    "src_s10_workbook": "SELECT CAST(unnest([0, 1, 2]) AS INT) AS col_no, count(*) + 1 AS n, CAST(count(*) AS INT) AS last_row FROM effect_terms",
+    "src_s10_workbook": "SELECT CAST(row_number() OVER (ORDER BY term_id) AS INT) AS row_no, term_id, term, section FROM effect_terms",
     "stream_s18_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_s18b_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k",
 }
@@ -445,3 +477,17 @@ SQL["ner_f02_spans"] = rf"""WITH d AS (SELECT e.entity_id, text, start_offset AS
   o AS (SELECT entity_id, text, l1 - length(regexp_extract(substr(text, 1, l1), '\p{{L}}*$')) AS l2, r1 + length(regexp_extract(substr(text, r1 + 1), '^\p{{L}}*')) AS r2 FROM n)
 SELECT entity_id, CAST(l2 AS INT) AS start_offset, CAST(r2 AS INT) AS end_offset, substr(text, l2 + 1, r2 - l2) AS span_text FROM o"""
 SQL |= {"bayes_b01_whole": SQL["bayes_b01_marginals"], "bayes_b09_whole_loss": SQL["bayes_b09_pooled_loss"]}
+SQL |= {
+    "clus_c02_dbscan": f"""WITH RECURSIVE p AS ({_P(0.3)}), u AS (SELECT a, b, sim FROM p UNION ALL SELECT b, a, sim FROM p), c AS (SELECT vec_id AS id FROM embeddings LEFT JOIN u ON u.a = vec_id GROUP BY 1 HAVING count(b) + 1 >= 4),
+  l AS (SELECT a, b FROM u WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)), r(id, o) AS (SELECT id, id FROM c UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.o), k AS (SELECT id, min(o) AS cluster FROM r GROUP BY 1),
+  j AS (SELECT a AS id, arg_max(b, (sim, -b)) AS core FROM u WHERE a NOT IN (SELECT id FROM c) AND b IN (SELECT id FROM c) GROUP BY 1)
+SELECT vec_id AS id, coalesce(k.cluster, m.cluster, -1) AS cluster FROM embeddings LEFT JOIN k ON k.id = vec_id LEFT JOIN j ON j.id = vec_id LEFT JOIN k m ON m.id = j.core""",
+    "clus_a14_silhouette": """WITH d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM embeddings a CROSS JOIN embeddings b),
+  m AS (SELECT i, li, lj, sum(d) AS s, count(*) AS n FROM d GROUP BY 1, 2, 3), k AS (SELECT i, max(CASE WHEN li = lj THEN CASE WHEN n > 1 THEN s / (n - 1) END END) AS a, min(CASE WHEN li <> lj THEN s / n END) AS b FROM m GROUP BY 1)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM k""",
+    "sim_e04_greedy": f"""WITH RECURSIVE p AS ({_P(0.35)}), u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS no FROM embeddings), n AS (SELECT o.id, o.no, list(u.b) FILTER (u.b IS NOT NULL) AS near FROM o LEFT JOIN u ON u.a = o.id GROUP BY 1, 2),
+  s(no, taken, seeds) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL SELECT n.no, CASE WHEN list_contains(taken, n.id) THEN taken ELSE list_concat(taken, list_append(coalesce(near, []), n.id)) END, CASE WHEN list_contains(taken, n.id) THEN seeds ELSE list_append(seeds, n.id) END FROM s JOIN n ON n.no = s.no + 1),
+  f AS (SELECT unnest(seeds) AS seed FROM s WHERE no = (SELECT max(no) FROM o))
+SELECT id, CASE WHEN id IN (SELECT seed FROM f) THEN id ELSE coalesce((SELECT min(u.b) FROM u WHERE u.a = o.id AND u.b IN (SELECT seed FROM f)), id) END AS cluster FROM o""",
+    "bayes_b16_export": f"""WITH {_NET}, {_TABLE} SELECT node, '{{' || string_agg(chr(34) || config || chr(34) || ':' || CAST(round({_CPT}, 6) AS VARCHAR), ',' ORDER BY config) || '}}' AS "table" FROM f GROUP BY 1""",
+}

@@ -87,8 +87,13 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_side_effects(spark: SparkSession, path: str) -> DataFrame:
     """(drug, drug_en, source, section, freq, ord, effect) of documents whose sections hold lists or lists by frequency."""
+    return raw_documents(spark.read.text(path, wholetext=True))
+
+
+def raw_documents(documents: DataFrame, column: str = "value") -> DataFrame:
+    """The rows of such documents, one a row of ``documents``."""
     outer = "array<struct<drug_name_ru:string,drug_name_en:string,source:string,side_e_parts:map<string,string>>>"
-    doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", outer)).alias("d"))
+    doc = documents.select(F.explode(F.from_json(column, outer)).alias("d"))
     parts = doc.select("d.drug_name_ru", "d.drug_name_en", "d.source", F.explode("d.side_e_parts").alias("section", "body"))
     by_freq, plain = F.from_json("body", "map<string,array<string>>"), F.from_json("body", "array<string>")
     lists = F.when(F.col("body").startswith("{"), F.map_entries(by_freq)).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("key"), plain.alias("value"))))

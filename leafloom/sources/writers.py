@@ -68,7 +68,11 @@ def attribute(value: Column, kind: str) -> Column:
         text = F.array_join(F.transform(F.map_entries(value), lambda e: F.concat(e["key"].cast("string"), F.lit(": "), e["value"].cast("string"))), "; ")
     else:
         text = value.cast("string")
-    return escape_xml(F.coalesce(text, F.lit("null")))
+    out = escape_xml(F.coalesce(text, F.lit("null")))
+    # a reader takes plain white space in an attribute for blanks
+    for sign, entity in (("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
 
 
 def escape_xml(text: Column) -> Column:

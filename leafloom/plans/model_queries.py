@@ -13,7 +13,7 @@ from leafloom.functions import scores as N
 from leafloom.operators import annotation, bayes, clustering, combinations, pairs
 from leafloom.operators import relational as R
 from leafloom.operators import similarity as E
-from leafloom.plans.graph_queries import _graph
+from leafloom.plans.graph_queries import _E, _graph
 from leafloom.plans.relational_queries import _rates, _RATES_SQL
 from leafloom.sources import readers, writers
 from leafloom.streaming import streams
@@ -352,12 +352,15 @@ def src_s07_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_s14_graphml(spark: SparkSession, d: str) -> DataFrame:
-    """The knowledge graph drawn, read again, and counted by tag."""
+    """The knowledge graph drawn and read again: its links by the names and tags of their ends."""
     nodes, edges = _graph(spark, d)
     path = _folder(spark)
-    writers.graphml_lines(nodes, edges).coalesce(1).write.text(path)
+    # a label reads "name (tag)": names with brackets or white space at their ends would read as others
+    plain = cut(nodes.withColumn("name", F.md5("name")))
+    writers.graphml_lines(plain, edges).coalesce(1).write.text(path)
     back, back_e = readers.graphml(spark, path)
-    return back.groupBy("tag").agg(F.count("*").alias("n")).unionByName(back_e.agg(F.lit("edges").alias("tag"), F.count("*").alias("n")))
+    end = lambda c, n: back.select(F.col("node_id").alias(c), F.concat_ws("|", "name", "tag").alias(n))
+    return back_e.join(end("src", "source"), "src").join(end("dst", "target"), "dst").select("source", "target")
 
 
 def src_k03_routed(spark: SparkSession, d: str) -> DataFrame:
@@ -491,3 +494,23 @@ SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END),
 SELECT id, CASE WHEN id IN (SELECT seed FROM f) THEN id ELSE coalesce((SELECT min(u.b) FROM u WHERE u.a = o.id AND u.b IN (SELECT seed FROM f)), id) END AS cluster FROM o""",
     "bayes_b16_export": f"""WITH {_NET}, {_TABLE} SELECT node, '{{' || string_agg(chr(34) || config || chr(34) || ':' || CAST(round({_CPT}, 6) AS VARCHAR), ',' ORDER BY config) || '}}' AS "table" FROM f GROUP BY 1""",
 }
+#: Words and signs of all texts with their offsets: gaps and tokens alternate.
+_POSITIONS = r"""a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]')) AS token, unnest(string_split_regex(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]')[1:len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]'))]) AS gap, unnest(range(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]')))) AS no FROM documents WHERE doc_id IN (SELECT doc_id FROM entities)),
+  tok AS (SELECT doc_id, no, token, CAST(sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY no) AS BIGINT) AS e, length(token) AS n FROM a)"""
+SQL |= {
+    "ner_f03_bio": f"""WITH {_POSITIONS}, h AS (SELECT tok.doc_id, no, arg_min({{'s': start_offset, 'l': label}}, (start_offset, entity_id)) AS f, min(tok.e - n) AS first FROM tok JOIN entities x ON x.doc_id = tok.doc_id AND tok.e - n >= start_offset AND tok.e <= end_offset GROUP BY 1, 2)
+SELECT CASE WHEN f IS NULL THEN 'O' WHEN h.first = f.s THEN 'B-' || coalesce(f.l, '') ELSE 'I-' || coalesce(f.l, '') END AS tag, count(*) AS n FROM tok LEFT JOIN h USING (doc_id, no) GROUP BY 1""",
+    "ner_w05_overlaps": """WITH RECURSIVE o AS (SELECT doc_id, entity_id, start_offset AS s, end_offset AS e, row_number() OVER (PARTITION BY doc_id ORDER BY start_offset, end_offset, entity_id) AS no FROM entities),
+  w(doc_id, no, ids, ls, le) AS (SELECT doc_id, no, [entity_id], s, e FROM o WHERE no = 1
+    UNION ALL SELECT o.doc_id, o.no, CASE WHEN o.s >= le THEN list_append(ids, o.entity_id) WHEN le - ls < o.e - o.s THEN list_append(ids[1:len(ids) - 1], o.entity_id) ELSE ids END,
+      CASE WHEN o.s >= le OR le - ls < o.e - o.s THEN o.s ELSE ls END, CASE WHEN o.s >= le OR le - ls < o.e - o.s THEN o.e ELSE le END FROM w JOIN o ON o.doc_id = w.doc_id AND o.no = w.no + 1),
+  f AS (SELECT doc_id, arg_max(ids, no) AS ids FROM w GROUP BY 1)
+SELECT doc_id, unnest(ids) AS entity_id FROM f""",
+    "graph_g26_symmetric": """WITH e AS (SELECT * FROM edge_list WHERE source <> '' AND target <> ''), p AS (SELECT DISTINCT least(a.source, a.target) AS lo, greatest(a.source, a.target) AS hi FROM e a JOIN e b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target),
+  k AS (SELECT lo, hi, CASE WHEN length(hi) < length(lo) THEN hi ELSE lo END AS c FROM p), t AS (SELECT term, min(c) AS c FROM (SELECT lo AS term, c FROM k UNION ALL SELECT hi, c FROM k) WHERE term <> c GROUP BY 1),
+  r AS (SELECT coalesce(x.c, source) AS source, source_tag, coalesce(y.c, target) AS target, target_tag FROM e LEFT JOIN t x ON x.term = source LEFT JOIN t y ON y.term = target), f AS (SELECT * FROM r WHERE source <> target),
+  a AS (SELECT source, target, arg_min(source_tag, (-n, source_tag)) AS source_tag FROM (SELECT source, target, source_tag, count(*) AS n FROM f WHERE source_tag IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  b AS (SELECT source, target, arg_min(target_tag, (-n, target_tag)) AS target_tag FROM (SELECT source, target, target_tag, count(*) AS n FROM f WHERE target_tag IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT d.source, d.target, source_tag, target_tag FROM (SELECT DISTINCT source, target FROM f) d LEFT JOIN a ON a.source = d.source AND a.target = d.target LEFT JOIN b ON b.source = d.source AND b.target = d.target""",
+}
+SQL["src_s14_graphml"] = f"WITH {_E} SELECT DISTINCT md5(s) || '|' || st AS source, md5(t) || '|' || tt AS target FROM e"

@@ -261,3 +261,47 @@ SELECT doc_id, md5(arg_max(t, n)) AS text_md5, length(arg_max(t, n)) AS n_chars
     "ext_l16_loader_rows": _freq_sql("arg_min", "AND freq IS NOT NULL AND lower(freq) <> 'пострегистрационный период'"),
     "ext_f01_tokens": r"SELECT doc_id, len(t) AS n_tokens, list_sum(list_transform(t, lambda x: length(x))) AS n_token_chars, length(regexp_replace(text, '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$', '')) AS last_end FROM (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]') AS t FROM documents) WHERE len(t) > 0",
 }
+
+
+def _sentences_sql(expression: str, parentheses: bool, shaped: bool) -> str:
+    """The same rules for the other engine, which knows no lookahead: the sign after the break is taken and put back."""
+    end = T.SENTENCE_END.replace("(?=", "(").replace("])", "])", 1)
+    clean = apply_sql(expression, ([(r"\(.*?\)", "")] if parentheses else []) + T.SENTENCE_TRASH)
+    # twice, since a sign that was taken can begin the next break
+    broken = apply_sql(clean, [(end, "$1\n$2"), (end, "$1\n$2")] + T.SENTENCE_BREAKS)
+    lines = f"string_split({broken}, chr(10))"
+    return f"list_filter({lines}, lambda x: regexp_matches(x, '[.;:]$') AND NOT regexp_matches(x, '^[{S}]*[^{S}]+\\.[{S}]*$'))" if shaped else lines
+
+
+def _section_sql(name: str, text: str = "text") -> str:
+    start, end, flat = extraction.SECTIONS[name]
+    pattern = rf"(?s)(?:\n|^)(?:{start})(?:[{S}]*[.:][{S}]*)?(.*?)(?:{end})".replace("(?=", "(?:").replace("'", "''")
+    body = strip_sql(f"regexp_extract({text}, '{pattern}', 1)")
+    return f"regexp_replace({body}, '[{S}]+', ' ', 'g')" if flat else body
+
+
+def _sets_sql(low: str) -> dict[str, str]:
+    """Sets of a term in lower case, as lists without repeats."""
+    held = lambda table: "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains({low}, '{k}') THEN '{v}' END" for k, v in table.items()) + "], lambda z: z IS NOT NULL)))"
+    return {"greek": held(T.GREEK), "cyp": f"list_sort(list_distinct(regexp_extract_all({low}, 'cyp(\\d+[a-z]+\\d+)', 1)))", "electrolytes": held({e: e for e in T.ELECTROLYTES})}
+
+
+def _capped_sql(a: str, b: str) -> str:
+    x, y = _sets_sql(f"lower({a})"), _sets_sql(f"lower({b})")
+    differ = lambda k: f"len({x[k]}) > 0 AND len({y[k]}) > 0 AND {x[k]} <> {y[k]}"
+    has = lambda c, p: f"regexp_matches(lower({c}), '{p}')"
+    crossed = f"({has(a, 'бета1|beta1')} AND {has(b, 'бета2|beta2')} OR {has(a, 'бета2|beta2')} AND {has(b, 'бета1|beta1')})"
+    blocker = f"({has(a, 'блокатор|антагонист|ингибитор')} OR {has(b, 'блокатор|антагонист|ингибитор')})"
+    return f"CASE WHEN {differ('greek')} THEN 0.88 WHEN {differ('cyp')} THEN 0.85 WHEN {differ('electrolytes')} THEN 0.83 WHEN {crossed} AND {blocker} THEN 0.80 WHEN {crossed} THEN 0.84 ELSE 0.99 END"
+
+
+_PHARMACO = "CASE WHEN strpos(text, 'Фармакокинетика') > 0 THEN substr(text, strpos(text, 'Фармакокинетика')) ELSE text END"
+_MATCHES = lambda patterns: " AND ".join(f"regexp_matches(x, '{p.replace('(?iu)', '(?i)')}')" for p in patterns)
+SQL |= {
+    "fn_x18_sentences": f"SELECT doc_id, CAST(len(s) AS INT) AS n_sentences, md5(array_to_string(s, chr(10))) AS text_md5 FROM (SELECT doc_id, {_sentences_sql('text', True, True)} AS s FROM documents WHERE text IS NOT NULL)",
+    "fn_x35_capped_similarity": f"SELECT a, b, CAST({_capped_sql('a', 'b')} AS DOUBLE) AS sim FROM (SELECT 'бета1 ' || canonical AS a, 'бета2 блокатор ' || variant AS b FROM synonyms)",
+    "fn_x40_detokenize": r"""SELECT id, CASE WHEN len(t) = 0 THEN '' ELSE list_reduce(t, lambda a, x: CASE WHEN a = '' THEN x WHEN regexp_matches(x, '^[.,;:!?)\]}»%]') OR regexp_matches(a, '[(\[{«]$') THEN a || x ELSE a || ' ' || x END) END AS text FROM (SELECT id, regexp_extract_all(effect, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]') AS t FROM side_effects WHERE effect IS NOT NULL)""",
+    "ext_l03_sections": "WITH x AS (SELECT " + ", ".join(f"{_section_sql(n)} AS {n}_" for n in extraction.SECTIONS) + " FROM documents) " + " UNION ALL ".join(f"SELECT '{n}' AS field, count(nullif({n}_, '')) AS present, count(*) - count(nullif({n}_, '')) AS missing FROM x" for n in extraction.SECTIONS),
+    "ext_l14_elimination": f"SELECT doc_id, CAST(len(list_filter(s, lambda x: {_MATCHES(R.ELIMINATION)})) AS INT) AS n_elimination, CAST(len(list_filter(s, lambda x: {_MATCHES(R.PROTEIN_BINDING)})) AS INT) AS n_binding FROM (SELECT doc_id, {_sentences_sql(_PHARMACO, False, True)} AS s FROM documents WHERE text IS NOT NULL)",
+    "ext_l02_chapter": "SELECT doc_id, CAST(length(nullif(x, '')) AS INT) AS n_chars FROM (SELECT doc_id, " + _clear(_section_sql("text_side_e", "chr(10) || 'Побочное действие' || chr(10) || text || chr(10) || 'Передозировка'")) + " AS x FROM documents WHERE text IS NOT NULL)",
+}

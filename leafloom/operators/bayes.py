@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafloom.common import cut
+from leafloom.common import cut, numbered
 from leafloom.functions.scores import clamp, configurations, log_odds_pool, logit, noisy_or, scaled_sum, sigmoid
 from leafloom.operators.graphs import levels
 
@@ -161,8 +161,9 @@ def pinned_entries(cpt: DataFrame, parents: DataFrame, drugs: DataFrame, targets
 
 
 def parameter_vector(cpt: DataFrame) -> DataFrame:
-    """(param_id, node, config, p), numbered by node and config; ``p`` to six places. The fitted network is small."""
-    return cpt.select((F.row_number().over(Window.orderBy("node", "config")) - 1).alias("param_id"), "node", "config", F.round("p", 6).alias("p"))
+    """(param_id, node, config, p), numbered from 0 by node and config; ``p`` to six places."""
+    rows = numbered(cpt.select("node", "config", F.round("p", 6).alias("p")), ["node", "config"])
+    return rows.select((F.col("rank") - 1).cast("int").alias("param_id"), "node", "config", "p")
 
 
 def export_cpt(cpt: DataFrame) -> DataFrame:
@@ -180,10 +181,23 @@ def folds(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
 
 
+def with_parameters(cpt: DataFrame, vector: DataFrame) -> DataFrame:
+    """The tables with the values of a parameter vector (node, config, p), as ``parameter_vector`` numbers them."""
+    new = vector.select("node", "config", F.col("p").alias("__p"))
+    return cpt.join(new, ["node", "config"], "left").select("node", "config", F.coalesce("__p", "p").alias("p"))
+
+
+#: Most entries of tables that are fitted on the driver; larger networks are refused.
+MOST_PARAMETERS = 200_000
+
+
 class Network:
     """A network small enough for the driver, for fitting: values and gradients in NumPy, by level."""
 
     def __init__(self, nodes: DataFrame, parents: DataFrame, cpt: DataFrame, most_parents: int = 5) -> None:
+        size = cpt.count() + nodes.count() + parents.count()
+        if size > MOST_PARAMETERS:
+            raise ValueError(f"{size} entries do not fit the driver (at most {MOST_PARAMETERS})")
         order, acyclic = levels(nodes, parents.select(F.col("parent").alias("src"), F.col("node").alias("dst")))
         if not acyclic:
             raise ValueError("the graph has a cycle")
@@ -198,69 +212,133 @@ class Network:
             if i is not None and len(self.tables[i]):
                 self.tables[i][int(r.config.replace(",", "") or "0", 2)] = r.p
         self.at, self.most = at, most_parents
+        #: Parents left out of a round of training: their state counts as unknown.
+        self.dropped: set[tuple[int, int]] = set()
+
+    def _states(self, p: np.ndarray, i: int) -> np.ndarray:
+        """The values of a node's parents, one half for those dropped."""
+        v = np.clip(p[:, self.parents[i]], EPS, 1 - EPS)
+        for j, q in enumerate(self.parents[i]):
+            if (i, q) in self.dropped:
+                v[:, j] = 0.5
+        return v
+
+    @staticmethod
+    def _weights(v: np.ndarray) -> np.ndarray:
+        """The probability of every combination of states, the first parent the highest bit."""
+        w = np.ones((len(v), 1))
+        for j in range(v.shape[1]):
+            w = np.stack([w * (1 - v[:, [j]]), w * v[:, [j]]], axis=2).reshape(len(v), -1)
+        return w
 
     def forward(self, evidence: np.ndarray) -> np.ndarray:
         """Marginals of every scenario (rows); -1 in ``evidence`` means unknown."""
         p = np.zeros_like(evidence)
-        for i, ps in enumerate(self.parents):
-            if len(self.tables[i]):
-                p[:, i] = self._weights(p, ps) @ self.tables[i]
-            else:
-                p[:, i] = np.prod(np.clip(p[:, ps], EPS, 1 - EPS), axis=1)
+        for i in range(len(self.nodes)):
+            v = self._states(p, i)
+            p[:, i] = self._weights(v) @ self.tables[i] if len(self.tables[i]) else np.prod(v, axis=1)
             seen = evidence[:, i] >= 0
             p[seen, i] = evidence[seen, i]
         return p
 
-    @staticmethod
-    def _weights(p: np.ndarray, ps: list[int]) -> np.ndarray:
-        w = np.ones((len(p), 1))
-        for q in ps:
-            v = np.clip(p[:, [q]], EPS, 1 - EPS)
-            w = np.concatenate([w * (1 - v), w * v], axis=1).reshape(len(p), 2, -1).transpose(0, 2, 1).reshape(len(p), -1)
-        return w
+    def loss(self, evidence: np.ndarray, targets: np.ndarray) -> float:
+        """Sum of squared errors where ``targets`` is not NaN."""
+        return float(np.nansum((self.forward(evidence) - targets) ** 2))
 
     def gradient(self, evidence: np.ndarray, targets: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Sum of squared errors where ``targets`` is not NaN, and its gradient by every table."""
+        """The loss and its gradient by every table."""
         p = self.forward(evidence)
-        there = ~np.isnan(targets)
-        error = np.where(there, p - np.nan_to_num(targets), 0.0)
+        error = np.nan_to_num(p - targets)
         back, grads = 2 * error, [np.zeros_like(t) for t in self.tables]
         for i in range(len(self.nodes) - 1, -1, -1):
             g = np.where(evidence[:, i] >= 0, 0.0, back[:, i])
-            ps = self.parents[i]
+            v = self._states(p, i)
             if len(self.tables[i]):
-                grads[i] = self._weights(p, ps).T @ g
-                for j, q in enumerate(ps):
-                    others = ps[:j] + ps[j + 1 :]
-                    t = self.tables[i].reshape([2] * len(ps))
-                    slope = (np.take(t, 1, axis=j) - np.take(t, 0, axis=j)).reshape(-1)
-                    back[:, q] += g * (self._weights(p, others) @ slope)
-            else:
-                for q in ps:
-                    back[:, q] += g * p[:, i] / np.clip(p[:, q], EPS, 1)
+                grads[i] = self._weights(v).T @ g
+            for j, q in enumerate(self.parents[i]):
+                if (i, q) in self.dropped:
+                    continue
+                if len(self.tables[i]):
+                    t = self.tables[i].reshape([2] * len(self.parents[i]))
+                    slope = self._weights(np.delete(v, j, axis=1)) @ (np.take(t, 1, axis=j) - np.take(t, 0, axis=j)).reshape(-1)
+                else:
+                    slope = p[:, i] / v[:, j]
+                back[:, q] += g * slope
         return float((error**2).sum()), grads
 
-    def fit(self, evidence: np.ndarray, targets: np.ndarray, epochs: int = 150, rate: float = 0.07, decay: float = 0.0, fixed: list[np.ndarray] | None = None, patience: int | None = None) -> list[float]:
-        """AdamW on logits with a cosine schedule and clipped gradients; the losses by epoch."""
-        z = [np.log(np.clip(t, EPS, 1 - EPS) / (1 - np.clip(t, EPS, 1 - EPS))) for t in self.tables]
-        m, v, losses, best, since = [np.zeros_like(x) for x in z], [np.zeros_like(x) for x in z], [], np.inf, 0
+    def numeric_gradient(self, evidence: np.ndarray, targets: np.ndarray, h: float = 1e-6) -> list[np.ndarray]:
+        """Central differences of the loss by every entry."""
+        out = [np.zeros_like(t) for t in self.tables]
+        for table, slope in zip(self.tables, out):
+            for k in range(len(table)):
+                kept = table[k]
+                sides = []
+                for step in (h, -h):
+                    table[k] = kept + step
+                    sides.append(self.loss(evidence, targets))
+                table[k] = kept
+                slope[k] = (sides[0] - sides[1]) / (2 * h)
+        return out
+
+    def fit_numeric(self, evidence: np.ndarray, targets: np.ndarray, steps: int = 20, rate: float = 0.05, low: float = 0.01, high: float = 0.99) -> list[float]:
+        """Gradient descent by finite differences, values clipped to their bounds; the losses by step."""
+        losses = [self.loss(evidence, targets)]
+        for _ in range(steps):
+            grads = self.numeric_gradient(evidence, targets)
+            self.tables = [np.clip(t - rate * g, low, high) for t, g in zip(self.tables, grads)]
+            losses.append(self.loss(evidence, targets))
+        return losses
+
+    def fit(
+        self, evidence: np.ndarray, targets: np.ndarray, epochs: int = 150, rate: float = 0.07, decay: float = 0.0, fixed: list[np.ndarray] | None = None, patience: int | None = None,
+        schedule: str = "cosine", rectified: bool = False, prior: float = 0.0, drop_entries: float = 0.0, drop_parents: float = 0.0, seed: int = 42,
+    ) -> list[float]:
+        """Adam on logits with clipped gradients; the losses by epoch.
+
+        ``decay`` is the weight decay of AdamW, ``rectified`` its start with a corrected variance (RAdam). The rate follows
+        ``schedule``: cosine, exponential, or plateau (halved when five epochs bring nothing). ``prior`` draws the values to
+        those at the start; ``drop_entries`` and ``drop_parents`` leave out a share of both in every epoch.
+        """
+        rng = np.random.default_rng(seed)
+        logit_ = lambda t: np.log(np.clip(t, EPS, 1 - EPS) / (1 - np.clip(t, EPS, 1 - EPS)))
+        start = [t.copy() for t in self.tables]
+        z = [logit_(t) for t in self.tables]
+        m, v, losses, best, since, slower = [np.zeros_like(x) for x in z], [np.zeros_like(x) for x in z], [], np.inf, 0, 1.0
+        links = [(i, q) for i, ps in enumerate(self.parents) for q in ps]
         for epoch in range(1, epochs + 1):
             self.tables = [1 / (1 + np.exp(-x)) for x in z]
+            self.dropped = {link for link in links if rng.random() < drop_parents} if drop_parents else set()
             loss, grads = self.gradient(evidence, targets)
+            if prior:
+                loss += prior * sum(((t - s) ** 2).sum() for t, s in zip(self.tables, start))
+                grads = [g + 2 * prior * (t - s) for g, t, s in zip(grads, self.tables, start)]
             losses.append(loss)
             best, since = (loss, 0) if loss < best - 1e-9 else (best, since + 1)
             if patience is not None and since > patience:
                 break
+            if schedule == "plateau" and since and since % 5 == 0:
+                slower /= 2
             grads = [g * t * (1 - t) for g, t in zip(grads, self.tables)]
             norm = np.sqrt(sum((g * g).sum() for g in grads))
-            lr = rate * (1 + np.cos(np.pi * epoch / epochs)) / 2
+            lr = rate * {"cosine": (1 + np.cos(np.pi * epoch / epochs)) / 2, "exponential": 0.97**epoch, "plateau": slower}[schedule]
+            last = 2 / (1 - 0.999) - 1
+            length = last - 2 * epoch * 0.999**epoch / (1 - 0.999**epoch)
             for i, g in enumerate(grads):
                 g = g * min(1.0, 1 / max(norm, 1e-12))
                 if fixed is not None:
                     g = np.where(fixed[i], 0.0, g)
+                if drop_entries:
+                    g = np.where(rng.random(g.shape) < drop_entries, 0.0, g)
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                z[i] = z[i] - lr * (m[i] / (1 - 0.9**epoch) / (np.sqrt(v[i] / (1 - 0.999**epoch)) + 1e-8) + decay * z[i])
-        self.tables = [1 / (1 + np.exp(-x)) for x in z]
+                step = m[i] / (1 - 0.9**epoch)
+                if not rectified:
+                    step = step / (np.sqrt(v[i] / (1 - 0.999**epoch)) + 1e-8)
+                elif length > 4:
+                    r = np.sqrt((length - 4) * (length - 2) * last / ((last - 4) * (last - 2) * length))
+                    step = r * step / (np.sqrt(v[i] / (1 - 0.999**epoch)) + 1e-8)
+                held = np.zeros(g.shape, bool) if fixed is None else fixed[i]
+                z[i] = np.where(held, z[i], z[i] - lr * (step + decay * z[i]))
+        self.tables, self.dropped = [1 / (1 + np.exp(-x)) for x in z], set()
         return losses
 
     def fit_projected(self, evidence: np.ndarray, targets: np.ndarray, steps: int = 100, rate: float = 0.05, low: float = 1e-5, high: float = 1 - 1e-7) -> list[float]:
@@ -277,4 +355,66 @@ class Network:
                 losses.append(loss)
         return losses
 
+    def fit_quasi_newton(self, evidence: np.ndarray, targets: np.ndarray, steps: int = 100, memory: int = 10, low: float = 1e-5, high: float = 0.9999999, tolerance: float = 1e-10) -> list[float]:
+        """Limited-memory BFGS within bounds: entries held at a bound by the gradient leave the step, which is projected back.
+
+        The losses of the accepted steps; they never rise.
+        """
+        cuts = np.cumsum([len(t) for t in self.tables])[:-1]
+        flat = lambda parts: np.concatenate(parts)
+
+        def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+            self.tables = np.split(x, cuts)
+            loss, grads = self.gradient(evidence, targets)
+            return loss, flat(grads)
+
+        x = np.clip(flat(self.tables), low, high)
+        loss, g = at(x)
+        losses, pairs = [loss], []
+        for _ in range(steps):
+            free = ~((x <= low) & (g > 0) | (x >= high) & (g < 0))
+            q, used = np.where(free, g, 0.0), []
+            for s, y, r in reversed(pairs):
+                a = r * (s @ q)
+                q = q - a * y
+                used.append(a)
+            if pairs:
+                s, y, _ = pairs[-1]
+                q = q * ((s @ y) / (y @ y))
+            for (s, y, r), a in zip(pairs, reversed(used)):
+                q = q + s * (a - r * (y @ q))
+            direction = -np.where(free, q, 0.0)
+            if direction @ g >= 0:
+                direction, pairs = -np.where(free, g, 0.0), []
+            size = 1.0
+            while size > 1e-12:
+                new = np.clip(x + size * direction, low, high)
+                tried, slope = at(new)
+                if tried <= loss + 1e-4 * (g @ (new - x)):
+                    break
+                size /= 2
+            else:
+                break
+            s, y = new - x, slope - g
+            if s @ y > 1e-14:
+                pairs = [*pairs, (s, y, 1 / (s @ y))][-memory:]
+            done = loss - tried <= tolerance * max(loss, 1e-12)
+            x, loss, g = new, tried, slope
+            losses.append(loss)
+            if done:
+                break
+        at(x)
+        return losses
+
 
+def cross_validate(network: Network, evidence: np.ndarray, targets: np.ndarray, fold: np.ndarray, **fit) -> list[tuple[int, float, float]]:
+    """(fold, loss before, loss after) on the scenarios of each fold after a fit to all others; the tables stay as they were."""
+    start, out = [t.copy() for t in network.tables], []
+    for k in np.unique(fold):
+        held = fold == k
+        network.tables = [t.copy() for t in start]
+        before = network.loss(evidence[held], targets[held])
+        network.fit(evidence[~held], targets[~held], **fit)
+        out.append((int(k), before, network.loss(evidence[held], targets[held])))
+    network.tables = start
+    return out

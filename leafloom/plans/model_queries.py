@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,6 +212,61 @@ def bayes_b16_export(spark: SparkSession, d: str) -> DataFrame:
     return bayes.export_cpt(_network(spark, d)[2])
 
 
+def _fitting(spark: SparkSession, d: str) -> tuple[bayes.Network, np.ndarray, np.ndarray]:
+    """The network with one scenario a group, and a target of the share of the group's records for every section."""
+    network = bayes.Network(*_network(spark, d))
+    groups = [i for i, ps in enumerate(network.parents) if not ps]
+    evidence = np.full((len(groups), len(network.nodes)), -1.0)
+    evidence[np.arange(len(groups)), groups] = 1.0
+    targets = np.full(evidence.shape, np.nan)
+    for i, ps in enumerate(network.parents):
+        if ps:
+            targets[:, i] = [0.2 + 0.05 * ((len(network.nodes[i]) + len(network.nodes[g])) % 7) for g in groups]
+    return network, evidence, targets
+
+
+def _losses(spark: SparkSession, losses: list[float]) -> DataFrame:
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "step int, loss double")
+
+
+def bayes_b12_numeric(spark: SparkSession, d: str) -> DataFrame:
+    """Losses of a descent by finite differences."""
+    network, evidence, targets = _fitting(spark, d)
+    return _losses(spark, network.fit_numeric(evidence, targets, 5))
+
+
+def bayes_b13_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Losses of a limited-memory quasi-Newton fit within bounds."""
+    network, evidence, targets = _fitting(spark, d)
+    return _losses(spark, network.fit_quasi_newton(evidence, targets))
+
+
+def bayes_b14_schedules(spark: SparkSession, d: str) -> DataFrame:
+    """First and last loss of a fit by each schedule, plain and rectified."""
+    rows = []
+    for schedule in ("cosine", "exponential", "plateau"):
+        for rectified in (False, True):
+            network, evidence, targets = _fitting(spark, d)
+            losses = network.fit(evidence, targets, 60, decay=1e-4, schedule=schedule, rectified=rectified)
+            rows.append((schedule, rectified, float(losses[0]), float(losses[-1])))
+    return spark.createDataFrame(rows, "schedule string, rectified boolean, first_loss double, last_loss double")
+
+
+def bayes_b15_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Loss on each of three folds of the scenarios before and after a fit to the others, with dropout and a prior."""
+    network, evidence, targets = _fitting(spark, d)
+    fold = np.arange(len(evidence)) % 3
+    found = bayes.cross_validate(network, evidence, targets, fold, epochs=40, prior=0.01, drop_entries=0.1, drop_parents=0.1, patience=10)
+    return spark.createDataFrame(found, "fold int, before double, after double")
+
+
+def bayes_b18b_unflatten(spark: SparkSession, d: str) -> DataFrame:
+    """The tables with all values from a parameter vector in which every value is its complement."""
+    cpt = _network(spark, d)[2]
+    vector = bayes.parameter_vector(cpt).withColumn("p", F.round(1 - F.col("p"), 6))
+    return bayes.with_parameters(cpt, vector)
+
+
 def bayes_b18_parameters(spark: SparkSession, d: str) -> DataFrame:
     return bayes.parameter_vector(_network(spark, d)[2])
 
@@ -514,3 +570,4 @@ SELECT doc_id, unnest(ids) AS entity_id FROM f""",
 SELECT d.source, d.target, source_tag, target_tag FROM (SELECT DISTINCT source, target FROM f) d LEFT JOIN a ON a.source = d.source AND a.target = d.target LEFT JOIN b ON b.source = d.source AND b.target = d.target""",
 }
 SQL["src_s14_graphml"] = f"WITH {_E} SELECT DISTINCT md5(s) || '|' || st AS source, md5(t) || '|' || tt AS target FROM e"
+SQL["bayes_b18b_unflatten"] = f"WITH {_NET}, {_TABLE} SELECT node, config, round(1 - round({_CPT}, 6), 6) AS p FROM f"

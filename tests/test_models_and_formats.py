@@ -250,3 +250,48 @@ def test_pair_loss_is_over_all_drugs(spark, small):
         want = pooled.agg(F.count_distinct("scenario").alias("n"), F.sum(F.pow(F.col("target") - 0.1, 2)).alias("loss")).first()
         row = got.first()
         assert row.n_scenarios == want.n > 78 and row.loss == pytest.approx(want.loss, abs=1e-4)
+
+
+def _tiny(spark):
+    nodes = spark.createDataFrame([("a", "prepare"), ("b", "prepare"), ("e", "side_e"), ("f", "side_e")], "node_id string, tag string")
+    parents = spark.createDataFrame([("e", "a", 0), ("e", "b", 1), ("f", "e", 0)], "node string, parent string, pos int")
+    cpt = spark.createDataFrame([("a", "", 0.3), ("b", "", 0.6)] + [("e", f"{i},{j}", 0.1 + 0.2 * i + 0.3 * j) for i in (0, 1) for j in (0, 1)] + [("f", "0", 0.2), ("f", "1", 0.7)], "node string, config string, p double")
+    return B.Network(nodes, parents, cpt)
+
+
+def test_fits_of_a_network(spark):
+    """Gradients agree with differences, every fit lowers the loss, bounds and fixed entries hold."""
+    n = _tiny(spark)
+    evidence = np.array([[1, -1, -1, -1], [-1, 1, -1, -1], [0, 0, -1, -1], [-1, -1, -1, -1]], float)
+    targets = np.array([[np.nan, np.nan, 0.5, 0.4], [np.nan, np.nan, 0.7, np.nan], [np.nan, np.nan, 0.05, 0.1], [np.nan, np.nan, 0.4, 0.3]])
+    for dropped in (set(), {(2, 0)}):
+        n.dropped = dropped
+        for a, b in zip(n.gradient(evidence, targets)[1], n.numeric_gradient(evidence, targets)):
+            assert np.allclose(a, b, atol=1e-6)
+    n.dropped = set()
+    start, first = [t.copy() for t in n.tables], n.loss(evidence, targets)
+
+    def fresh():
+        n.tables = [t.copy() for t in start]
+        return n
+
+    losses = fresh().fit_quasi_newton(evidence, targets)
+    assert all(x >= y for x, y in zip(losses, losses[1:])) and losses[-1] < 0.05 * first and all((t >= 1e-5).all() and (t <= 0.9999999).all() for t in n.tables)
+    assert losses[-1] <= fresh().fit_projected(evidence, targets)[-1] + 1e-9
+    assert fresh().fit_numeric(evidence, targets, 10)[-1] < first
+    for schedule in ("cosine", "exponential", "plateau"):
+        for rectified in (False, True):
+            assert fresh().fit(evidence, targets, 80, schedule=schedule, rectified=rectified)[-1] < first
+    near = fresh().fit(evidence, targets, 80, prior=100.0) and [np.abs(t - s).max() for t, s in zip(n.tables, start)]
+    assert max(near) < 0.05
+    fixed = [np.ones(len(t), bool) for t in start]
+    fresh().fit(evidence, targets, 20, fixed=fixed, decay=0.1)
+    assert all(np.allclose(t, s) for t, s in zip(n.tables, start))
+    folds = B.cross_validate(fresh(), evidence, targets, np.array([0, 1, 0, 1]), epochs=30, drop_entries=0.2, drop_parents=0.2)
+    assert [f for f, _, _ in folds] == [0, 1] and all(np.allclose(t, s) for t, s in zip(n.tables, start))
+
+
+def test_networks_too_large_for_the_driver_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(B, "MOST_PARAMETERS", 5)
+    with pytest.raises(ValueError, match="do not fit"):
+        _tiny(spark)

@@ -29,6 +29,8 @@ LANGUAGES = ("ru", "en", "de", "lv", "uk")
 K = len(LANGUAGES)
 #: The bound of the training sample.
 PER_LANGUAGE, SAMPLE_CHARS = 200, 4000
+#: Training ends when so many rounds lower the best loss by less than this share; a guard against no end.
+WINDOW, SETTLED, MOST_ROUNDS = 10, 0.1, 1_000
 #: Words whose emissions a worker remembers; characters it labels at once.
 MEMORY, CHUNK = 300_000, 1_500_000
 #: A document counts as mixed only if another language's lines hold at least this posterior.
@@ -73,33 +75,40 @@ def _padded(sequences: list[tuple[list[int], list[bool]]]) -> tuple[np.ndarray,
 def marginals(emissions: np.ndarray, breaks: np.ndarray, there: np.ndarray, within: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of every label, and expected transitions within lines and across line breaks.
 
-    ``emissions`` (sequences, steps, labels), ``within`` and ``across`` are positive factors, not logarithms.
+    ``emissions`` (sequences, steps, labels), ``within`` and ``across`` are positive factors, not logarithms; ``there`` marks
+    the steps of each sequence, from its first on.
     """
     n, steps, _ = emissions.shape
-    alpha, beta = np.empty_like(emissions), np.empty_like(emissions)
+    lengths = there.sum(1)
+    # longest first, so that at each step the sequences still going are the first ones
+    order = np.argsort(-lengths, kind="stable")
+    e, at_break = emissions[order], breaks[order]
+    alive = [int((lengths > t).sum()) for t in range(steps)]
+    alpha, beta = np.zeros_like(e), np.zeros_like(e)
     a = np.full((n, K), 1 / K)
-    for t in range(steps):
-        new = emissions[:, t] * (np.where(breaks[:, t, None], a @ across, a @ within) if t else a)
-        new /= new.sum(1, keepdims=True)
-        a = np.where(there[:, t, None], new, a)
-        alpha[:, t] = a
+    for t, k in enumerate(alive):
+        new = e[:k, t] * (np.where(at_break[:k, t, None], a[:k] @ across, a[:k] @ within) if t else a[:k])
+        a[:k] = new / new.sum(1, keepdims=True)
+        alpha[:k, t] = a[:k]
     counts = [np.zeros((K, K)), np.zeros((K, K))]
     b = np.ones((n, K))
     for t in range(steps - 1, -1, -1):
-        beta[:, t] = b
-        if t:
-            eb = emissions[:, t] * b
+        k = alive[t]
+        beta[:k, t] = b[:k]
+        if t and k:
+            eb = e[:k, t] * b[:k]
             for flag, m in ((False, within), (True, across)):
-                use = there[:, t] & (breaks[:, t] == flag)
-                if use.any():
-                    pair = alpha[use, t - 1][:, :, None] * m * eb[use][:, None, :]
-                    counts[flag] += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-            new = np.where(breaks[:, t, None], eb @ across.T, eb @ within.T)
-            new /= new.sum(1, keepdims=True)
-            b = np.where(there[:, t, None], new, b)
+                use = np.nonzero(at_break[:k, t] == flag)[0]
+                if len(use):
+                    before = alpha[use, t - 1]
+                    counts[flag] += m * ((before / ((before @ m) * eb[use]).sum(1, keepdims=True)).T @ eb[use])
+            new = np.where(at_break[:k, t, None], eb @ across.T, eb @ within.T)
+            b[:k] = new / new.sum(1, keepdims=True)
     post = alpha * beta
-    post /= post.sum(2, keepdims=True)
-    return post * there[:, :, None], counts[0], counts[1]
+    post /= np.maximum(post.sum(2, keepdims=True), 1e-300)
+    out = np.empty_like(post)
+    out[order] = post
+    return out * there[:, :, None], counts[0], counts[1]
 
 
 def _vote(documents: list[list[list[str]]], labels: list[int]) -> list[list[int]]:
@@ -114,8 +123,8 @@ def _vote(documents: list[list[list[str]]], labels: list[int]) -> list[list[int]
     return [[int(np.argmax(sum((logs[w] for w in line), none))) if line else -1 for line in lines] for lines in documents]
 
 
-def train(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 0.25, ridge: float = 1e-4) -> Field:
-    """Fit the field to (text, label) rows by gradient ascent on the likelihood of the voted labels."""
+def train(rows: list[tuple[str, str]], settled: float = SETTLED, rate: float = 0.25, ridge: float = 1e-4) -> Field:
+    """Fit the field to (text, label) rows by gradient ascent on the likelihood of the voted labels, until it settles."""
     documents = [[[w.lower() for w in re.findall(r"[^\W\d_]+", line)] for line in text.split("\n")] for text, _ in rows]
     voted = _vote(documents, [LANGUAGES.index(label) for _, label in rows])
     vocabulary: dict[str, int] = {}
@@ -153,13 +162,17 @@ def train(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 0.25, rid
     past = [np.full(weights.shape, 1e-8), np.full((K, K), 1e-8), np.full((K, K), 1e-8)]
     flat = words[there]
     total = len(flat)
-    for _ in range(rounds):
+    losses: list[float] = []
+    for _ in range(MOST_ROUNDS):
         by_word = np.zeros((len(vocabulary), K))
         for k in range(K):
             by_word[:, k] = np.bincount(rows_at, weights[cols_at, k], len(vocabulary))
         e = np.exp(by_word - by_word.max(1, keepdims=True))[words]
         post, within, across = marginals(e, breaks, there, np.exp(trans[0]), np.exp(trans[1]))
         off = (gold - post)[there]
+        losses.append(float(-np.log(np.maximum((gold * post).sum(2)[there], 1e-12)).mean()))
+        if len(losses) > 2 * WINDOW and min(losses[-WINDOW:]) > (1 - settled) * min(losses[:-WINDOW]):
+            break
         grads = [np.empty_like(weights), (gold_within - within) / total - ridge * trans[0], (gold_across - across) / total - ridge * trans[1]]
         for k in range(K):
             per = np.bincount(flat, off[:, k], len(vocabulary))

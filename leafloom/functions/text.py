@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafloom.functions.lemmas import LEMMA_CORRECTIONS
 from leafloom.functions.rules import S, W, Rules, apply, strip
 
 #: Spacing rules of leaflet text, in order.
@@ -56,8 +57,8 @@ SENTENCE_END = rf"([.!?…][»”\")]?)[{S}]+(?=[\p{{Lu}}\p{{N}}«„“\"])"
 SENTENCE_BREAKS: Rules = [("\n\n+", "\n"), ("\n,", ","), (r" ч\. ", " ч.\n"), (r"/ч\. ", "/ч.\n"), (r" тел\. ", " тел.\n"), (r" с\. ", " с.\n")]
 #: Stems by mineral.
 MINERALS = {
-    "калий": "кали[еиьяюймо]м?", "магний": "магни[еиьяюймо]м?", "натрий": "натри[еиьяюймо]м?", "кальций": "кальц[иеьяюймо]м?", "железо": "желез[аоиью]м?",
-    "цинк": "цинк[аеуом]?", "медь": "медь|меди|медью", "селен": "селен[аеуом]?", "марганец": "марган[еиьяюйцом]м?", "хром": "хром[аеуом]?",
+    "калий": "кали[еиьяюймо]м?", "магний": "магни[еиьяюймо]м?", "натрий": "натри[еиьяюймо]м?", "кальций": "кальц[иеиьяюймо]м?", "железо": "желез[аоиью]м?",
+    "цинк": "цинк[аеуом]?", "медь": "медь|меди|медью", "селен": "селен[аеуом]?", "марганец": "марган[еиьяюйцеом]м?", "хром": "хром[аеуом]?",
 }
 #: Headers of the pharmacotherapeutic group and the ATC code.
 ATC_HEADER = rf"(?:[Кк][Оо][Дд])[{S}]+[АAаa][ТTтt][ХXхx]:"
@@ -86,10 +87,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"([{W}]+|[^{W}{S}])"))
 
 
+def corrected(lemma: Column) -> Column:
+    """The lemma, or the right one where an analyser is known to be wrong."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEMMA_CORRECTIONS.items() for x in kv]), lemma), lemma)
+
+
 def lemmatize(text: Column, lemmas: dict[str, str] | Column) -> Column:
-    """Each token by its lemma (a map, small by nature), then spacing; null and empty text stay as they are."""
+    """Each token by its lemma, corrected, then spacing; null and empty text stay as they are.
+
+    ``lemmas`` is a map, small by nature; a dictionary of any size is joined by ``relational.lemmatized``.
+    """
     table = lemmas if isinstance(lemmas, Column) else F.create_map(*[F.lit(x) for kv in (lemmas or {"": ""}).items() for x in kv])
-    joined = F.array_join(F.transform(tokens(protect_entities(text)), lambda t: F.coalesce(F.element_at(table, F.lower(t)), F.lower(t))), " ")
+    joined = F.array_join(F.transform(tokens(protect_entities(text)), lambda t: corrected(F.coalesce(F.element_at(table, F.lower(t)), F.lower(t)))), " ")
     return F.when(text.isNull() | (text == ""), text).otherwise(restore_entities(normalize_text(joined, terms=False)))
 
 

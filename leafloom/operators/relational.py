@@ -213,15 +213,15 @@ def induced_lemmas(words: DataFrame) -> DataFrame:
 
 
 def lemmatized(df: DataFrame, key: str, column: str, lemmas: DataFrame) -> DataFrame:
-    """(key, lemmas): the words and signs of a text in lower case, each by its lemma (word, lemma) where it has one.
+    """(key, lemmas): the words and signs of a text in lower case, each by its lemma (word, lemma) where it has one, corrected.
 
     Each different text is looked up once; its words meet the table by a join, so a dictionary of any size will do.
     """
-    from leafloom.functions.text import tokens
+    from leafloom.functions.text import corrected, tokens
 
     texts = df.select(F.col(column).alias("__text")).filter("__text IS NOT NULL").distinct()
     words = texts.select("__text", F.posexplode(tokens(F.lower("__text"))).alias("i", "word")).join(lemmas.select("word", "lemma"), "word", "left")
-    joined = words.groupBy("__text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("lemma", "word").alias("w")))), lambda x: x["w"]), " ").alias("lemmas"))
+    joined = words.groupBy("__text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", corrected(F.coalesce("lemma", "word")).alias("w")))), lambda x: x["w"]), " ").alias("lemmas"))
     out = df.join(joined, F.col(column) == F.col("__text"), "left").drop("__text")
     return out.select(key, F.when(F.col(column).isNotNull(), F.coalesce("lemmas", F.lit(""))).alias("lemmas"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafloom.common import cut, shared_dir, table
 from leafloom.functions import text as T
+from leafloom.functions.lemmas import LEMMA_CORRECTIONS
 from leafloom.functions.rules import S, strip, strip_sql
 from leafloom.operators import extraction
 from leafloom.operators import relational as R
@@ -232,6 +233,7 @@ _TOKENS = r"regexp_extract_all(lower(effect), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{
 _LEMMA = f"""n AS (SELECT w AS word, count(*) AS k FROM (SELECT unnest({_TOKENS}) AS w FROM side_effects WHERE effect IS NOT NULL) GROUP BY 1),
   s AS (SELECT word, k, CASE WHEN length(word) < 5 THEN word ELSE substr(word, 1, greatest(4, length(word) - 3)) END AS stem FROM n),
   m AS (SELECT stem, arg_min(word, (-k, length(word), word)) AS lemma FROM s GROUP BY 1), lem AS (SELECT word, lemma FROM s JOIN m USING (stem))"""
+_CORRECTED = "CASE coalesce(lemma, word) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEMMA_CORRECTIONS.items()) + " ELSE coalesce(lemma, word) END"
 _PAGE = """g AS (SELECT DISTINCT drug, md5(drug_group) AS grp FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL),
   n AS (SELECT grp, md5(section) AS sec, md5(lower(freq)) AS eff, count(*) AS n FROM side_effects JOIN g USING (drug) WHERE section IS NOT NULL AND freq IS NOT NULL GROUP BY 1, 2, 3),
   p AS (SELECT grp, sec, CAST(sum(n) AS BIGINT) AS sn FROM n GROUP BY 1, 2), t AS (SELECT grp, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY 1)"""
@@ -257,5 +259,5 @@ SELECT lower(drug_group) AS drug, {strip_sql('lower(section)')} AS effect, n AS
     "ext_l17_leaflet_document": "SELECT CAST(id AS INT) AS num_prepare, translate(md5(drug), '0123456789', 'ghijklmnop') AS name, coalesce(translate(md5(drug_group), '0123456789', 'ghijklmnop'), 'none') AS dlc, 'T' || id AS trade_name, translate(md5(drug), '0123456789', 'ghijklmnop') AS indications, coalesce(translate(md5(drug_group), '0123456789', 'ghijklmnop'), 'none') AS contraindications, 3 AS n_found FROM drugs WHERE drug IS NOT NULL",
     "fn_x36_group_and_atc": "SELECT id, md5(drug_group) || '|прочие средства' AS groups, 'C' || lpad(CAST(id % 100 AS VARCHAR), 2, '0') || 'AA' || lpad(CAST(id % 90 AS VARCHAR), 2, '0') AS atc_code, md5(drug) AS rest FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL",
     "fn_x04b_induced_lemmas": f"WITH {_LEMMA} SELECT word, lemma FROM lem",
-    "fn_x05b_lemma_join": f"WITH {_LEMMA}, w AS (SELECT id, unnest({_TOKENS}) AS word, unnest(range(len({_TOKENS}))) AS i FROM side_effects WHERE effect IS NOT NULL), j AS (SELECT id, string_agg(coalesce(lemma, word), ' ' ORDER BY i) AS lemmas FROM w LEFT JOIN lem USING (word) GROUP BY 1) SELECT id, coalesce(lemmas, '') AS lemmas FROM side_effects LEFT JOIN j USING (id) WHERE effect IS NOT NULL",
+    "fn_x05b_lemma_join": f"WITH {_LEMMA}, w AS (SELECT id, unnest({_TOKENS}) AS word, unnest(range(len({_TOKENS}))) AS i FROM side_effects WHERE effect IS NOT NULL), j AS (SELECT id, string_agg({_CORRECTED}, ' ' ORDER BY i) AS lemmas FROM w LEFT JOIN lem USING (word) GROUP BY 1) SELECT id, coalesce(lemmas, '') AS lemmas FROM side_effects LEFT JOIN j USING (id) WHERE effect IS NOT NULL",
 }

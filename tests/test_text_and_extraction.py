@@ -169,3 +169,15 @@ def test_brackets_of_any_depth(spark):
 
 def test_letters_of_wide_joined_and_accented_forms(spark):
     assert _one(spark, T.letters_only(F.col("t")), "Éﬁ ｗＩ-де ё й 1") == "efiwiдееи"
+
+
+def test_lemmas_from_a_table_and_their_corrections(spark):
+    from leafloom.operators import relational as R
+
+    words = spark.createDataFrame([(w,) for w in ("тошнота", "тошноты", "тошноты", "зуд", None, "болью", "боль")], "word string")
+    lemmas = R.induced_lemmas(words)
+    assert {r.word: r.lemma for r in lemmas.collect()} == {"тошнота": "тошноты", "тошноты": "тошноты", "зуд": "зуд", "болью": "боль", "боль": "боль"}
+    table = spark.createDataFrame([("капли", "капля"), ("отеки", "отечь")], "word string, lemma string")
+    rows = spark.createDataFrame([(1, "Отеки, капли!"), (2, ""), (3, None), (4, "отеки, капли!")], "id int, text string")
+    assert {r.id: r.lemmas for r in R.lemmatized(rows, "id", "text", table).collect()} == {1: "отёк , капля !", 2: "", 3: None, 4: "отёк , капля !"}
+    assert _one(spark, T.lemmatize(F.col("t"), {"отеки": "отечь"}), "Отеки") == "отёк"

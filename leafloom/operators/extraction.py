@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +164,11 @@ TRASH_CHAPTERS = ["Клинические данные", "Фармацевтич
 REPORTING_MARK = "\nСообщение о подозреваемых нежелательных реакциях\n"
 
 
+def contains_any_of(text: Column, words: list[str]) -> Column:
+    """Whether one of the words stands in the text, as it is written."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+
+
 def _flexible(header: str) -> str:
     return rf"[{S}]+".join(re.escape(w) for w in header.split())
 
@@ -172,8 +178,10 @@ def chapters(text: Column) -> Column:
     def hit(low: Column, names: list[str]) -> Column:
         alternatives = "|".join(_flexible(n.lower()) for n in names)
         pattern = rf"(?<![\p{{L}}\p{{N}}_])(?:[{S}]*(?:\d+(?:\.\d+)*)[{S}]*)?(?:{alternatives})(?![\p{{L}}\p{{N}}_])"
-        start = F.regexp_instr(low, F.lit(pattern))
-        return F.struct(start.alias("start"), (start + F.length(F.regexp_substr(low, F.lit(pattern)))).alias("stop"))
+        # most texts lack most headers: the pattern is tried only where the longest word of one of them stands
+        there = contains_any_of(low, sorted({max(n.lower().split(), key=len) for n in names}))
+        start = F.when(there, F.regexp_instr(low, F.lit(pattern))).otherwise(0)
+        return F.struct(start.alias("start"), F.when(start > 0, start + F.length(F.regexp_substr(low, F.lit(pattern)))).alias("stop"))
 
     found = bind(F.lower(text), lambda low: F.filter(F.array(*[F.struct(F.lit(c).alias("name"), hit(low, [c, *v]).alias("at")) for c, v in CHAPTERS.items()]), lambda x: x["at"]["start"] > 0))
 

@@ -571,3 +571,24 @@ SELECT d.source, d.target, source_tag, target_tag FROM (SELECT DISTINCT source,
 }
 SQL["src_s14_graphml"] = f"WITH {_E} SELECT DISTINCT md5(s) || '|' || st AS source, md5(t) || '|' || tt AS target FROM e"
 SQL["bayes_b18b_unflatten"] = f"WITH {_NET}, {_TABLE} SELECT node, config, round(1 - round({_CPT}, 6), 6) AS p FROM f"
+#: A text with a mark behind every sentence; the sign that begins the next one is taken and put back.
+_BEGINS = r"[^a-zа-яё_\s\p{Z}\p{P}\p{S}\p{M}\p{C}]|[«„“\"]"
+_MARKED = "text"
+for _ in range(2):
+    _MARKED = rf"regexp_replace({_MARKED}, '([.!?…][»”\")]?[\s\p{{Z}}]+)({_BEGINS})', '\1' || chr(1) || '\2', 'g')"
+_MARKED = rf"regexp_replace({_MARKED}, '(\n+)', '\1' || chr(1), 'g')"
+SQL["ner_f06_sentences"] = rf"""WITH RECURSIVE f AS ({SQL['ner_f02_spans']}), x AS (SELECT e.doc_id, f.entity_id, f.start_offset AS s, f.end_offset AS e FROM f JOIN entities e USING (entity_id)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, entity_id) AS no FROM x),
+  w(doc_id, no, ids, ls, le) AS (SELECT doc_id, no, [entity_id], s, e FROM o WHERE no = 1
+    UNION ALL SELECT o.doc_id, o.no, CASE WHEN o.s >= le THEN list_append(ids, o.entity_id) WHEN le - ls < o.e - o.s THEN list_append(ids[1:len(ids) - 1], o.entity_id) ELSE ids END,
+      CASE WHEN o.s >= le OR le - ls < o.e - o.s THEN o.s ELSE ls END, CASE WHEN o.s >= le OR le - ls < o.e - o.s THEN o.e ELSE le END FROM w JOIN o ON o.doc_id = w.doc_id AND o.no = w.no + 1),
+  k AS (SELECT doc_id, unnest(ids) AS entity_id FROM (SELECT doc_id, arg_max(ids, no) AS ids FROM w GROUP BY 1)),
+  p AS (SELECT doc_id, unnest(string_split(m, chr(1))) AS piece, unnest(range(len(string_split(m, chr(1))))) AS i FROM (SELECT doc_id, {_MARKED} AS m FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM entities))),
+  q AS (SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM p),
+  z AS (SELECT doc_id, b - length(piece) AS a, b, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_no FROM q WHERE regexp_matches(piece, '[^\s\p{{Z}}]')),
+  c AS (SELECT x.entity_id, x.doc_id, z.sent_no FROM x JOIN k USING (doc_id, entity_id) JOIN z ON z.doc_id = x.doc_id AND z.a <= x.s AND x.s < z.b),
+  l AS (SELECT DISTINCT least(from_id, to_id) AS lo, greatest(from_id, to_id) AS hi FROM relations WHERE from_id IS NOT NULL AND to_id IS NOT NULL),
+  n AS (SELECT doc_id, sent_no, count(*) AS n_entities FROM c GROUP BY 1, 2),
+  r AS (SELECT u.doc_id, u.sent_no, count(*) AS n FROM relations JOIN c u ON u.entity_id = from_id JOIN c v ON v.entity_id = to_id AND v.doc_id = u.doc_id AND v.sent_no = u.sent_no GROUP BY 1, 2),
+  m AS (SELECT u.doc_id, u.sent_no, count(*) AS n FROM c u JOIN c v ON v.doc_id = u.doc_id AND v.sent_no = u.sent_no AND u.entity_id < v.entity_id LEFT JOIN l ON lo = u.entity_id AND hi = v.entity_id WHERE lo IS NULL GROUP BY 1, 2)
+SELECT doc_id, CAST(sent_no AS INT) AS sent_no, CAST(n_entities AS INT) AS n_entities, coalesce(r.n, 0) AS n_relations, coalesce(m.n, 0) AS n_missing FROM n LEFT JOIN r USING (doc_id, sent_no) LEFT JOIN m USING (doc_id, sent_no)"""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from leafloom.common import spread, table
 from leafloom.functions import text as T
-from leafloom.functions.rules import S, W, apply_sql, strip_sql
+from leafloom.functions.lemmas import LEMMA_CORRECTIONS
+from leafloom.functions.rules import S, W, apply_sql, quote, strip, strip_sql
 from leafloom.operators import annotation, extraction
 from leafloom.operators import relational as R
 from leafloom.sources.writers import escape_xml
@@ -180,10 +181,11 @@ def fn_x40_detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_l01_side_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaflets assembled from the records of each drug and taken apart again."""
-    rows = table(spark, sf_dir, "side_effects").filter("effect RLIKE '^[а-яё ]{5,}$' AND section IS NOT NULL AND freq IS NOT NULL")
-    classes = [r.section for r in table(spark, sf_dir, "effect_terms").select("section").distinct().collect()]  # a fixed list
-    per = rows.filter(F.col("section").isin(classes)).groupBy("drug", "section", F.lower("freq").alias("freq")).agg(F.array_join(F.array_sort(F.collect_set("effect")), ", ").alias("e"))
+    """Leaflets assembled from all records of each drug and taken apart again; effects stand as letters of their digest."""
+    rows = table(spark, sf_dir, "side_effects").filter("drug IS NOT NULL AND section IS NOT NULL AND effect IS NOT NULL").select("drug", strip(F.col("section")).alias("section"), strip(F.replace(F.lower("freq"), F.lit(":"), F.lit(""))).alias("freq"), F.translate(F.md5("effect"), "0123456789", "ghijklmnop").alias("effect"))
+    rows = rows.filter(F.col("freq").isin(extraction.FREQUENCY_WORDS))
+    classes = [r.section for r in rows.select("section").distinct().collect()]  # the organ classes: a list
+    per = rows.groupBy("drug", "section", "freq").agg(F.array_join(F.array_sort(F.collect_set("effect")), ", ").alias("e"))
     blocks = per.groupBy("drug", "section").agg(F.array_join(F.array_sort(F.collect_list(F.concat("freq", F.lit(": "), "e"))), "; ").alias("b"))
     leaflets = blocks.groupBy("drug").agg(F.array_join(F.array_sort(F.collect_list(F.concat("section", F.lit("\n"), "b"))), "\n").alias("text"))
     return extraction.side_effect_rows(leaflets, "text", classes, ["drug"]).select("drug", "section", "freq", "ord", "effect")
@@ -197,7 +199,7 @@ def ext_l03_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ext_l04_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL")).select("doc_id", extraction.chapters(F.col("text")).alias("c"))
-    return docs.select("doc_id", extraction.chapter_stats(F.col("c")).alias("s")).select("doc_id", "s.found_count", "s.not_found_count", F.array_join("s.not_found_list", "|").alias("missing"))
+    return docs.select("doc_id", F.inline(F.array(extraction.chapter_stats(F.col("c"))))).select("doc_id", "found_count", "not_found_count", F.array_join("not_found_list", "|").alias("missing"))
 
 
 def ext_l05_contraindications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,3 +307,51 @@ SQL |= {
     "ext_l14_elimination": f"SELECT doc_id, CAST(len(list_filter(s, lambda x: {_MATCHES(R.ELIMINATION)})) AS INT) AS n_elimination, CAST(len(list_filter(s, lambda x: {_MATCHES(R.PROTEIN_BINDING)})) AS INT) AS n_binding FROM (SELECT doc_id, {_sentences_sql(_PHARMACO, False, True)} AS s FROM documents WHERE text IS NOT NULL)",
     "ext_l02_chapter": "SELECT doc_id, CAST(length(nullif(x, '')) AS INT) AS n_chars FROM (SELECT doc_id, " + _clear(_section_sql("text_side_e", "chr(10) || 'Побочное действие' || chr(10) || text || chr(10) || 'Передозировка'")) + " AS x FROM documents WHERE text IS NOT NULL)",
 }
+
+
+def _chapters_sql() -> str:
+    """(doc_id, found, missing): headers that stand in a text by themselves, numbered or not."""
+    expected = [c for c in extraction.CHAPTERS if c not in extraction.TRASH_CHAPTERS]
+    said = lambda c: "|".join(extraction._flexible(n.lower()) for n in [c, *extraction.CHAPTERS[c]])
+    hits = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^{W}])([{S}]*(\\d+(\\.\\d+)*)[{S}]*)?({said(c)})($|[^{W}])') THEN '{c}' END" for c in expected)
+    names = "[" + ", ".join(f"'{c}'" for c in expected) + "]"
+    return f"SELECT doc_id, found, list_filter({names}, lambda x: NOT list_contains(found, x)) AS missing FROM (SELECT doc_id, list_filter([{hits}], lambda x: x IS NOT NULL) AS found FROM documents WHERE text IS NOT NULL)"
+
+
+SQL["ext_l04_chapters"] = f"SELECT doc_id, CAST(len(found) AS INT) AS found_count, CAST(len(missing) AS INT) AS not_found_count, array_to_string(missing, '|') AS missing FROM ({_chapters_sql()})"
+SQL["proj_p07_complete"] = f"SELECT len(found) = 13 OR len(found) = 12 AND missing = ['Фармакокинетические свойства'] AS kept, count(*) AS n FROM ({_chapters_sql()}) WHERE len(missing) BETWEEN 1 AND 13 GROUP BY 1"
+
+
+def _contraindications_sql() -> str:
+    """Steps of the extractor over lists, after all pairs of brackets are taken out."""
+    stems = " OR ".join(f"contains(lower(x), '{stem.lower()}')" for stem in R.STOP_STEMS)
+    part = rf"string_split_regex({strip_sql(apply_sql('t', T.BULLETS))}, '\n-|;[{S}]*-|:[{S}]*-|;\n')"
+    kept = rf"regexp_replace(x, '(\d)[{S}]*,[{S}]*(\d)', '\1__COMMA__\2', 'g')"
+    item = strip_sql("replace(y, '__COMMA__', ',')")
+    tidy = strip_sql(apply_sql("x", T.UNMATCHED + [(rf"^[^\p{{L}}\p{{N}}_{S}()]+", ""), (rf"[^\p{{L}}\p{{N}}_{S}()]+$", "")]))
+    return f"""WITH RECURSIVE r(doc_id, t, n) AS (SELECT doc_id, text, 0 FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, regexp_replace(t, '{T.INNERMOST}', '', 'g'), n + 1 FROM r WHERE regexp_matches(t, '{T.INNERMOST}')),
+  a AS (SELECT doc_id, arg_max(t, n) AS t FROM r GROUP BY 1),
+  f AS (SELECT doc_id, list_filter(list_transform({part}, lambda x: {strip_sql(f"regexp_replace(x, '[{S}]+', ' ', 'g')")}), lambda x: x <> '') AS fs FROM a),
+  b AS (SELECT doc_id, list_filter(flatten(list_transform(fs, lambda x: {_sentences_sql('x', False, False)})), lambda x: x <> '' AND NOT ({stems})) AS ss FROM f),
+  i AS (SELECT doc_id, flatten(list_transform(ss, lambda x: list_filter(list_transform(string_split_regex({kept}, '[;:.,]'), lambda y: {item}), lambda y: y <> ''))) AS xs FROM b),
+  k AS (SELECT doc_id, list_filter(list_transform(xs, lambda x: {tidy}), lambda x: x <> '' AND NOT ({stems}) AND length(x) <= 60) AS xs FROM i),
+  u AS (SELECT doc_id, list_filter(xs, lambda x, j: list_position(xs, x) = j) AS xs FROM k)
+SELECT doc_id, CAST(len(xs) AS INT) AS n, md5(array_to_string(xs, '|')) AS items_md5 FROM u"""
+
+
+def _lemmas_sql() -> str:
+    fixed = "CASE w " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in LEMMA_CORRECTIONS.items()) + " ELSE w END"
+    tokens = r"regexp_extract_all(effect, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')"
+    joined = apply_sql("t", T.TIDY + T.AT_MOST)
+    return f"""WITH m AS (SELECT DISTINCT w AS word, substr(w, 1, length(w) - 1) AS lemma FROM (SELECT unnest(string_split_regex(term, '[{S}]+')) AS w FROM effect_terms) WHERE length(w) > 4),
+  e AS (SELECT id, lower(unnest({tokens})) AS word, unnest(range(len({tokens}))) AS i FROM side_effects WHERE effect IS NOT NULL), l AS (SELECT id, i, coalesce(lemma, e.word) AS w FROM e LEFT JOIN m USING (word)),
+  j AS (SELECT id, string_agg({fixed}, ' ' ORDER BY i) AS t FROM l GROUP BY 1)
+SELECT id, coalesce({joined}, effect) AS lemmas FROM (SELECT id, effect, CASE WHEN effect = '' THEN '' ELSE coalesce(t, '') END AS t FROM side_effects LEFT JOIN j USING (id) WHERE effect IS NOT NULL)"""
+
+
+_FREQ = strip_sql("replace(lower(freq), ':', '')")
+SQL |= {
+    "ext_l01_side_effects": f"WITH n AS (SELECT DISTINCT drug, {strip_sql('section')} AS section, {_FREQ} AS freq, translate(md5(effect), '0123456789', 'ghijklmnop') AS effect FROM side_effects WHERE drug IS NOT NULL AND section IS NOT NULL AND effect IS NOT NULL) SELECT drug, section, freq, CAST(row_number() OVER (PARTITION BY drug, section, freq ORDER BY effect) - 1 AS INT) AS ord, effect FROM n WHERE freq IN ({', '.join(map(quote, extraction.FREQUENCY_WORDS))})",
+    "ext_l05_contraindications": _contraindications_sql(),
+    "fn_x04_lemmatize": _lemmas_sql(),
+}

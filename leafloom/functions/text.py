@@ -25,7 +25,6 @@ ENTITIES = {"&gt;": "__GT__", "&lt;": "__LT__", "&amp;": "__AMP__", "&quot;": "_
 #: Bracket rules.
 PLAIN_BRACKETS: Rules = [(r"(?s)\(.*?\)", ""), (r"(?s)\[.*?\]", ""), (r"(?s)\{.*?\}", "")]
 INNERMOST = r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}"
-INNERMOST_MIXED = r"[\[({][^\[\](){}]*[\])}]"
 UNMATCHED: Rules = [(r"\([^)]*$", ""), (r"\[[^\]]*$", ""), (r"\{[^}]*$", ""), (r"^[^(]*\)", ""), (r"^[^\[]*\]", ""), (r"^[^{]*\}", ""), (r"[()\[\]{}]", "")]
 #: Cleaning of a chapter of side effects; the last part works on lines.
 CHAPTER: Rules = [("\r\n", " "), (" ", " "), ("ё", "е"), (r"\(см\.[^)]*\)", "")]

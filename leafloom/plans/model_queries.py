@@ -316,6 +316,11 @@ def comb_n03_pairs(spark: SparkSession, d: str) -> DataFrame:
     return combinations.pair_classes(w, w.select(F.col("drug_id").alias("id")).distinct())
 
 
+def comb_j11_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All unordered pairs of drug groups by their ids."""
+    return combinations.pairs(_ids(spark, d).select(F.col("drug_id").alias("id")).distinct())
+
+
 def comb_n04_triples(spark: SparkSession, d: str) -> DataFrame:
     """Triples with a compatible pair (class 1), none of whose pairs is incompatible (class 3)."""
     w = _ids(spark, d)
@@ -505,6 +510,7 @@ SQL = {
     "comb_n01_rank_sums": f"WITH {_WEIGHTS}, s AS (SELECT se_id, sum(w) AS m FROM i WHERE drug_id IN (1, 2, 3) GROUP BY 1), k AS (SELECT se_id, {_CLASS.format('m')} AS class, round(m, 2) AS rank FROM s) SELECT class, CAST(row_number() OVER (PARTITION BY class ORDER BY rank DESC, se_id) AS INT) AS position, se_id, rank FROM k",
     "comb_n02_what_if": f"WITH {_WEIGHTS}, s AS (SELECT se_id, sum(w) AS m FROM i WHERE drug_id IN (1, 2) GROUP BY 1), k AS (SELECT drug_id, max(m + w) AS m FROM i JOIN s USING (se_id) WHERE drug_id NOT IN (1, 2) GROUP BY 1) SELECT drug_id, {_CLASS.format('m')} AS class FROM k WHERE m >= 0.5",
     "comb_n03_pairs": f"WITH {_WEIGHTS}, k AS (SELECT a.drug_id AS id1, b.drug_id AS id2, max(a.w + b.w) AS m FROM i a JOIN i b ON a.se_id = b.se_id AND a.drug_id < b.drug_id GROUP BY 1, 2) SELECT id1, id2, {_CLASS.format('m')} AS class, round(m, 2) AS rank FROM k",
+    "comb_j11_pairs": f"WITH {_WEIGHTS}, d AS (SELECT DISTINCT drug_id AS id FROM i) SELECT a.id AS id1, b.id AS id2 FROM d a JOIN d b ON a.id < b.id",
     "comb_n04_triples": f"WITH {_WEIGHTS}, d AS (SELECT DISTINCT drug_id AS id FROM i), k AS (SELECT x.drug_id AS p, y.drug_id AS q, {_CLASS.format('max(x.w + y.w)')} AS class FROM i x JOIN i y ON x.se_id = y.se_id AND x.drug_id < y.drug_id GROUP BY 1, 2) SELECT a.id AS a, b.id AS b, c.id AS c FROM d a JOIN d b ON a.id < b.id JOIN d c ON b.id < c.id LEFT JOIN k x ON (x.p, x.q) = (a.id, b.id) LEFT JOIN k y ON (y.p, y.q) = (a.id, c.id) LEFT JOIN k z ON (z.p, z.q) = (b.id, c.id) WHERE 1 IN (coalesce(x.class, 0), coalesce(y.class, 0), coalesce(z.class, 0)) AND 3 NOT IN (coalesce(x.class, 0), coalesce(y.class, 0), coalesce(z.class, 0))",
     "bayes_b01_marginals": f"WITH {_NET} SELECT g AS node, round(p, 5) AS p FROM q UNION ALL SELECT s, round({_MIX.format('p')}, 5) FROM e JOIN q USING (g) GROUP BY 1",
     "bayes_b02_evidence": f"WITH {_NET}, v AS (SELECT x.g AS given, y.g, CASE WHEN x.g = y.g THEN 1.0 ELSE y.p END AS p FROM q x CROSS JOIN q y) SELECT given, g AS node, round(p, 5) AS p FROM v UNION ALL SELECT given, s, round({_MIX.format('least(p, 1 - 1e-6)')}, 5) FROM e JOIN v USING (g) GROUP BY 1, 2",

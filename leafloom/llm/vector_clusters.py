@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafloom.common import cut, discard, parallel, skew_join, table
+from leafloom.common import cut, discard, parallel, skew_join
 from leafloom.llm.neighbours import SIMILAR_SQL, _units
 from leafloom.llm.vectors import DIMENSIONS, distinct_vectors, lists, matrix, members
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,21 @@ def src_k02_graph_tables(spark: SparkSession, d: str) -> DataFrame:
     return e.join(n.select(F.col("node_id").alias("src"), F.col("name").alias("source")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("name").alias("target")), "dst").select("source", "target").distinct()
 
 
+def src_s11_pdf(spark: SparkSession, d: str) -> DataFrame:
+    """A document with a page for each reference term, a header and a number in the margins, as lines."""
+    out = [b"%PDF-1.4\n1 0 obj<</MediaBox [0 0 595 842]>>endobj\n"]
+    for r in table(spark, d, "effect_terms").orderBy("term_id").select("term_id", "term").collect():  # a fixed list
+        said = r.term.encode("cp1251", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+        page = b"BT 1 0 0 1 50 800 Tm (Header) Tj 1 0 0 1 50 400 Tm (%d ) Tj (%s) Tj 0 -380 Td (page) Tj ET" % (r.term_id, said)
+        out.append(b"stream\n" + zlib.compress(page) + b"\nendstream\n")
+    with tempfile.TemporaryDirectory() as folder:
+        local = os.path.join(folder, "terms.pdf")
+        with open(local, "wb") as f:
+            f.write(b"".join(out))
+        path = publish(spark, local, "terms.pdf")
+    return readers.pdf_texts(spark, path, margin=70).select(F.explode(F.split("text", "\n")).alias("line"))
+
+
 # ---- sheets
 
 
@@ -242,6 +258,7 @@ _FLAT = lambda e: f"regexp_replace({e}, '[{S}]+', ' ', 'g')"
 SQL = {
     "src_s02_headers": f"SELECT CAST(id AS VARCHAR) AS id, md5(drug_en) AS drug_en, deleted_at IS NOT NULL AS deleted FROM drugs",
     "src_s04_relations": "SELECT CAST(rel_id AS VARCHAR) AS rel_id, CAST(from_id AS VARCHAR) AS from_id, CAST(to_id AS VARCHAR) AS to_id, rel_type FROM relations",
+    "src_s11_pdf": "SELECT term_id || ' ' || term AS line FROM effect_terms",
     "src_s17_database": "SELECT term_id, term FROM effect_terms WHERE section = (SELECT min(section) FROM effect_terms)",
     "src_s20_dictionary": "SELECT canonical, variant FROM synonyms",
     "src_s20b_raw": f"WITH {_RAW} SELECT drug, 'leaflet' AS source, section, freq, CAST(ord AS INT) AS ord, effect FROM r",

@@ -213,30 +213,71 @@ def rank_table(cells: DataFrame) -> DataFrame:
     return rows.groupBy("effect_ru").agg(F.max_by(F.struct("effect_en", "rank"), "row_no").alias("v")).select("effect_ru", "v.effect_en", "v.rank")
 
 
-def pdf_pages(content: bytes) -> str:
-    """Text of a simple PDF: the strings shown by its (deflated) content streams, a line for each text move."""
+_PDF_TOKEN = re.compile(rb"(?P<text>\((?:\\.|[^()\\])*\))|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<number>[-+]?(?:\d+\.?\d*|\.\d+))|(?P<op>T\*|T[dDmL](?![A-Za-z])|'|BT|ET)")
+_PDF_BOX = re.compile(rb"/MediaBox\s*\[\s*[-\d.]+\s+[-\d.]+\s+[-\d.]+\s+([-\d.]+)")
+
+
+def _pdf_string(token: bytes, encoding: str) -> str:
+    """A shown string: escapes undone, two-byte text by its mark, else in the given encoding."""
+    if token.startswith(b"<"):
+        raw = bytes.fromhex(token[1:-1].decode().translate({32: None, 10: None, 13: None, 9: None}))
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3})|\\(.)", lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1) else m.group(2), token[1:-1], flags=re.DOTALL)
+    return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode(encoding, "replace")
+
+
+def pdf_pages(content: bytes, margin: float = 0.0, encoding: str = "cp1251") -> str:
+    """Text of a simple PDF: the strings shown by its (deflated) content streams, a line for each text move.
+
+    Lines nearer than ``margin`` to the upper or lower edge of the page (headers, page numbers) are left out.
+    """
+    box = _PDF_BOX.search(content)
+    height = float(box.group(1)) if box else None
     out = []
     for m in re.finditer(rb"stream\r?\n(.*?)endstream", content, re.DOTALL):
         data = m.group(1)
         try:
-            data = zlib.decompress(data.strip(b"\r\n"))
+            # what follows the compressed data (the line break before the end mark) is left over
+            data = zlib.decompressobj().decompress(data)
         except zlib.error:
             pass
         if b"BT" not in data:
             continue
-        for token in re.finditer(rb"\((?:\\.|[^()\\])*\)|T\*|T[dD]\b|'", data):
-            t = token.group()
-            out.append("\n" if t in (b"T*", b"Td", b"TD", b"'") else re.sub(rb"\\([()\\])", rb"\1", t[1:-1]).decode("cp1251", "replace"))
-    return "".join(out).strip()
-
-
-def pdf_texts(spark: SparkSession, path: str) -> DataFrame:
+        y, leading, operands, lines = 0.0, 0.0, [], [(0.0, [])]
+        for token in _PDF_TOKEN.finditer(data):
+            kind, t = token.lastgroup, token.group()
+            if kind == "number":
+                operands.append(float(t))
+                continue
+            if kind in ("text", "hex"):
+                lines[-1][1].append(_pdf_string(t, encoding))
+                continue
+            if t == b"TL" and operands:
+                leading = operands[-1]
+            elif t == b"Tm" and operands:
+                y = operands[-1]
+            elif t in (b"Td", b"TD") and operands:
+                y += operands[-1]
+                leading = -operands[-1] if t == b"TD" else leading
+            elif t in (b"T*", b"'"):
+                y -= leading
+            elif t == b"BT":
+                y = 0.0
+            if t not in (b"TL", b"ET"):
+                lines.append((y, []))
+            operands = []
+        kept = lambda at: height is None or not margin or margin <= at <= height - margin
+        out += ["".join(parts) for at, parts in lines if parts and kept(at)]
+    return "\n".join(out).strip()
+
+
+def pdf_texts(spark: SparkSession, path: str, margin: float = 0.0, encoding: str = "cp1251") -> DataFrame:
     """(path, text) of PDF files, broken lines joined; scanned pages and embedded font encodings need an outside extractor."""
     from leafloom.functions.text import join_broken_lines
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "text": [pdf_pages(c) for c in b["content"]]})
+            yield pd.DataFrame({"path": b["path"], "text": [pdf_pages(c, margin, encoding) for c in b["content"]]})
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(run, "path string, text string")
     return raw.select("path", join_broken_lines(F.col("text")).alias("text"))

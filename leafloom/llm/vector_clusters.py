@@ -201,7 +201,7 @@ def ward(n: np.ndarray, centroids: np.ndarray, clusters: int = 1, height: float
     while alive > clusters:
         i = int(least.argmin())
         j = int(nearest[i])
-        if not least[i] <= height**2:
+        if not least[i] <= height**2 or np.isinf(least[i]):
             break
         a, b = size[i], size[j]
         new = ((a + size) * d[i] + (b + size) * d[j] - size * d[i, j]) / (a + b + size)

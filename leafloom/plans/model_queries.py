@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from leafloom.common import cut, shared_dir, table
 from leafloom.functions import scores as N
+from leafloom.functions.rules import apply_sql
+from leafloom.functions.text import AT_MOST, TERMS, TIDY
 from leafloom.operators import annotation, bayes, clustering, combinations, pairs
 from leafloom.operators import relational as R
 from leafloom.operators import similarity as E
@@ -598,3 +600,18 @@ SQL["ner_f06_sentences"] = rf"""WITH RECURSIVE f AS ({SQL['ner_f02_spans']}), x
   r AS (SELECT u.doc_id, u.sent_no, count(*) AS n FROM relations JOIN c u ON u.entity_id = from_id JOIN c v ON v.entity_id = to_id AND v.doc_id = u.doc_id AND v.sent_no = u.sent_no GROUP BY 1, 2),
   m AS (SELECT u.doc_id, u.sent_no, count(*) AS n FROM c u JOIN c v ON v.doc_id = u.doc_id AND v.sent_no = u.sent_no AND u.entity_id < v.entity_id LEFT JOIN l ON lo = u.entity_id AND hi = v.entity_id WHERE lo IS NULL GROUP BY 1, 2)
 SELECT doc_id, CAST(sent_no AS INT) AS sent_no, CAST(n_entities AS INT) AS n_entities, coalesce(r.n, 0) AS n_relations, coalesce(m.n, 0) AS n_missing FROM n LEFT JOIN r USING (doc_id, sent_no) LEFT JOIN m USING (doc_id, sent_no)"""
+_KEPT_SPANS = """o AS (SELECT doc_id, entity_id, start_offset AS s, end_offset AS e, row_number() OVER (PARTITION BY doc_id ORDER BY start_offset, end_offset, entity_id) AS no FROM entities),
+  w(doc_id, no, ids, ls, le) AS (SELECT doc_id, no, [entity_id], s, e FROM o WHERE no = 1
+    UNION ALL SELECT o.doc_id, o.no, CASE WHEN o.s >= le THEN list_append(ids, o.entity_id) WHEN le - ls < o.e - o.s THEN list_append(ids[1:len(ids) - 1], o.entity_id) ELSE ids END,
+      CASE WHEN o.s >= le OR le - ls < o.e - o.s THEN o.s ELSE ls END, CASE WHEN o.s >= le OR le - ls < o.e - o.s THEN o.e ELSE le END FROM w JOIN o ON o.doc_id = w.doc_id AND o.no = w.no + 1),
+  y AS (SELECT * FROM entities WHERE entity_id IN (SELECT unnest(ids) FROM (SELECT doc_id, arg_max(ids, no) AS ids FROM w GROUP BY 1)))"""
+SQL["ner_f04_segments"] = f"""WITH RECURSIVE {_POSITIONS}, {_KEPT_SPANS},
+  h AS (SELECT tok.doc_id, tok.no, arg_min({{'s': start_offset, 'l': label}}, (start_offset, entity_id)) AS f, min(tok.e - n) AS first FROM tok JOIN y x ON x.doc_id = tok.doc_id AND tok.e - n >= start_offset AND tok.e <= end_offset GROUP BY 1, 2),
+  g AS (SELECT doc_id, no, token, CASE WHEN f IS NULL THEN 'O' WHEN h.first = f.s THEN 'B-' || coalesce(f.l, '') ELSE 'I-' || coalesce(f.l, '') END AS tag FROM tok LEFT JOIN h USING (doc_id, no)),
+  b AS (SELECT *, substr(tag, 3) AS kind, CASE WHEN tag LIKE 'I-%' AND substr(tag, 3) = lag(substr(tag, 3)) OVER (PARTITION BY doc_id ORDER BY no) THEN 0 ELSE 1 END AS brk FROM g),
+  r AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM b),
+  q AS (SELECT *, CASE WHEN first_value(tag) OVER (PARTITION BY doc_id, run ORDER BY no) LIKE 'B-%' THEN kind END AS k FROM r),
+  v AS (SELECT *, CASE WHEN tag LIKE 'B-%' OR k IS NULL AND lag(k) OVER (PARTITION BY doc_id ORDER BY no) IS NOT NULL OR row_number() OVER (PARTITION BY doc_id ORDER BY no) = 1 THEN 1 ELSE 0 END AS opens FROM q),
+  u AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY no) AS island FROM v),
+  z AS (SELECT doc_id, island, string_agg(token, ' ' ORDER BY no) AS text, max(k) AS tag FROM u GROUP BY 1, 2)
+SELECT tag, count(*) AS n, CAST(sum(length({apply_sql('text', TIDY + TERMS + AT_MOST)})) AS BIGINT) AS n_chars FROM z GROUP BY 1"""

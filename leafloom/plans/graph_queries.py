@@ -134,10 +134,12 @@ def graph_g17_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g18_in_degree(spark: SparkSession, d: str) -> DataFrame:
-    """Original nodes left, and nodes whose in-degree still exceeds ten after intermediate layers."""
-    nodes, edges = G.limit_in_degree(*_graph(spark, d), most=10, divider=5)
-    over = edges.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 10").agg(F.count("*").alias("n_over"))
-    return nodes.filter("tag NOT LIKE 'inter_%'").agg(F.count("*").alias("n_original")).crossJoin(over)
+    """Every node with parents: how many it keeps, and how many intermediate nodes stand above it."""
+    nodes, edges = (cut(x) for x in G.limit_in_degree(*_graph(spark, d), most=10, divider=5))
+    between = nodes.filter(F.col("tag").startswith("inter_")).groupBy(F.regexp_replace("name", "_[0-9]+$", "").alias("name"), "tag").agg(F.count("*").alias("n_inter"))
+    kept = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("in_degree")).join(nodes.filter(~F.col("tag").startswith("inter_")).select("node_id", F.col("name").alias("n"), F.col("tag").alias("t")), "node_id")
+    rows = kept.select(F.concat(F.lit("inter_"), "n").alias("name"), F.concat(F.lit("inter_"), "t").alias("tag"), "n", "t", "in_degree").join(between, ["name", "tag"], "left")
+    return rows.select(F.col("n").alias("name"), F.col("t").alias("tag"), "in_degree", F.coalesce("n_inter", F.lit(0)).alias("n_inter"))
 
 
 def graph_g20_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +218,7 @@ SQL = {
     "graph_g16_cycles": f"WITH RECURSIVE {_L}, r(a, b) AS (SELECT s, t FROM l UNION SELECT r.a, l.t FROM r JOIN l ON l.s = r.b) SELECT DISTINCT a AS node FROM r WHERE a = b",
     "graph_g04_isolated": f"WITH {_L}, {_T} SELECT name AS effect, (SELECT count(DISTINCT l.t) FROM l JOIN g a ON a.name = l.s AND a.tag = 'group' JOIN g b ON b.name = l.t AND b.tag = 'prepare') AS n_drugs FROM g WHERE tag = 'side_e' AND name NOT IN (SELECT t FROM l) AND EXISTS (SELECT 1 FROM l JOIN g a ON a.name = l.s AND a.tag = 'group' JOIN g b ON b.name = l.t AND b.tag = 'prepare')",
     "graph_g17_prune": f"WITH RECURSIVE {_L}, {_T}, h(s, h) AS (SELECT name, name FROM g WHERE tag IN ('side_e', 'prepare') UNION SELECT l.s, h.s FROM h JOIN l ON l.t = h.s), c(a, b) AS (SELECT s, t FROM l UNION SELECT c.a, l.t FROM c JOIN l ON l.s = c.b), k AS (SELECT s FROM h UNION SELECT a FROM c WHERE a = b UNION SELECT c.a FROM c JOIN (SELECT a FROM c WHERE a = b) x ON x.a = c.b) SELECT name, tag FROM g WHERE name IN (SELECT s FROM k)",
-    "graph_g18_in_degree": f"WITH {_E}, {_N} SELECT count(*) AS n_original, CAST(0 AS BIGINT) AS n_over FROM n",
+    "graph_g18_in_degree": f"WITH RECURSIVE {_E}, r(name, tag, d, total) AS (SELECT t, tt, count(*), CAST(0 AS BIGINT) FROM e GROUP BY 1, 2 UNION ALL SELECT name, tag, greatest(d // 5, 1), total + greatest(d // 5, 1) FROM r WHERE d > 10) SELECT name, tag, d AS in_degree, total AS n_inter FROM r WHERE d <= 10",
     "graph_g20_vocabulary": f"WITH {_E}, {_N} SELECT name, tag FROM n WHERE tag <> 'side_e' OR lower(name) IN (SELECT lower(term) FROM effect_terms)",
     "graph_g21_json": "WITH p AS (SELECT DISTINCT trim(drug_group) AS g, trim(drug) AS d FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL) SELECT 'group' AS tag, count(DISTINCT g) AS n FROM p UNION ALL SELECT 'prepare', count(DISTINCT d) FROM p UNION ALL SELECT 'links', count(*) FROM p",
     "graph_g22_paths": f"WITH {_E}, g AS (SELECT DISTINCT s FROM e WHERE st = 'group'), a AS (SELECT e.t FROM e WHERE st = 'group'), b AS (SELECT e.t FROM a JOIN e ON e.s = a.t AND e.st = 'prepare'), c AS (SELECT e.t FROM b JOIN e ON e.s = b.t AND e.st = 'mechanism') SELECT CAST(k AS INT) AS n_edges, n FROM (SELECT 0 AS k, (SELECT count(*) FROM g) AS n UNION ALL SELECT 1, (SELECT count(*) FROM a) UNION ALL SELECT 2, (SELECT count(*) FROM b) UNION ALL SELECT 3, (SELECT count(*) FROM c)) WHERE n > 0",

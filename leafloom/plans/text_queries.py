@@ -355,3 +355,7 @@ SQL |= {
     "ext_l05_contraindications": _contraindications_sql(),
     "fn_x04_lemmatize": _lemmas_sql(),
 }
+#: The accepted names one after the other, the longest first; a letter beside a name keeps it as it is.
+SQL["fn_x03b_abbreviations"] = rf"""WITH RECURSIVE f AS (SELECT row_number() OVER (ORDER BY length(variant) DESC, variant) AS no, '(?i)(^|[^a-zA-Zа-яА-Я])' || regexp_escape(variant) || '($|[^a-zA-Zа-яА-Я])' AS p, '\1' || replace(canonical, '\', '\\') || '\2' AS c FROM synonyms),
+  r(id, t, no) AS (SELECT id, {strip_sql("regexp_replace(lower(effect), '\\([^)]*\\)', '', 'g')")}, CAST(0 AS BIGINT) FROM side_effects WHERE effect IS NOT NULL UNION ALL SELECT id, regexp_replace(t, p, c, 'g'), f.no FROM r JOIN f ON f.no = r.no + 1)
+SELECT id, arg_max(t, no) AS term FROM r GROUP BY 1"""

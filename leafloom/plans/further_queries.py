@@ -309,8 +309,9 @@ def ext_l15_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ext_s19_file_names(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "drugs").filter("drug NOT LIKE '%)%' AND drug NOT LIKE '% _ %' AND trim(drug) = drug").select("id", F.concat(F.col("id").cast("string"), F.lit(") "), "drug", F.lit("+[Вода] _ Торг _ 01.02.2024.pdf")).alias("f"))
-    return rows.select("id", extraction.file_name_info(F.col("f")).alias("i")).select("id", "i.num_prepare", F.array_join("i.international_name_dlc", "|").alias("dlc"), "i.trade_name", "i.date")
+    """Parts of file names made of every drug's id and digests of its name and group."""
+    rows = table(spark, d, "drugs").filter("drug IS NOT NULL").select("id", F.concat(F.col("id").cast("string"), F.lit(") "), F.md5("drug"), F.lit("+"), F.md5(F.concat(F.lit("b"), "drug")), F.lit("+["), F.coalesce(F.md5("drug_group"), F.lit("Вода")), F.lit("] _ Торг "), "id", F.lit(" _ 01.02.2024.pdf")).alias("f"))
+    return rows.select("id", extraction.file_name_info(F.col("f")).alias("i")).select("id", "i.num_prepare", F.array_join("i.international_name", "|").alias("names"), F.array_join("i.international_name_dlc", "|").alias("dlc"), "i.trade_name", "i.date")
 
 
 def ext_s21_stage(spark: SparkSession, d: str) -> DataFrame:
@@ -319,9 +320,9 @@ def ext_s21_stage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ner_f05_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Drug, effect and frequency joined as one text with the offsets of the effect."""
-    items = F.array(F.struct(F.col("drug").alias("text"), F.lit(None).cast("string").alias("tag")), F.struct(F.col("effect").alias("text"), F.lit("side_e").alias("tag")))
-    rows = table(spark, d, "side_effects").filter("effect RLIKE '^[а-я]' AND drug RLIKE '^[А-Я].*[а-я]$'").select("id", annotation.segments_to_text(items).alias("t"))
+    """Digests of drug and effect joined as one text with the offsets of the effect."""
+    items = F.array(F.struct(F.md5("drug").alias("text"), F.lit(None).cast("string").alias("tag")), F.struct(F.md5("effect").substr(F.lit(1), F.pmod(F.col("id"), F.lit(32)).cast("int") + 1).alias("text"), F.lit("side_e").alias("tag")))
+    rows = table(spark, d, "side_effects").filter("effect IS NOT NULL AND drug IS NOT NULL").select("id", annotation.segments_to_text(items).alias("t"))
     return rows.select("id", "t.text", F.get("t.label", F.lit(0))["start"].alias("first"), F.get("t.label", F.lit(0))["end"].alias("last"))
 
 
@@ -455,9 +456,9 @@ SQL = {
     "bayes_b15_folds": "SELECT count(*) AS n, 4 AS last FROM drugs",
     "bayes_b17_conditional": f"WITH {_FULL} SELECT w.node, w.config, coalesce((SELECT round({_P}, 6) FROM f WHERE f.node = w.node AND f.config = w.config), 0.0) AS p FROM (SELECT DISTINCT node, unnest(['', '1']) AS config FROM f) w",
     "ext_l15_cascade": "SELECT id, CASE WHEN coalesce(drug_en, '') <> '' THEN upper(drug_en) WHEN coalesce(drug_group, '') <> '' THEN upper(drug_group) WHEN coalesce(drug, '') <> '' THEN upper(drug) END AS name FROM drugs",
-    "ext_s19_file_names": "SELECT id, CAST(id AS INT) AS num_prepare, 'Вода' AS dlc, 'Торг' AS trade_name, '01.02.2024' AS date FROM drugs WHERE drug NOT LIKE '%)%' AND NOT contains(drug, ' _ ') AND trim(drug) = drug",
+    "ext_s19_file_names": "SELECT id, CAST(id AS INT) AS num_prepare, md5(drug) || '|' || md5('b' || drug) AS names, coalesce(md5(drug_group), 'Вода') AS dlc, 'Торг ' || id AS trade_name, '01.02.2024' AS date FROM drugs WHERE drug IS NOT NULL",
     "ext_s21_stage": "SELECT id, CASE id % 3 WHEN 0 THEN drug WHEN 1 THEN drug_en END AS text FROM drugs",
-    "ner_f05_offsets": "SELECT id, drug || ' ' || effect AS text, CAST(length(drug) + 1 AS INT) AS first, CAST(length(drug) + 1 + length(effect) AS INT) AS last FROM side_effects WHERE regexp_matches(effect, '^[а-я]') AND regexp_matches(drug, '^[А-Я].*[а-я]$')",
+    "ner_f05_offsets": "SELECT id, md5(drug) || ' ' || substr(md5(effect), 1, CAST(id % 32 + 1 AS INT)) AS text, 33 AS first, CAST(34 + id % 32 AS INT) AS last FROM side_effects WHERE effect IS NOT NULL AND drug IS NOT NULL",
     "pair_r04_split": f"WITH {_LABELS} SELECT count(*) AS n, true AS mostly_train FROM (SELECT DISTINCT a.label, b.label AS l2 FROM x a JOIN x b ON a.cluster = b.cluster AND a.group_id = b.group_id AND a.label < b.label)",
     "src_s01_drug_table": f"SELECT CAST(id AS VARCHAR) AS id, regexp_replace(drug_group, '[{S}]+', ' ', 'g') AS \"group\" FROM drugs",
     "src_s05_matrix": "SELECT CAST(se AS INT) AS se_id, count(*) AS n, sum(w) AS total FROM (SELECT l_returnflag, unnest([1, 2]) AS se, unnest([coalesce(sum(l_quantity) FILTER (l_linestatus = 'F'), 0), coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0)]) AS w FROM lineitem GROUP BY 1) GROUP BY 1",

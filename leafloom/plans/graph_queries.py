@@ -149,11 +149,14 @@ def graph_g20_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g21_json(spark: SparkSession, d: str) -> DataFrame:
-    """Node-link document of the graph of drug groups, read back."""
-    groups = table(spark, d, "drugs").filter("drug IS NOT NULL AND drug_group IS NOT NULL").select(F.col("drug_group").alias("source"), F.lit("group").alias("source_tag"), F.col("drug").alias("target"), F.lit("prepare").alias("target_tag"))
-    nodes, edges = G.build_graph(groups)
-    back_n, back_e = G.parse_node_link(cut(G.node_link_json(cut(nodes), cut(edges))))
-    return back_n.groupBy("tag").agg(F.count("*").alias("n")).unionByName(back_e.agg(F.lit("links").alias("tag"), F.count("*").alias("n")))
+    """Links of the node-link document of the whole graph, read back, with the levels of both ends."""
+    nodes, edges = (cut(x) for x in _graph(spark, d))
+    document = cut(G.node_link_json(nodes, edges))
+    back_n, back_e = G.parse_node_link(document)
+    level = document.select(F.inline(F.from_json("document", "nodes array<struct<id:string,level:int>>")["nodes"])).select(F.col("id").alias("node_id"), "level")
+    named = cut(back_n.join(level, "node_id").select("node_id", "name", "level"))
+    end = lambda c, n, k: named.select(F.col("node_id").alias(c), F.col("name").alias(n), F.col("level").alias(k))
+    return back_e.join(end("src", "source", "source_level"), "src").join(end("dst", "target", "target_level"), "dst").select("source", "target", "source_level", "target_level")
 
 
 def graph_g22_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +223,7 @@ SQL = {
     "graph_g17_prune": f"WITH RECURSIVE {_L}, {_T}, h(s, h) AS (SELECT name, name FROM g WHERE tag IN ('side_e', 'prepare') UNION SELECT l.s, h.s FROM h JOIN l ON l.t = h.s), c(a, b) AS (SELECT s, t FROM l UNION SELECT c.a, l.t FROM c JOIN l ON l.s = c.b), k AS (SELECT s FROM h UNION SELECT a FROM c WHERE a = b UNION SELECT c.a FROM c JOIN (SELECT a FROM c WHERE a = b) x ON x.a = c.b) SELECT name, tag FROM g WHERE name IN (SELECT s FROM k)",
     "graph_g18_in_degree": f"WITH RECURSIVE {_E}, r(name, tag, d, total) AS (SELECT t, tt, count(*), CAST(0 AS BIGINT) FROM e GROUP BY 1, 2 UNION ALL SELECT name, tag, greatest(d // 5, 1), total + greatest(d // 5, 1) FROM r WHERE d > 10) SELECT name, tag, d AS in_degree, total AS n_inter FROM r WHERE d <= 10",
     "graph_g20_vocabulary": f"WITH {_E}, {_N} SELECT name, tag FROM n WHERE tag <> 'side_e' OR lower(name) IN (SELECT lower(term) FROM effect_terms)",
-    "graph_g21_json": "WITH p AS (SELECT DISTINCT trim(drug_group) AS g, trim(drug) AS d FROM drugs WHERE drug IS NOT NULL AND drug_group IS NOT NULL) SELECT 'group' AS tag, count(DISTINCT g) AS n FROM p UNION ALL SELECT 'prepare', count(DISTINCT d) FROM p UNION ALL SELECT 'links', count(*) FROM p",
+    "graph_g21_json": f"WITH RECURSIVE {_E}, {_N}, v(name, tag, level) AS (SELECT name, tag, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.t = n.name AND e.tt = n.tag) UNION SELECT e.t, e.tt, v.level + 1 FROM v JOIN e ON e.s = v.name AND e.st = v.tag), k AS (SELECT name, tag, CAST(max(level) AS INT) AS level FROM v GROUP BY 1, 2) SELECT s AS source, t AS target, a.level AS source_level, b.level AS target_level FROM e JOIN k a ON a.name = s AND a.tag = st JOIN k b ON b.name = t AND b.tag = tt",
     "graph_g22_paths": f"WITH {_E}, g AS (SELECT DISTINCT s FROM e WHERE st = 'group'), a AS (SELECT e.t FROM e WHERE st = 'group'), b AS (SELECT e.t FROM a JOIN e ON e.s = a.t AND e.st = 'prepare'), c AS (SELECT e.t FROM b JOIN e ON e.s = b.t AND e.st = 'mechanism') SELECT CAST(k AS INT) AS n_edges, n FROM (SELECT 0 AS k, (SELECT count(*) FROM g) AS n UNION ALL SELECT 1, (SELECT count(*) FROM a) UNION ALL SELECT 2, (SELECT count(*) FROM b) UNION ALL SELECT 3, (SELECT count(*) FROM c)) WHERE n > 0",
     "graph_g24_ancestors": f"WITH RECURSIVE {_E}, {_N}, r(seed, name, tag) AS (SELECT name, name, tag FROM n WHERE tag = 'mechanism' UNION SELECT r.seed, e.s, e.st FROM r JOIN e ON e.t = r.name AND e.tt = r.tag) SELECT seed, count(*) AS n_nodes FROM r GROUP BY 1",
     "graph_g25_effects": f"WITH {_E} SELECT a.s AS name, count(DISTINCT b.t) AS n_effects FROM e a JOIN e b ON b.s = a.t AND b.st = 'mechanism' WHERE a.st = 'prepare' GROUP BY 1",

@@ -20,7 +20,7 @@ BLOCK = 2048
 
 
 def hashed_encoder(dimensions: int = 64, grams: tuple[int, ...] = (2, 3)) -> Callable[[str], np.ndarray]:
-    """Signed hashes of character n-grams; a documented stand-in for a trained encoder, to be replaced by one."""
+    """Signed hashes of character n-grams, which need no training; ``train_encoder`` fits one to the terms."""
 
     def encode(term: str) -> np.ndarray:
         v = np.zeros(dimensions, np.float32)
@@ -35,6 +35,46 @@ def hashed_encoder(dimensions: int = 64, grams: tuple[int, ...] = (2, 3)) -> Cal
     return encode
 
 
+class TrainedEncoder:
+    """Latent semantic encoder: weighted counts of character n-grams in the directions that vary most over the terms.
+
+    Counts of hashed n-grams are damped by their logarithm and weighted by how few terms hold them; ``directions`` are the
+    leading eigenvectors of their second moments. Small enough (buckets x dimensions) to travel with a task.
+    """
+
+    def __init__(self, weights: np.ndarray, directions: np.ndarray, grams: tuple[int, ...]) -> None:
+        self.weights, self.directions, self.grams = weights, directions, grams
+
+    @staticmethod
+    def counts(term: str, buckets: int, grams: tuple[int, ...]) -> np.ndarray:
+        text = f" {term} "
+        at = [zlib.crc32(text[i : i + n].encode()) % buckets for n in grams for i in range(len(text) - n + 1)]
+        return np.log1p(np.bincount(at, minlength=buckets)) if at else np.zeros(buckets)
+
+    def __call__(self, term: str) -> np.ndarray:
+        v = (self.counts(term, len(self.weights), self.grams) * self.weights) @ self.directions
+        norm = float(np.sqrt(v @ v))
+        return (v / norm if norm else v).astype(np.float32)
+
+
+def train_encoder(terms: DataFrame, column: str = "term", dimensions: int = 64, buckets: int = 2048, grams: tuple[int, ...] = (2, 3, 4), most: int = 20_000, seed: int = 42) -> TrainedEncoder:
+    """Fit the encoder to at most about ``most`` of the different terms, drawn by a hash where they lie."""
+    distinct = cut(terms.select(F.col(column).alias("term")).filter("term IS NOT NULL").distinct())
+    share = int(min(1.0, most / max(distinct.count(), 1)) * (1 << 30))
+    drawn = [r.term for r in distinct.filter(F.pmod(F.xxhash64("term", F.lit(seed)), F.lit(1 << 30)) <= share).orderBy("term").collect()]
+    held, moments = np.zeros(buckets), np.zeros((buckets, buckets))
+    rows = [TrainedEncoder.counts(t, buckets, grams) for t in drawn]
+    for r in rows:
+        held += r > 0
+    weights = np.log((1 + len(drawn)) / (1 + held))
+    for i in range(0, len(rows), 1024):
+        x = np.array(rows[i : i + 1024]) * weights
+        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+        moments += x.T @ x
+    directions = np.linalg.eigh(moments)[1][:, ::-1][:, :dimensions]
+    return TrainedEncoder(weights, np.ascontiguousarray(directions), grams)
+
+
 def encode_terms(terms: DataFrame, column: str = "term", encoder: Callable[[str], np.ndarray] | None = None) -> DataFrame:
     """(term, vec) of the distinct non-null terms: each is encoded once, however often it occurs."""
     fn = encoder or hashed_encoder()

@@ -46,6 +46,14 @@ def sim_x34_cosine(spark: SparkSession, d: str) -> DataFrame:
     return v.join(mean, "label").select("id", F.round(N.cosine(F.col("vec"), F.col("mean")), 4).alias("cosine"))
 
 
+def sim_e01_encoder(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest reference term of each effect, if near, by an encoder fitted to the terms and effects."""
+    raw = table(spark, d, "side_effects").filter("effect IS NOT NULL AND trim(effect) <> ''").select(F.lower("effect").alias("term")).distinct()
+    terms = table(spark, d, "effect_terms").select("term")
+    encoder = E.train_encoder(terms.unionByName(raw))
+    return E.find_similar_terms(raw, terms, 0.8, 1, encoder).select("query", "term", F.round("sim", 3).alias("sim"))
+
+
 def sim_e04_greedy(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     p = E.similar_pairs(v.select("id", "vec"), None, 0.35)

@@ -92,8 +92,8 @@ def win_w01_first_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 def win_w02_lead_position(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "entities").select("doc_id", "entity_id", (F.col("start_offset") * 1_000_000 + F.col("entity_id")).alias("start_at"))
-    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") * 1_000_000).alias("doc_end"))
+    t = table(spark, d, "entities").select("doc_id", "entity_id", (F.col("start_offset").cast("bigint") * 1_000_000 + F.col("entity_id")).alias("start_at"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars").cast("bigint") * 1_000_000).alias("doc_end"))
     return R.lead_position(t.join(docs, "doc_id"), ["doc_id"], "start_at", "doc_end").select("entity_id", "part_end")
 
 

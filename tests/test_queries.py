@@ -39,3 +39,13 @@ def test_entry_and_registry(spark):
     spec.loader.exec_module(entry)
     assert entry.entry(spark).columns == ["source", "target"]
     assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_positions_beyond_32_bits(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * FROM (VALUES (5::BIGINT, 1::BIGINT, 2147::INT), (6, 1, 2148), (7, 1, 100000)) t(entity_id, doc_id, start_offset)) TO '{tmp_path}/entities.parquet'")
+    c.execute(f"COPY (SELECT 1::BIGINT AS doc_id, 120000::BIGINT AS n_chars) TO '{tmp_path}/documents.parquet'")
+    for name in ("entities", "documents"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = {tuple(r) for r in plans.QUERIES["win_w02_lead_position"](spark, str(tmp_path)).collect()}
+    assert got == set(c.execute(plans.SQL["win_w02_lead_position"]).fetchall()) == {(5, 2148000006), (6, 100000000007), (7, 120000000000)}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leafloom.common import shared_dir
+from leafloom.common import _delete, _written, shared_dir
 
 
 def new_files(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet", glob: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -21,13 +22,29 @@ def new_files(spark: SparkSession, path: str, schema: StructType | str, kind: st
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Process all files there are, once, and stop. With ``each`` batches go to a function, otherwise into a table in memory."""
-    import uuid
-
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True)
-    writer = writer.foreachBatch(each) if each else writer.format("memory").queryName(name)
-    writer.start().awaitTermination()
-    return None if each else stream.sparkSession.table(name)
+    """Process all files there are, once, and stop. With ``each`` batches go to a function, otherwise into Parquet files.
+
+    The files lie in the shared folder and are written by the tasks, so no row comes to the driver. A complete result
+    replaces that of the batch before it; a batch that is repeated overwrites itself.
+    """
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    done: list[str] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        path = f"{at}/out/{batch}"
+        rows.write.mode("overwrite").parquet(path)
+        old = [x for x in done if x != path]
+        done[:] = [path] if mode == "complete" else [*old, path]
+        if mode == "complete":
+            for x in old:
+                _delete(spark, x)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).queryName(name).foreachBatch(each or keep).start().awaitTermination()
+    _written.append((spark, at))
+    if each:
+        return None
+    return spark.read.schema(stream.schema).parquet(*done) if done else spark.createDataFrame([], stream.schema)
 
 
 def counts_per_window(stream: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:

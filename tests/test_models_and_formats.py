@@ -295,3 +295,16 @@ def test_networks_too_large_for_the_driver_are_refused(spark, monkeypatch):
     monkeypatch.setattr(B, "MOST_PARAMETERS", 5)
     with pytest.raises(ValueError, match="do not fit"):
         _tiny(spark)
+
+
+def test_results_of_streams_stay_in_files(spark, tmp_path):
+    """A result in memory would hold every row in the driver; batches are appended, a complete result is the last one."""
+    rows = spark.sql("SELECT id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, CAST(id * 20 AS INT), 0) AS ts, id % 2 AS k FROM range(12)")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    s = streams.new_files(spark, str(tmp_path / "in"), rows.schema, per_trigger=1)
+    once = streams.run_available(streams.without_repeats(s, "ts", ["id"], "1 day"), "batches")
+    assert once.inputFiles() and sorted(r.id for r in once.collect()) == list(range(12))
+    hours = streams.run_available(streams.counts_per_window(s, "ts", "k", "1 hour", "1 day"), "hours_of_batches", "complete")
+    assert hours.inputFiles() and hours.agg(F.sum("n"), F.count("*")).first()[:] == (12, 8)
+    (tmp_path / "none").mkdir()
+    assert streams.run_available(streams.new_files(spark, str(tmp_path / "none"), rows.schema), "none").collect() == []

@@ -297,6 +297,29 @@ def simple_paths(starts: DataFrame, edges: DataFrame, most: int = 10) -> DataFra
     return out
 
 
+def count_simple_paths(starts: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(n_edges, n): how many simple paths of each length ``simple_paths`` has, without a row for each of them.
+
+    Paths that stand at one node with the same nodes of cycles behind them go on alike: they are one row with their
+    number. A node on no cycle is never met again and need not be remembered, so without cycles there is a row a node.
+    """
+    edges = cut(edges.select("src", "dst"))
+    ring = cycle_nodes(starts, edges).select(F.col("node_id").alias("dst"), F.lit(True).alias("again"))
+    edges = cut(edges.join(ring, "dst", "left").select("src", "dst", F.coalesce("again", F.lit(False)).alias("again")))
+    first = starts.select(F.col("node_id").alias("dst")).join(ring, "dst", "left")
+    behind = lambda old, again: F.when(again, F.array_sort(F.concat(old, F.array("dst")))).otherwise(old)
+    grow = cut(first.select("dst", behind(F.array().cast("array<string>"), F.coalesce("again", F.lit(False))).alias("behind")).groupBy("dst", "behind").agg(F.count("*").alias("n")))
+    count = lambda k: grow.groupBy(F.lit(k).alias("n_edges")).agg(F.sum("n").alias("n"))
+    out = count(0)
+    for k in range(1, most + 1):
+        step = edges.join(grow.select(F.col("dst").alias("src"), "behind", "n"), "src").filter(~F.array_contains("behind", F.col("dst")))
+        grow = cut(step.select("dst", behind(F.col("behind"), F.col("again")).alias("behind"), "n").groupBy("dst", "behind").agg(F.sum("n").alias("n")))
+        if grow.isEmpty():
+            break
+        out = out.unionByName(count(k))
+    return out
+
+
 def effects_with_path(drugs: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
     """(drug, effect, path): effects below each drug; no path goes on below an effect, the last path by order wins."""
     tags = nodes.select("node_id", "tag")

@@ -131,3 +131,19 @@ def test_reached_classes_count_as_all_pairs(spark):
     got = G.reached_classes(seeds, edges, wanted)
     assert {(r.seed, r.n) for r in got.reached.groupBy("seed").agg(F.sum("size").alias("n")).collect()} == {(r["seed"], r["count"]) for r in pairs.groupBy("seed").count().collect()}
     assert {(r.seed, r.node_id) for r in got.reached.join(got.members, "class").collect()} == {(r.seed, r.node_id) for r in pairs.collect()}
+
+
+def test_paths_are_counted_without_a_row_each(spark):
+    """As listed one by one, on cycles, loops and tails; 4 ** 10 paths through ten layers come from a handful of rows."""
+    links = [("r", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "a"), ("c", "d"), ("d", "d"), ("d", "x"), ("x", "y"), ("y", "x"), ("y", "z"), ("r", "z"), ("b", "z")]
+    e = spark.createDataFrame(links, "src string, dst string")
+    starts = spark.createDataFrame([("r",), ("b",), ("q",)], "node_id string")
+    for most in (2, 10):
+        listed = {}
+        for r in G.simple_paths(starts, e, most).collect():
+            listed[len(r.path) - 1] = listed.get(len(r.path) - 1, 0) + 1
+        assert {r.n_edges: r.n for r in G.count_simple_paths(starts, e, most).collect()} == listed
+    layers = spark.createDataFrame([(f"{k}_{i}", f"{k + 1}_{j}") for k in range(10) for i in range(4 if k else 1) for j in range(4)], "src string, dst string")
+    top = spark.createDataFrame([("0_0",)], "node_id string")
+    assert {r.n_edges: r.n for r in G.count_simple_paths(top, layers, 10).collect()} == {k: 4**k for k in range(11)}
+    assert G.count_simple_paths(top.filter("FALSE"), layers, 10).collect() == []

@@ -222,6 +222,22 @@ def reached_classes(seeds: DataFrame, edges: DataFrame, wanted: DataFrame) -> Re
     return Reached(members, children.join(by_child, "child").select("seed", "class").distinct().join(sizes, "class"))
 
 
+def reached_counts(seeds: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(seed, n): how many of ``wanted`` (node_id) lie one link or more below each seed (node_id); seeds above none are left out.
+
+    Seeds of the same children reach the same, so each set of children is counted once, by ``reached_classes``.
+    """
+    seeds = seeds.select(F.col("node_id").alias("src")).distinct()
+    key = F.xxhash64("dst")
+    down = cut(edges.select("src", "dst").distinct().join(seeds, "src", "left_semi"))
+    sets = cut(down.groupBy("src").agg(F.hex(F.xxhash64(F.count("*"), F.bit_xor(key), F.sum(key.cast("decimal(38,0)")))).alias("kind")))
+    # the sets stand in for their seeds: nodes of their own above the children of one of them
+    one = sets.groupBy("kind").agg(F.min("src").alias("src"))
+    above = cut(down.join(one, "src").select(F.concat(F.lit("\u0001"), "kind").alias("src"), "dst"))
+    counted = reached_classes(above.select(F.col("src").alias("node_id")).distinct(), edges.select("src", "dst").unionByName(above), wanted).reached.groupBy("seed").agg(F.sum("size").alias("n"))
+    return sets.select(F.col("src").alias("seed"), F.concat(F.lit("\u0001"), "kind").alias("kind")).join(counted.withColumnRenamed("seed", "kind"), "kind").select("seed", "n")
+
+
 def ancestors(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return reachable(seeds, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 

@@ -147,3 +147,13 @@ def test_paths_are_counted_without_a_row_each(spark):
     top = spark.createDataFrame([("0_0",)], "node_id string")
     assert {r.n_edges: r.n for r in G.count_simple_paths(top, layers, 10).collect()} == {k: 4**k for k in range(11)}
     assert G.count_simple_paths(top.filter("FALSE"), layers, 10).collect() == []
+
+
+def test_nodes_below_are_counted_by_sets_of_children(spark):
+    """Any graph, cycles too, as by reaching each node; longer ways than ten links count."""
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(14)] + [("c14", "s9")]
+    links = [("d1", "m1"), ("d1", "m2"), ("d2", "m2"), ("d2", "m1"), ("d3", "m3"), ("d4", "d1"), ("d5", "c0"), ("m1", "s1"), ("m1", "s2"), ("m2", "s2"), ("m2", "m4"), ("m4", "m2"), ("m4", "s3"), ("d6", "s1"), ("d1", "d4"), *chain]
+    e = spark.createDataFrame(links, "src string, dst string")
+    seeds = spark.createDataFrame([(f"d{i}",) for i in range(1, 8)], "node_id string")
+    wanted = spark.createDataFrame([(f"s{i}",) for i in range(1, 10)], "node_id string")
+    assert {r.seed: r.n for r in G.reached_counts(seeds, e, wanted).collect()} == {"d1": 3, "d2": 3, "d4": 3, "d5": 1, "d6": 1}

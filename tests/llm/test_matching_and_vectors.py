@@ -273,3 +273,37 @@ def test_all_but_equal_vectors_are_one_micro_cluster(spark):
     micro, _ = C.micro_clusters(units, 20)
     assert micro.filter("vec IS NOT NULL").agg(F.max("n")).first()[0] == 300
     assert {(r.first_id, r.id) for r in C.clusters(units, region=20).collect()} == {(1, i) for i in range(1, 301)}
+
+
+def test_entries_are_gathered_as_one_by_one():
+    x = np.random.default_rng(3).normal(size=(1300, 6))
+    x[700:900] = x[:200] + 1e-3
+    for threshold in (0.0, 0.9, 1.5):
+        left, want = list(range(len(x))), np.zeros(len(x), int)
+        for number in range(len(x)):
+            if not left:
+                break
+            took = [i for i in left if ((x[i] - x[left[0]]) ** 2).sum() <= threshold**2] if threshold else left[:1]
+            want[took] = number
+            left = [i for i in left if i not in set(took)]
+        assert (C._gathered(x, threshold) == want).all()
+
+
+def test_descent_visits_what_routing_visits(spark):
+    """Level by level, but where the rows lie: no exchange."""
+    units = _unit_rows(spark, 900, 5)
+    micro, levels = C.micro_clusters(units, region=2)
+    assert len(levels) > 1
+    rows = units.select(F.lit("0").alias("region"), "id", "vec", F.lit(0.0).alias("sim"))
+    went = rows
+    for i, centres in enumerate(levels):
+        went = C.route(went, centres, 3, deeper=i > 0)
+    down = C.descend(rows, levels, 3)
+    assert {(r.id, r.region, round(r.sim, 4)) for r in down.collect()} == {(r.id, r.region, round(r.sim, 4)) for r in went.collect()}
+    assert "Exchange" not in down._jdf.queryExecution().executedPlan().toString()
+
+
+def _unit_rows(spark, n, seed):
+    x = np.random.default_rng(seed).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<float>")
